@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _SMALLEST = 5e-324
 _BLOCK = 4096
@@ -88,17 +89,17 @@ def fisher_tail(a: int, b: int, c: int, d: int) -> float:
     return max(1.0 - _bounded(log_pmf(x), down), _SMALLEST)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(x), int(y), float(z)) for x, y, z in zip(k, n, p)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_tail(*map(int, cells)) for cells in zip(a, b, c, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc, na_action="ignore")
 

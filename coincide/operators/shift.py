@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coincide.operators.ordered import CHUNK, Ordered, Running
@@ -171,13 +171,11 @@ def _counts_by_slot(
             ]
         )
 
-    moved = (
-        spans.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-        .withColumnRenamed("offset", "trial")
-    )
+    moved = spans.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     per_case = (
         spans.select("case_id", "window_us", "span")
         .distinct()
+        .join(intervals.select("case_id", "window_us").distinct(), ["case_id", "window_us"])
         .withColumn("offsets", offsets(lowest_shift(F.col("span"), w), F.col("span")))
         .select("case_id", "window_us", F.posexplode("offsets").alias("trial", "offset_us"))
     )
