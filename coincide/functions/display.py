@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coincide.functions.let import let
+
 # Spellings of a missing cell.
 BLANKS = ("", "nan", "none", "<na>", "nat")
 
@@ -51,35 +53,37 @@ def humanize_delta(delta_us: Column) -> Column:
 
 def general(value: Column, digits: int = 6) -> Column:
     """A number with ``digits`` significant digits and no trailing zeros ('%g' style)."""
-    sci = F.format_string(f"%.{digits - 1}e", F.abs(value))
-    mantissa = F.regexp_replace(F.substring_index(sci, "e", 1), r"\.", "")
-    power = F.substring_index(sci, "e", -1).cast("int")
 
     def trim_zeros(t: Column) -> Column:
         return F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
 
-    def left(t: Column, n: Column) -> Column:
-        return t.substr(F.lit(1), n)
+    def text_of(sci: Column) -> Column:
+        power = F.substring_index(sci, "e", -1).cast("int")
+        shown = F.substring_index(sci, "e", 1)
+        figures = F.regexp_replace(shown, r"\.", "")
+        above = F.concat(
+            F.rpad(figures, digits + 1, "0").substr(F.lit(1), power + 1),
+            F.lit("."),
+            figures.substr(power + 2, F.lit(digits)),
+        )
+        below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+        size = F.abs(power).cast("string")
+        padded = F.when(F.length(size) < 2, F.lpad(size, 2, "0")).otherwise(size)
+        scientific = F.concat(
+            trim_zeros(shown), F.when(power < 0, "e-").otherwise("e+"), padded
+        )
+        return (
+            F.when((power < -4) | (power >= digits), scientific)
+            .when(power >= 0, trim_zeros(above))
+            .otherwise(trim_zeros(below))
+        )
 
-    padded = F.rpad(mantissa, max(digits, 1) + 1, "0")
-    above = F.concat(left(padded, power + 1), F.lit("."), mantissa.substr(power + 2, F.lit(digits)))
-    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), mantissa)
-    plain = F.when(power >= 0, above).otherwise(below)
-    exponent = F.concat(
-        F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0")
-    )
-    scientific = F.concat(trim_zeros(F.substring_index(sci, "e", 1)), exponent)
-    wide = F.when(F.length(F.abs(power).cast("string")) > 2, F.concat(
-        trim_zeros(F.substring_index(sci, "e", 1)),
-        F.when(power < 0, "e-").otherwise("e+"),
-        F.abs(power).cast("string"),
-    )).otherwise(scientific)
     sign = F.when(value < 0, "-").otherwise("")
+    body = let(F.format_string(f"%.{digits - 1}e", F.abs(value)), text_of)
     return (
         F.when(value == 0, "0")
         .when(F.abs(value) == float("inf"), F.concat(sign, F.lit("inf")))
-        .when((power >= -4) & (power < digits), F.concat(sign, trim_zeros(plain)))
-        .otherwise(F.concat(sign, wide))
+        .otherwise(F.concat(sign, body))
     )
 
 
