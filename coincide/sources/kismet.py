@@ -112,7 +112,8 @@ def record_rows(records: DataFrame, params: AnalysisParams) -> DataFrame:
             ).alias("notes"),
             header.alias("raw"),
             F.col("path").alias("source_file"),
-            F.col("row_no").alias("ordinal"),
+            # After every packet of the file.
+            (F.col("row_no") + F.lit(1 << 35)).alias("ordinal"),
             F.concat(F.lit("alerts row "), F.col("row_no").cast("string")).alias("source_ref"),
             F.lit("kismet").alias("source_kind"),
             F.lit(None).cast("string").alias("reject"),
