@@ -19,6 +19,7 @@ HEADLINE = (
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    import coincide.plans.text_queries  # noqa: F401  (registers its queries)
     from coincide.plans.queries import QUERIES
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

@@ -51,6 +51,18 @@ def humanize_delta(delta_us: Column) -> Column:
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """``digits`` decimals, rounded from the exact value of the double, ties to even."""
+    return F.translate(F.format_number(value, digits), ",", "")
+
+
+def scientific(value: Column, digits: int) -> Column:
+    """Mantissa with ``digits`` decimals and an exponent of at least two digits."""
+    pattern = "0." + "0" * digits + "E00" if digits else "0E00"
+    shown = F.lower(F.call_function("format_number", value, F.lit(pattern)))
+    return F.regexp_replace(shown, r"e(?=\d)", "e+")
+
+
 def general(value: Column, digits: int = 6) -> Column:
     """A number with ``digits`` significant digits and no trailing zeros ('%g' style)."""
 
@@ -67,19 +79,15 @@ def general(value: Column, digits: int = 6) -> Column:
             figures.substr(power + 2, F.lit(digits)),
         )
         below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
-        size = F.abs(power).cast("string")
-        padded = F.when(F.length(size) < 2, F.lpad(size, 2, "0")).otherwise(size)
-        scientific = F.concat(
-            trim_zeros(shown), F.when(power < 0, "e-").otherwise("e+"), padded
-        )
+        exponent = F.concat(F.lit("e"), F.substring_index(sci, "e", -1))
         return (
-            F.when((power < -4) | (power >= digits), scientific)
+            F.when((power < -4) | (power >= digits), F.concat(trim_zeros(shown), exponent))
             .when(power >= 0, trim_zeros(above))
             .otherwise(trim_zeros(below))
         )
 
     sign = F.when(value < 0, "-").otherwise("")
-    body = let(F.format_string(f"%.{digits - 1}e", F.abs(value)), text_of)
+    body = let(scientific(F.abs(value), digits - 1), text_of)
     return (
         F.when(value == 0, "0")
         .when(F.abs(value) == float("inf"), F.concat(sign, F.lit("inf")))
@@ -91,8 +99,8 @@ def p_text(p: Column) -> Column:
     """FN27: a p-value for a report table."""
     return (
         F.when(p.isNull() | F.isnan(p), "n/a")
-        .when(p < 1e-4, F.format_string("%.2e", p))
-        .otherwise(F.format_string("%.4f", p))
+        .when(p < 1e-4, scientific(p, 2))
+        .otherwise(fixed(p, 4))
     )
 
 
@@ -101,7 +109,7 @@ def number_text(value: Column) -> Column:
     return (
         F.when(value.isNull() | F.isnan(value), "n/a")
         .when(value == float("inf"), "infinite (no counter-examples)")
-        .otherwise(F.format_string("%.3f", value))
+        .otherwise(fixed(value, 3))
     )
 
 
@@ -110,5 +118,5 @@ def lift_text(lift: Column) -> Column:
     return (
         F.when(lift.isNull() | F.isnan(lift), "not comparable to")
         .when(lift == float("inf"), "infinitely above")
-        .otherwise(F.format_string("%.1f times", lift))
+        .otherwise(F.concat(fixed(lift, 1), F.lit(" times")))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     nests deep enough for that to matter.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that filters further up do not compute again.
+
+    Spark pushes a filter on a computed column below the projection, copying the computation into
+    the filter. It does not push filters below a generator, so the value is passed through one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -30,7 +30,10 @@ def both_streams(anchors: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def observation_period(streams: DataFrame, pad_us: int) -> DataFrame:
-    """AGG05: the overlap of the two spans, padded; the union when one stream is empty."""
+    """AGG05: the overlap of the two spans, padded; the union when one stream is empty.
+
+    ``streams`` has case_id, ts_us and ``side``.
+    """
     is_anchor = F.col("side") == 0
 
     def edge(fold, side: Column) -> Column:

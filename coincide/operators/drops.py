@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coincide.functions.display import fixed
 from coincide.operators.ordered import Running, arrange
 from coincide.params import MICROS
 from coincide.schema import DERIVED_SEQ, conform
@@ -80,8 +81,10 @@ def client_drops(
             F.lit("DISCOVER").alias("subtype"),
             F.col("client_mac").alias("dst_mac"),
             "client_mac",
-            F.format_string(
-                "restarted DHCP acquisition %.1f s after a confirmed lease", gap_us / MICROS
+            F.concat(
+                F.lit("restarted DHCP acquisition "),
+                fixed(gap_us / MICROS, 1),
+                F.lit(" s after a confirmed lease"),
             ).alias("notes"),
         )
     )

@@ -40,8 +40,10 @@ def trailing_counts(
         own("n").alias("n"),
         own("chunk").alias("chunk"),
     )
-    # Same chunks, now of instants only: order and cuts are unchanged.
-    return Ordered(durable(paired, "counts"), ("case_id",), ("ts_us",), ordered.spans)
+    # Same chunks, now of instants only: order and cuts are unchanged. Several chunks mean
+    # several passes for the carried values.
+    counted = durable(paired, "counts") if ordered.spans else paired
+    return Ordered(counted, ("case_id",), ("ts_us",), ordered.spans)
 
 
 def burst_instants(
@@ -74,45 +76,39 @@ def burst_instants(
 def flood_frames(
     events: DataFrame, window_us: int, threshold: int, chunks: int | None = None
 ) -> DataFrame:
-    """Every frame of a flood, with the flood's start; bursts below ``threshold`` are left out."""
-    bursts = durable(burst_instants(events, window_us, threshold, chunks), "bursts")
-    floods = (
-        bursts.groupBy("case_id", "flood_us")
-        .agg(F.sum("n").alias("n_frames"))
-        .filter(F.col("n_frames") >= threshold)
-        .select("case_id", "flood_us")
-    )
-    inside = bursts.join(floods, ["case_id", "flood_us"], "left_semi")
+    """Every frame of a flood, with the flood's start.
+
+    A burst holds the whole trailing window of a hot instant, so it has ``threshold`` frames.
+    """
+    bursts = burst_instants(events, window_us, threshold, chunks)
     return frames(events).join(
-        inside.select("case_id", "ts_us", "flood_us", "in_window"), ["case_id", "ts_us"]
+        bursts.select("case_id", "ts_us", "flood_us", "in_window"), ["case_id", "ts_us"]
     )
 
 
 def floods(flood_rows: DataFrame, window_us: int) -> DataFrame:
     """AGG04 / TK05: one row per flood. Ties for the top source go to the lower address."""
-    per_source = (
-        flood_rows.filter(F.col("src_mac").isNotNull())
-        .groupBy("case_id", "flood_us", "src_mac")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("case_id", "flood_us")
-        .agg(F.min(F.struct((-F.col("n")).alias("rank"), "src_mac")).alias("top"))
-        .select("case_id", "flood_us", F.col("top.src_mac").alias("top_source"))
-    )
-    totals = flood_rows.groupBy("case_id", "flood_us").agg(
+    per_source = flood_rows.groupBy("case_id", "flood_us", "src_mac").agg(
         F.max("ts_us").alias("end_us"),
-        F.count(F.lit(1)).alias("n_frames"),
-        (F.max("in_window") * float(MICROS) / window_us).alias("peak_rate_per_s"),
-        F.count_if(F.col("dst_mac") == BROADCAST).alias("broadcast_frames"),
+        F.count(F.lit(1)).alias("n"),
+        F.max("in_window").alias("peak"),
+        F.count_if(F.col("dst_mac") == BROADCAST).alias("broadcast"),
     )
-    return totals.join(per_source, ["case_id", "flood_us"], "left").select(
-        "case_id",
-        F.col("flood_us").alias("start_us"),
-        "end_us",
-        ((F.col("end_us") - F.col("flood_us")) / MICROS).alias("duration_s"),
-        "n_frames",
-        "peak_rate_per_s",
-        "top_source",
-        "broadcast_frames",
+    ranked = F.struct((-F.col("n")).alias("rank"), "src_mac")
+    return (
+        per_source.groupBy("case_id", F.col("flood_us").alias("start_us"))
+        .agg(
+            F.max("end_us").alias("end_us"),
+            F.sum("n").alias("n_frames"),
+            (F.max("peak") * float(MICROS) / window_us).alias("peak_rate_per_s"),
+            F.min(F.when(F.col("src_mac").isNotNull(), ranked)).alias("top"),
+            F.sum("broadcast").alias("broadcast_frames"),
+        )
+        .withColumn("duration_s", (F.col("end_us") - F.col("start_us")) / MICROS)
+        .select(
+            "case_id", "start_us", "end_us", "duration_s", "n_frames", "peak_rate_per_s",
+            F.col("top.src_mac").alias("top_source"), "broadcast_frames",
+        )
     )
 
 

@@ -46,7 +46,8 @@ def relay(ordered: Ordered, fold: Fold, decision: str, state: str) -> DataFrame:
 
     def one_round(given: DataFrame) -> DataFrame:
         pair = ordered.df.groupBy(CHUNK).cogroup(given.groupBy(CHUNK))
-        return durable(pair.applyInPandas(run, schema), "relay")
+        done = pair.applyInPandas(run, schema)
+        return durable(done, "relay") if ordered.spans else done
 
     following = (
         ordered.df.select(CHUNK)

@@ -192,17 +192,20 @@ def _counts_by_slot(
     )
 
 
-def shift_test(counts: DataFrame, observed: DataFrame, trials: int) -> DataFrame:
-    """Add-one empirical p and mean hits; NULL where either stream is empty."""
+def with_shift_test(observed: DataFrame, counts: DataFrame, trials: int) -> DataFrame:
+    """Add the add-one empirical p and the mean hits; NULL where either stream is empty."""
+    # One number per trial, so the list is as long as the test has trials.
+    per_case = counts.groupBy("case_id", "window_us").agg(F.collect_list("hits").alias("hits"))
+    both = (F.col("n_anchors") > 0) & (F.col("n_incidents") > 0)
+    reached = F.size(F.filter("hits", lambda h: h >= F.col("n_coincident")))
+    total = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, h: acc + h)
     return (
-        observed.select("case_id", "window_us", "n_coincident", "n_anchors", "n_incidents")
-        .join(counts, ["case_id", "window_us"])
-        .filter("n_anchors > 0 AND n_incidents > 0")
-        .groupBy("case_id", "window_us")
-        .agg(
-            ((F.count_if(F.col("hits") >= F.col("n_coincident")) + 1) / F.lit(trials + 1.0)).alias(
-                "perm_p"
-            ),
-            F.avg("hits").alias("perm_mean"),
+        observed.join(per_case, ["case_id", "window_us"], "left")
+        .withColumns(
+            {
+                "perm_p": F.when(both, (reached + 1) / F.lit(trials + 1.0)),
+                "perm_mean": F.when(both, total / F.lit(float(trials))),
+            }
         )
+        .drop("hits")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coincide.functions.display import general
+from coincide.functions.display import fixed, general
 from coincide.functions.probability import wilson
 from coincide.params import MIN_COINCIDENCES, MIN_RATE_RATIO
 
@@ -67,8 +67,8 @@ def decide(stats: DataFrame, alpha: float) -> DataFrame:
     level = f"{alpha:g}"
     width = general(F.col("window_us") / 1e6)
     worst3 = general(F.col("worst_p"), 3)
-    ratio_text = F.format_string("%.2f", "rate_ratio")
-    expected = F.format_string("%.1f", "expected_by_chance")
+    ratio_text = fixed(F.col("rate_ratio"), 2)
+    expected = fixed(F.col("expected_by_chance"), 1)
     against = F.array_compact(
         F.array(
             F.when(

@@ -29,7 +29,7 @@ from coincide.operators.incidents import incidents
 from coincide.operators.lag import lag_scan
 from coincide.operators.nearest import match_table
 from coincide.operators.ordered import Ordered
-from coincide.operators.shift import shift_counts, shift_test
+from coincide.operators.shift import shift_counts, with_shift_test
 from coincide.operators.verdict import combine_tests, decide
 from coincide.params import SWEEP_TRIALS, AnalysisParams, micros
 from coincide.schema import anchors
@@ -82,24 +82,18 @@ def window_stats(
         }
     ).drop("period_us").fillna(0)
     cells = [F.col(f"cell_{x}") for x in "abcd"]
-    counted = durable(filled, "widths")
+    shifted = with_shift_test(
+        filled, shift_counts(inside, widths_us, trials, params.seed, params.offsets), trials
+    )
     tested = (
-        rates(counted)
+        rates(shifted)
         .withColumn("binom_p", binomial_p(F.col("n_coincident"), F.col("n_anchors"), F.col("baseline_rate")))
         .withColumn("fisher_p", fisher_p(*cells))
         .withColumn("fisher_odds_ratio", odds_ratio(*cells))
         .withColumn("chi2", chi_square(*cells))
         .withColumn("chi2_p", chi_square_p(F.col("chi2")))
     )
-    shifted = shift_test(
-        shift_counts(inside, widths_us, trials, params.seed, params.offsets), counted, trials
-    )
-    return combine_tests(
-        tested.join(shifted, ["case_id", "window_us"], "left").withColumn(
-            "perm_trials", F.lit(trials)
-        ),
-        params.alpha,
-    )
+    return combine_tests(tested.withColumn("perm_trials", F.lit(trials)), params.alpha)
 
 
 def prepare(
@@ -122,9 +116,8 @@ def run_analysis(
     if problems:
         raise ValueError("; ".join(problems))
     merged, found = prepare(events, params, chunks)
-    streams = durable(both_streams(anchors(merged), found), "streams")
-    periods = durable(observation_period(streams, params.window_us), "periods")
-    around = neighbours(streams, chunks)
+    around = neighbours(both_streams(anchors(merged), found), chunks)
+    periods = durable(observation_period(around.df, params.window_us), "periods")
 
     stats = window_stats(around, periods, [params.window_us], params.trials, params)
     sweep = min(params.trials, SWEEP_TRIALS)

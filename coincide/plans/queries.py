@@ -58,14 +58,13 @@ def joined(column: str) -> Column:
 
 
 class Study:
-    """Streams, periods and neighbours of one set of events, shared by the statistics."""
+    """Neighbours and periods of one set of events, shared by the statistics."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cases: int = 1) -> None:
         self.events = events(spark, sf_dir, cases=cases)
         found = incidents(self.events, GAP).select("case_id", "start_us")
-        self.streams = durable(asc.both_streams(anchors(self.events), found), "streams")
-        self.periods = asc.observation_period(self.streams, PARAMS.window_us)
-        self.around = asc.neighbours(self.streams)
+        self.around = asc.neighbours(asc.both_streams(anchors(self.events), found))
+        self.periods = asc.observation_period(self.around.df, PARAMS.window_us)
         self.inside = asc.within(self.around, self.periods)
 
     def counts(self, widths: list[int] = WIDTHS) -> DataFrame:
@@ -181,7 +180,9 @@ def st03_shift_test(spark, sf_dir):
     study = Study(spark, sf_dir)
     observed = study.counts([PARAMS.window_us])
     counts = sh.shift_counts(study.inside, [PARAMS.window_us], 10_000, PARAMS.seed, "numpy")
-    return sh.shift_test(counts, observed, 10_000)
+    return sh.with_shift_test(observed, counts, 10_000).select(
+        "case_id", "window_us", "perm_p", "perm_mean"
+    )
 
 
 def _stats(spark, sf_dir, cases: int, widths: list[int]) -> DataFrame:
@@ -230,11 +231,9 @@ def st12_calibration(spark, sf_dir):
     """Every user is a case; cases are grouped into scenarios by user id modulo four."""
     ev = events(spark, sf_dir, cases=1_000_003)
     found = incidents(ev, GAP).select("case_id", "start_us")
-    streams = durable(asc.both_streams(anchors(ev), found), "streams")
-    periods = asc.observation_period(streams, PARAMS.window_us)
-    stats = analysis.window_stats(
-        asc.neighbours(streams), periods, [PARAMS.window_us], PARAMS.trials, PARAMS
-    )
+    around = asc.neighbours(asc.both_streams(anchors(ev), found))
+    periods = asc.observation_period(around.df, PARAMS.window_us)
+    stats = analysis.window_stats(around, periods, [PARAMS.window_us], PARAMS.trials, PARAMS)
     scenario = (F.substring("case_id", 5, 12).cast("bigint") % 4).alias("scenario")
     study = vd.calibration(stats.select("*", scenario), "scenario", PARAMS.alpha)
     return study.select(
@@ -320,9 +319,7 @@ def dv01_client_drops(spark, sf_dir):
 
 
 def _flood_frames(spark, sf_dir) -> DataFrame:
-    return durable(
-        fl.flood_frames(events(spark, sf_dir), FLOOD_WINDOW, FLOOD_K), "flood-frames"
-    )
+    return fl.flood_frames(events(spark, sf_dir), FLOOD_WINDOW, FLOOD_K)
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coincide.functions.display import humanize_delta, lift_text, number_text, p_text
+from coincide.functions.display import fixed, humanize_delta, lift_text, number_text, p_text
 from coincide.functions.reasons import reason_text
 from coincide.params import AnalysisParams
 from coincide.plans.analysis import Analysis
@@ -55,7 +55,7 @@ def statistics_table(stats: DataFrame) -> DataFrame:
         "case_id",
         "window_us",
         F.concat("n_coincident", F.lit("/"), "n_anchors").alias("coincidences"),
-        F.format_string("%.1f%%", F.col("baseline_rate") * 100).alias("baseline"),
+        F.concat(fixed(F.col("baseline_rate") * 100, 1), F.lit("%")).alias("baseline"),
         lift_text(F.col("lift")).alias("lift"),
         number_text(F.col("rate_ratio")).alias("rate_ratio"),
         p_text(F.col("binom_p")).alias("binomial_p"),
@@ -183,7 +183,7 @@ def period_notes() -> Column:
     def note(column: str, what: str) -> Column:
         return F.when(
             F.col(column) > quarter,
-            F.concat(F.format_string("%.1f h of ", column), F.lit(f"{what} lie outside the period")),
+            F.concat(fixed(F.col(column), 1), F.lit(f" h of {what} lie outside the period")),
         )
 
     return F.array_compact(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coincide.functions.let import let, once
 from coincide.functions.mac import norm_mac
 from coincide.functions.times import finalize, parse_any
 from coincide.operators.ordered import Running, arrange
@@ -15,30 +16,36 @@ from coincide.sources.lines import nonblank, numbered_lines
 AP_HEADER, STATION_HEADER = "BSSID,", "Station MAC,"
 LAST_SEEN, POWER, PACKETS, STATION_BSSID, ESSID = 2, 3, 4, 5, 13
 
+MAX_COLUMNS = 64
+
 
 def station_rows(
     lines: DataFrame, params: AnalysisParams, chunks: int | None = None
 ) -> DataFrame:
     """Last-seen instants of stations as context events; a row belongs to the header above it."""
     stripped = F.trim("line")
-    marked = nonblank(lines).withColumn(
-        "header",
-        F.when(stripped.startswith(AP_HEADER), 0).when(stripped.startswith(STATION_HEADER), 1),
+    columns = [f"c{i}" for i in range(MAX_COLUMNS)]
+    parsed = F.from_csv(
+        "line", ", ".join(f"{c} string" for c in columns), {"escape": '"', "nullValue": "\x00"}
+    )
+    cells = let(
+        parsed, lambda c: F.filter(F.array(*[F.trim(c[n]) for n in columns]), lambda x: x.isNotNull())
+    )
+    marked = nonblank(lines).select(
+        "path",
+        "line_no",
+        "line",
+        F.when(stripped.startswith(AP_HEADER), 0)
+        .when(stripped.startswith(STATION_HEADER), 1)
+        .alias("header"),
+        cells.alias("f"),
     )
     # The last header's line number and kind as one growing number.
     placed = arrange(marked, ["path"], ["line_no"], chunks).running(
         before={"above": Running("max", F.col("line_no") * 2 + F.col("header"))}
     )
-    schema = ", ".join(f"c{i} string" for i in range(64))
-    rows = (
-        placed.df.filter("header IS NULL AND above IS NOT NULL")
-        .withColumn("c", F.from_csv("line", schema, {"escape": '"', "nullValue": "\x00"}))
-        .select(
-            "path", "line_no", "line",
-            (F.col("above") % 2 == 1).alias("is_station"),
-            F.filter(F.array(*[F.trim(f"c.c{i}") for i in range(64)]), lambda x: x.isNotNull()).alias("f"),
-        )
-        .filter(F.size("f") >= 6)
+    rows = placed.df.filter("header IS NULL AND above IS NOT NULL AND size(f) >= 6").withColumn(
+        "is_station", F.col("above") % 2 == 1
     )
 
     def cell(i: int) -> Column:
@@ -52,15 +59,10 @@ def station_rows(
         .agg(F.max_by("essid", "line_no").alias("essid"))
     )
     year = F.lit(params.log_year) if params.log_year else F.year(F.current_timestamp())
+    at = finalize(parse_any(cell(LAST_SEEN), year), params.timezone, params.assume_offset)
     stations = (
-        rows.filter("is_station")
-        .withColumns(
-            {
-                "mac": norm_mac(cell(0)),
-                "bssid": norm_mac(cell(STATION_BSSID)),
-                "at": finalize(parse_any(cell(LAST_SEEN), year), params.timezone, params.assume_offset),
-            }
-        )
+        once(rows.filter("is_station"), "at", at)
+        .withColumns({"mac": norm_mac(cell(0)), "bssid": norm_mac(cell(STATION_BSSID))})
         .filter("mac IS NOT NULL AND at IS NOT NULL")
         .join(names, ["path", "bssid"], "left")
     )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.functions.let import let
+from coincide.functions.let import let, once
 from coincide.functions.times import EPOCH, finalize, parse_epoch, parse_isoish
 from coincide.params import AnalysisParams
-from coincide.sources.syslog import with_message_events
+from coincide.sources.syslog import EVENT_COLUMNS, with_message_events
 
 # Field names, first present one wins.
 TIME_FIELDS = ("timestamp", "@timestamp", "time", "date")
@@ -80,22 +80,24 @@ def api_rows(envelopes: DataFrame, params: AnalysisParams) -> DataFrame:
             }
         )
     )
-    undated = split.filter(F.col("stamp").isNull()).select(
-        "source_file", "ordinal", F.lit("no readable timestamp").alias("reject")
+    dated = once(split, "at", finalize(F.col("stamp"), params.timezone)).withColumn(
+        "msg", F.when(F.col("at").isNotNull(), F.col("msg"))
     )
-    dated = split.filter(F.col("stamp").isNotNull() & F.col("message").isNotNull()).withColumn(
-        "at", finalize(F.col("stamp"), params.timezone)
-    )
-    good = with_message_events(dated).select(
-        "at.*",
-        "kind", "category", "subtype", "client_mac", "dst_mac", "reason_code", "notes",
-        "source_file",
-        "ordinal",
-        F.concat("label", F.lit(" row "), F.col("ordinal").cast("string")).alias("source_ref"),
-        F.when(F.col("proc") != "", F.concat("proc", F.lit(": "), "msg")).otherwise(F.col("msg")).alias("raw"),
-    )
-    return good.unionByName(undated, allowMissingColumns=True).withColumn(
-        "source_kind", F.lit("opnsense_api")
+    shown = F.when(F.col("proc") != "", F.concat("proc", F.lit(": "), "msg")).otherwise(F.col("msg"))
+    return (
+        with_message_events(dated)
+        .filter(F.col("at").isNull() | F.col("kind").isNotNull())
+        .select(
+            "at.*",
+            "category",
+            *EVENT_COLUMNS,
+            "source_file",
+            "ordinal",
+            F.concat("label", F.lit(" row "), F.col("ordinal").cast("string")).alias("source_ref"),
+            shown.alias("raw"),
+            F.when(F.col("at").isNull(), "no readable timestamp").alias("reject"),
+            F.lit("opnsense_api").alias("source_kind"),
+        )
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coincide.functions.let import once
 from coincide.functions.times import clip_time, finalize
 from coincide.params import AnalysisParams, micros
 
@@ -22,16 +23,14 @@ def clip_rows(files: DataFrame, params: AnalysisParams) -> DataFrame:
     media = files.withColumn("name", name).filter(
         F.lower("name").rlike(r"\.(" + "|".join(EXTENSIONS) + ")$")
     )
-    by_name = clip_time(F.col("name"))
-    mtime = F.struct(
-        F.col("mtime_us").alias("wall_us"), F.lit(0).alias("offset_s")
-    )
-    timed = media.withColumn("by_name", by_name).withColumn(
+    mtime = F.struct(F.col("mtime_us").alias("wall_us"), F.lit(0).alias("offset_s"))
+    timed = once(media, "by_name", clip_time(F.col("name"))).withColumn(
         "use_mtime", F.lit(mode == "mtime") | F.col("by_name").isNull()
     )
     skipped = F.lit(mode == "filename") & F.col("use_mtime")
+    stamp = F.when(F.col("use_mtime"), mtime).otherwise(F.col("by_name.stamp"))
     at = finalize(
-        F.when(F.col("use_mtime"), mtime).otherwise(F.col("by_name.stamp")),
+        F.when(~skipped, stamp),
         params.timezone,
         params.assume_offset,
         micros(params.camera_clock_offset_s),
@@ -39,22 +38,21 @@ def clip_rows(files: DataFrame, params: AnalysisParams) -> DataFrame:
     origin = F.when(F.col("use_mtime"), _BY_MTIME).otherwise(
         F.concat(F.lit("filename pattern: "), "by_name.pattern")
     )
-    bad = timed.filter(skipped).select(
-        F.col("path").alias("source_file"), F.lit("no timestamp in the file name").alias("reject")
-    )
-    good = timed.filter(~skipped).withColumn("at", at).select(
+    return once(timed, "at", at).select(
         "at.*",
         F.lit("camera").alias("kind"),
         F.lit("camera").alias("category"),
         F.concat(F.lit("clip "), "name", F.lit("; time from "), origin).alias("notes"),
-        F.when(F.col("use_mtime"), "mtime").otherwise(F.col("by_name.pattern")).alias("pattern"),
+        F.when(skipped, None)
+        .when(F.col("use_mtime"), "mtime")
+        .otherwise(F.col("by_name.pattern"))
+        .alias("pattern"),
         F.col("path").alias("source_file"),
         F.lit(1).cast("bigint").alias("ordinal"),
         F.col("name").alias("source_ref"),
         F.col("name").alias("raw"),
-    )
-    return good.unionByName(bad, allowMissingColumns=True).withColumn(
-        "source_kind", F.lit("camera_clips")
+        F.lit("camera_clips").alias("source_kind"),
+        F.when(skipped, "no timestamp in the file name").alias("reject"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coincide.functions.display import text
 from coincide.functions.frames import frame_kind, int_or_none
+from coincide.functions.let import once
 from coincide.functions.mac import client_of_target, norm_mac
 from coincide.functions.reasons import reason_text
 from coincide.functions.times import finalize, parse_any
@@ -127,37 +128,26 @@ def _year(params: AnalysisParams) -> Column:
     return F.lit(params.log_year) if params.log_year else F.year(F.current_timestamp())
 
 
-def _raw(delimiter: str) -> Column:
-    return F.array_join("fields", delimiter)
-
-
 def frame_rows(
     records: DataFrame, params: AnalysisParams, overrides: dict[str, str] | None = None
 ) -> DataFrame:
     """SRC06: deauthentication and disassociation rows of a frame table."""
-    mapped = _mapped(records, FRAME_FIELDS, overrides)
-    no_time = mapped.filter("row_no = 1 AND at.timestamp IS NULL").select(
-        F.col("path").alias("source_file"), F.lit("no timestamp column").alias("reject")
+    mapped = _mapped(records, FRAME_FIELDS, overrides).filter(
+        _unusable() | (F.col("at.timestamp").isNotNull() & (F.col("row_no") > 1) & ~_blank())
     )
-    body = mapped.filter("row_no > 1 AND at.timestamp IS NOT NULL").filter(~_blank())
-    dated = body.withColumns(
-        {
-            "when": finalize(
-                parse_any(_cell("timestamp"), _year(params)), params.timezone, params.assume_offset
-            ),
-            "kind": frame_kind(_cell("subtype"), _cell("reason_code")),
-        }
+    when = finalize(
+        parse_any(_cell("timestamp"), _year(params)), params.timezone, params.assume_offset
     )
-    undated = dated.filter(F.col("when").isNull()).select(
-        F.col("path").alias("source_file"),
-        F.col("row_no").alias("ordinal"),
-        F.lit("unreadable timestamp").alias("reject"),
+    dated = once(
+        mapped,
+        "x",
+        F.struct(when.alias("when"), frame_kind(_cell("subtype"), _cell("reason_code")).alias("kind")),
     )
     target, reason = norm_mac(_cell("dst_mac")), int_or_none(_cell("reason_code"))
-    good = dated.filter(F.col("when").isNotNull() & F.col("kind").isNotNull()).select(
-        "when.*",
-        "kind",
-        categorize(F.col("kind")).alias("category"),
+    return dated.filter(F.col("x.when").isNull() | F.col("x.kind").isNotNull()).select(
+        "x.when.*",
+        "x.kind",
+        categorize(F.col("x.kind")).alias("category"),
         norm_mac(_cell("src_mac")).alias("src_mac"),
         target.alias("dst_mac"),
         norm_mac(_cell("bssid")).alias("bssid"),
@@ -167,17 +157,35 @@ def frame_rows(
         int_or_none(_cell("channel")).alias("channel"),
         int_or_none(_cell("signal")).alias("signal"),
         F.when(target == BROADCAST, BROADCAST_NOTE).otherwise(text(_cell("ssid"))).alias("notes"),
-        F.col("path").alias("source_file"),
-        F.col("row_no").alias("ordinal"),
-        F.concat(F.lit("row "), F.col("row_no").cast("string")).alias("source_ref"),
-        _raw(",").alias("raw"),
+        *_lineage(",", "nzyme_csv", F.col("x.when").isNotNull()),
+        _reject(F.col("x.when")),
     )
-    rejects = undated.unionByName(no_time, allowMissingColumns=True)
-    return good.unionByName(rejects, allowMissingColumns=True).withColumn(
-        "source_kind", F.lit("nzyme_csv")
+
+
+def _unusable() -> Column:
+    """The header row of a file without a time column; it stands for the whole file."""
+    return F.col("at.timestamp").isNull() & (F.col("row_no") == 1)
+
+
+def _reject(when: Column) -> Column:
+    return (
+        F.when(F.col("at.timestamp").isNull(), "no timestamp column")
+        .when(when.isNull(), "unreadable timestamp")
+        .alias("reject")
     )
 
 
+def _lineage(delimiter: str, kind: str, read: Column) -> list[Column]:
+    ref = F.concat(F.lit("row "), F.col("row_no").cast("string"))
+    return [
+        F.col("path").alias("source_file"),
+        F.col("row_no").alias("ordinal"),
+        F.when(read, ref).alias("source_ref"),
+        F.array_join("fields", delimiter).alias("raw"),
+        F.lit(kind).alias("source_kind"),
+    ]
+
+
 def camera_rows(records: DataFrame, params: AnalysisParams, delimiter: str = ",") -> DataFrame:
     """SRC08: anchor events of a pass log, with or without a header row."""
     mapped = _mapped(records, CAMERA_FIELDS)
@@ -189,45 +197,31 @@ def camera_rows(records: DataFrame, params: AnalysisParams, delimiter: str = ","
             for f in CAMERA_FIELDS
         ]
     )
-    placed = mapped.withColumns(
-        {
-            "headerless": bare & first_reads,
-            "at": F.when(bare & first_reads, fixed).otherwise(F.col("at")),
-        }
+    placed = once(mapped, "headerless", bare & first_reads).withColumn(
+        "at", F.when(F.col("headerless"), fixed).otherwise(F.col("at"))
     )
-    no_time = placed.filter("row_no = 1 AND at.timestamp IS NULL").select(
-        F.col("path").alias("source_file"), F.lit("no timestamp column").alias("reject")
-    )
-    body = placed.filter("at.timestamp IS NOT NULL AND (headerless OR row_no > 1)").filter(~_blank())
-    dated = body.withColumn(
-        "when",
-        finalize(
-            parse_any(_cell("timestamp"), _year(params)),
-            params.timezone,
-            params.assume_offset,
-            micros(params.camera_clock_offset_s),
-        ),
-    )
-    undated = dated.filter(F.col("when").isNull()).select(
-        F.col("path").alias("source_file"),
-        F.col("row_no").alias("ordinal"),
-        F.lit("unreadable timestamp").alias("reject"),
+    body = (F.col("headerless") | (F.col("row_no") > 1)) & ~_blank()
+    rows = placed.filter(_unusable() | (F.col("at.timestamp").isNotNull() & body))
+    when = finalize(
+        parse_any(_cell("timestamp"), _year(params)),
+        params.timezone,
+        params.assume_offset,
+        micros(params.camera_clock_offset_s),
     )
     clip = F.when(_cell("clip") != "", F.concat(F.lit(" [clip: "), _cell("clip"), F.lit("]")))
-    good = dated.filter(F.col("when").isNotNull()).select(
+    dated = F.col("when").isNotNull()
+
+    def known(value: Column, name: str) -> Column:
+        return F.when(dated, value).alias(name)
+
+    return once(rows, "when", when).select(
         "when.*",
-        F.lit("camera").alias("kind"),
-        F.lit("camera").alias("category"),
-        *[text(_cell(f)).alias(f) for f in ("plate", "make", "model")],
-        text(F.concat(_cell("notes"), F.coalesce(clip, F.lit("")))).alias("notes"),
-        F.col("path").alias("source_file"),
-        F.col("row_no").alias("ordinal"),
-        F.concat(F.lit("row "), F.col("row_no").cast("string")).alias("source_ref"),
-        _raw(delimiter).alias("raw"),
-    )
-    rejects = undated.unionByName(no_time, allowMissingColumns=True)
-    return good.unionByName(rejects, allowMissingColumns=True).withColumn(
-        "source_kind", F.lit("camera_csv")
+        known(F.lit("camera"), "kind"),
+        known(F.lit("camera"), "category"),
+        *[known(text(_cell(f)), f) for f in ("plate", "make", "model")],
+        known(text(F.concat(_cell("notes"), F.coalesce(clip, F.lit("")))), "notes"),
+        *_lineage(delimiter, "camera_csv", dated),
+        _reject(F.col("when")),
     )
 
 

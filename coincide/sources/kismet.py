@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coincide.functions.mac import norm_mac
-from coincide.functions.times import finalize
 from coincide.params import AnalysisParams
 from coincide.sources.capture import WIFI_LINKS, decode_frames, frame_events, uri_of
 from coincide.sources.clips import list_files
@@ -76,50 +75,63 @@ def read_records(spark: SparkSession, paths: list[str], batch: int = 4096) -> Da
 
 def record_rows(records: DataFrame, params: AnalysisParams) -> DataFrame:
     """Events of raw rows: frames decoded as from a capture, and disruption alerts."""
-    ts_us = F.col("ts_sec") * 1_000_000 + F.coalesce("ts_usec", F.lit(0))
-    packets = records.filter("of = 'packets'").select(
+    header = F.upper(F.coalesce("header", F.lit("")))
+    alert = F.col("of") == "alerts"
+    wanted = records.filter(~alert | header.isin(*ALERTS)).select(
         "path",
-        F.col("row_no").alias("packet_no"),
-        ts_us.alias("ts_us"),
+        "of",
+        # Alerts come after every packet of the file.
+        (F.col("row_no") + F.when(alert, F.lit(1 << 35)).otherwise(F.lit(0))).alias("packet_no"),
+        (F.col("ts_sec") * 1_000_000 + F.coalesce("ts_usec", F.lit(0))).alias("ts_us"),
         F.coalesce("dlt", F.lit(127)).alias("dlt"),
         "data",
         "stored_signal",
+        "devmac",
+        header.alias("header"),
+        "json",
     )
-    frames = decode_frames(packets).withColumn(
+    decoded = decode_frames(wanted, keep=alert).withColumn(
         "signal", F.coalesce(F.nullif("stored_signal", F.lit(0)), "signal")
     )
-    events = frame_events(frames, params, "kismet", "packets row ")
-
-    header = F.upper(F.coalesce("header", F.lit("")))
     meaning = F.create_map(*[F.lit(x) for pair in ALERTS.items() for x in pair])
     detail = F.get_json_object("json", "$['kismet.alert.text']")
     source = F.nullif(
         norm_mac(F.get_json_object("json", "$['kismet.alert.source_mac']")), F.lit(NO_MAC)
     )
-    at = finalize(F.struct(ts_us.alias("wall_us"), F.lit(0).alias("offset_s")), params.timezone)
-    alerts = (
-        records.filter((F.col("of") == "alerts") & header.isin(*ALERTS))
-        .withColumn("at", at)
-        .select(
-            "at.*",
-            F.lit("alert").alias("kind"),
-            F.lit("disruption").alias("category"),
-            F.coalesce(source, norm_mac(F.col("devmac"))).alias("src_mac"),
-            norm_mac(F.col("devmac")).alias("bssid"),
-            F.concat(
-                header, F.lit(": "), meaning[header],
-                F.when(F.coalesce(detail, F.lit("")) != "", F.concat(F.lit(" - "), detail)).otherwise(""),
-            ).alias("notes"),
-            header.alias("raw"),
-            F.col("path").alias("source_file"),
-            # After every packet of the file.
-            (F.col("row_no") + F.lit(1 << 35)).alias("ordinal"),
-            F.concat(F.lit("alerts row "), F.col("row_no").cast("string")).alias("source_ref"),
-            F.lit("kismet").alias("source_kind"),
-            F.lit(None).cast("string").alias("reject"),
-        )
+    said = F.concat(
+        "header",
+        F.lit(": "),
+        meaning[F.col("header")],
+        F.when(F.coalesce(detail, F.lit("")) != "", F.concat(F.lit(" - "), detail)).otherwise(""),
+    )
+    device = norm_mac(F.col("devmac"))
+    # An alert's own columns take the place of a frame's.
+    of_alert = {
+        "kind": F.lit("alert"),
+        "src_mac": F.coalesce(source, device),
+        "bssid": device,
+        "alert_notes": said,
+        "alert_raw": F.col("header"),
+    }
+    both = decoded.withColumns(
+        {
+            name: F.when(alert, value).otherwise(
+                F.col(name) if name in decoded.columns else F.lit(None)
+            )
+            for name, value in of_alert.items()
+        }
     )
-    return events.unionByName(alerts, allowMissingColumns=True)
+    rows = frame_events(both, params, "kismet", "packets row ", extra=["alert_notes", "alert_raw"])
+    number = (F.col("ordinal") - F.lit(1 << 35)).cast("string")
+    return rows.withColumns(
+        {
+            "notes": F.coalesce("alert_notes", "notes"),
+            "raw": F.coalesce("alert_raw", "raw"),
+            "source_ref": F.when(
+                F.col("alert_raw").isNotNull(), F.concat(F.lit("alerts row "), number)
+            ).otherwise(F.col("source_ref")),
+        }
+    ).drop("alert_notes", "alert_raw")
 
 
 def read_kismet(spark: SparkSession, paths: list[str], params: AnalysisParams) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.functions.let import let
+from coincide.functions.let import let, once
 from coincide.functions.mac import mac_in_text
 from coincide.functions.times import (
     finalize,
@@ -93,7 +93,7 @@ def split_syslog(lines: DataFrame, params: AnalysisParams) -> DataFrame:
         groups(line, KEA_FILE, [1, 3, 4]),
         lambda p: framed(parse_isoish(p[1]), F.substring_index(p[2], ".", 1), p[3]),
     )
-    return lines.withColumn("framed", F.coalesce(first, second, third)).select(
+    return once(lines, "framed", F.coalesce(first, second, third)).select(
         *lines.columns, "framed.stamp", "framed.proc", "framed.msg"
     )
 
@@ -181,39 +181,42 @@ def message_event() -> Column:
     return F.coalesce(_wifi(), F.when(dhcp & kea, _kea()).when(dhcp, _dhcp()))
 
 
+EVENT_COLUMNS = ("kind", "subtype", "client_mac", "dst_mac", "reason_code", "notes")
+
+
 def with_message_events(rows: DataFrame) -> DataFrame:
-    """Rows whose message is an event, with the event's columns."""
-    event = rows.withColumn("event", message_event()).filter(F.col("event").isNotNull())
+    """SRC02-SRC04: add the event of each message; its columns are NULL if there is none."""
+    event = F.when(F.col("msg").isNotNull(), message_event())
     return (
-        event.select(*rows.columns, "event.*")
+        once(rows, "event", event)
+        .select(*rows.columns, *[F.col(f"event.{c}").alias(c) for c in EVENT_COLUMNS])
         .withColumn(
             "category",
-            F.when(F.col("kind") == "link_reset", categorize(F.col("kind"))).otherwise("context"),
+            F.when(F.col("kind") == "link_reset", categorize(F.col("kind"))).when(
+                F.col("kind").isNotNull(), "context"
+            ),
         )
     )
 
 
 def syslog_rows(lines: DataFrame, params: AnalysisParams) -> DataFrame:
     """Events of numbered lines; lines of no known framing are kept with a ``reject`` reason."""
-    split = split_syslog(nonblank(lines), params).withColumn(
-        "at", finalize(F.col("stamp"), params.timezone, params.assume_offset)
-    )
-    read = split.filter(F.col("at").isNotNull())
-    bad = split.filter(F.col("at").isNull()).select(
-        F.col("path").alias("source_file"),
-        F.col("line_no").alias("ordinal"),
-        F.lit("no recognizable syslog timestamp").alias("reject"),
-    )
-    good = with_message_events(read).select(
-        "at.*",
-        "kind", "category", "subtype", "client_mac", "dst_mac", "reason_code", "notes",
-        F.col("path").alias("source_file"),
-        F.col("line_no").alias("ordinal"),
-        F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("source_ref"),
-        F.col("line").alias("raw"),
-    )
-    return good.unionByName(bad, allowMissingColumns=True).withColumn(
-        "source_kind", F.lit("opnsense")
+    split = split_syslog(nonblank(lines), params)
+    dated = once(split, "at", finalize(F.col("stamp"), params.timezone, params.assume_offset))
+    return (
+        with_message_events(dated)
+        .filter(F.col("at").isNull() | F.col("kind").isNotNull())
+        .select(
+            "at.*",
+            "category",
+            *EVENT_COLUMNS,
+            F.col("path").alias("source_file"),
+            F.col("line_no").alias("ordinal"),
+            F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("source_ref"),
+            F.col("line").alias("raw"),
+            F.when(F.col("at").isNull(), "no recognizable syslog timestamp").alias("reject"),
+            F.lit("opnsense").alias("source_kind"),
+        )
     )
 
 
