@@ -1,4 +1,4 @@
-"""Name a value once and use it several times within one expression."""
+"""Small expression helpers: name a value once, compute a column once, divide exactly."""
 
 from __future__ import annotations
 
@@ -17,6 +17,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def floor_div(value: Column, by: Column | int) -> Column:
+    """Integer quotient rounded down, exact for any 64-bit value."""
+    by = F.lit(by).cast("bigint") if isinstance(by, int) else by
+    return F.call_function("div", value - F.pmod(value, by), by)
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that filters further up do not compute again.
 

@@ -112,7 +112,7 @@ def width_counts(around: Ordered, widths_us: list[int]) -> DataFrame:
     n_bins = F.greatest(F.ceil((hi - lo) / (2 * w)), F.lit(1)).cast("bigint")
 
     def bin_of(t: Column) -> Column:
-        return F.when(t.isNotNull(), F.least(_floor_div(t - lo, 2 * w), n_bins - 1))
+        return F.when(t.isNotNull(), F.least(F.call_function("div", t - lo, 2 * w), n_bins - 1))
 
     def covered(prev: str) -> Column:
         """What [t-w, t+w] adds to the union that the row before already covers."""
@@ -164,11 +164,6 @@ def width_counts(around: Ordered, widths_us: list[int]) -> DataFrame:
     )
 
 
-def _floor_div(numerator: Column, denominator: Column) -> Column:
-    """Integer quotient; numerators here are never negative."""
-    return F.call_function("div", numerator, denominator)
-
-
 def rates(counts: DataFrame) -> DataFrame:
     """ST01 / AGG08 / ST06: rates, baseline, lift and the exposure rate ratio.
 

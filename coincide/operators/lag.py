@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coincide.functions.let import floor_div
 from coincide.operators.association import distance_us
 from coincide.operators.ordered import Ordered
 from coincide.operators.shift import disruption_intervals
@@ -20,7 +21,7 @@ MAX_LAG_US = MAX_LAG_S * MICROS
 
 
 def _slot(t: Column) -> Column:
-    return F.floor(t / F.lit(MAX_LAG_US)).cast("bigint")
+    return floor_div(t, MAX_LAG_US)
 
 
 def _reach(anchors: DataFrame) -> DataFrame:
@@ -45,10 +46,10 @@ def lag_hits(around: Ordered, window_us: int) -> DataFrame:
     )
     met = _reach(around.df.filter("side = 0")).join(pieces, ["case_id", "slot"])
     first = F.greatest(
-        F.ceil((F.col("from_us") - F.col("ts_us")) / MICROS).cast("bigint"), F.lit(-MAX_LAG_S)
+        -floor_div(F.col("ts_us") - F.col("from_us"), MICROS), F.lit(-MAX_LAG_S)
     )
     last = F.least(
-        F.floor((F.col("to_us") - F.col("ts_us")) / MICROS).cast("bigint"), F.lit(MAX_LAG_S)
+        floor_div(F.col("to_us") - F.col("ts_us"), MICROS), F.lit(MAX_LAG_S)
     )
     steps = (
         met.select("case_id", "n", first.alias("first"), last.alias("last"))

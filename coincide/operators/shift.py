@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coincide.functions.let import floor_div
 from coincide.operators.ordered import CHUNK, Ordered, Running
 
-# Fixed limits: anchors per block, trials per task row, intervals that may travel as one array.
-BLOCK_ANCHORS = 8192
-BLOCK_TRIALS = 500
+# Limits: anchors per block, trials per row of work, intervals that may travel as one array.
+LEAST_BLOCK, LARGEST_BLOCK = 4096, 1 << 20
+LEAST_TRIALS = 250
 ARRAY_INTERVALS = 2_000_000
 
 
@@ -67,23 +68,36 @@ def shift_counts(
     intervals = disruption_intervals(around, widths_us)
     anchors = around.filter(F.col("side") == 0)
     # The bound on intervals per case needs only the longest period.
-    longest = anchors.df.agg(F.max(F.col("hi_us") - F.col("lo_us"))).first()[0] or 0
-    if longest // (2 * min(widths_us)) + 2 <= array_limit:
-        return _counts_by_array(anchors, intervals, trials, seed, mode)
+    longest, n = anchors.df.agg(
+        F.max(F.col("hi_us") - F.col("lo_us")), F.count(F.lit(1))
+    ).first()
+    if (longest or 0) // (2 * min(widths_us)) + 2 <= array_limit:
+        return _counts_by_array(anchors, intervals, trials, seed, mode, n * len(widths_us))
     return _counts_by_slot(anchors, intervals, widths_us, trials, seed, mode)
 
 
 def _counts_by_array(
-    anchors: Ordered, intervals: DataFrame, trials: int, seed: int, mode: str
+    anchors: Ordered, intervals: DataFrame, trials: int, seed: int, mode: str, n: int
 ) -> DataFrame:
+    """One row of work per block of anchors and width, and per share of the trials if need be.
+
+    Many anchors make large blocks, each of which meets the intervals once for all trials; few
+    anchors make few blocks, whose trials are shared out to keep every core busy.
+    """
     spark = intervals.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    block = min(max(n // tasks, LEAST_BLOCK), LARGEST_BLOCK)
+    shares = min(max(2 * tasks * block // max(n, 1), 1), -(-trials // LEAST_TRIALS))
+    per_share = -(-trials // shares)
     arrays = intervals.groupBy("case_id", "window_us").agg(
         F.array_sort(F.collect_list("from_us")).alias("starts"),
         F.array_sort(F.collect_list("to_us")).alias("ends"),
     )
     number = F.row_number().over(anchors.window()) - 1
     blocks = (
-        anchors.with_columns({"block": F.call_function("div", number, F.lit(BLOCK_ANCHORS))})
+        anchors.with_columns({"block": F.call_function("div", number, F.lit(block))})
         .df.groupBy("case_id", CHUNK, "block")
         .agg(
             F.first("lo_us").alias("lo_us"),
@@ -94,18 +108,17 @@ def _counts_by_array(
     )
     work = (
         blocks.join(arrays, "case_id")
-        .withColumn("first_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(BLOCK_TRIALS))))
+        .withColumn(
+            "first_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(per_share)))
+        )
         .withColumn("low_us", lowest_shift(F.col("hi_us") - F.col("lo_us"), F.col("window_us")))
     )
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
     spread = work.repartition(tasks, "case_id", "window_us", CHUNK, "block", "first_trial")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                hits = _hits(row, seed, mode, trials)
+                hits = _hits(row, seed, mode, trials, per_share)
                 yield pd.DataFrame(
                     {
                         "case_id": row.case_id,
@@ -122,11 +135,11 @@ def _counts_by_array(
     )
 
 
-def _hits(row, seed: int, mode: str, trials: int) -> np.ndarray:
+def _hits(row, seed: int, mode: str, trials: int, share: int) -> np.ndarray:
     """Hits of one block of anchors for a range of trials."""
     span = row.hi_us - row.lo_us
     offsets = shift_offsets(seed, mode, trials, row.low_us, span).astype(np.int64)
-    offsets = offsets[row.first_trial : row.first_trial + BLOCK_TRIALS]
+    offsets = offsets[row.first_trial : row.first_trial + share]
     base = np.asarray(row.ts, dtype=np.int64) - row.lo_us
     weight = np.asarray(row.n, dtype=np.int64)
     # A point lies in an interval when an odd number of edges is at or before it.
@@ -153,7 +166,7 @@ def _counts_by_slot(
     w = F.col("window_us")
 
     def slot(t: Column) -> Column:
-        return F.floor(t / (4 * w)).cast("bigint")
+        return floor_div(t, 4 * w)
 
     low, high = F.col("from_us"), F.col("to_us")
     slotted = intervals.withColumn("slot", F.explode(F.sequence(slot(low), slot(high))))

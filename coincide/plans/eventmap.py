@@ -25,13 +25,19 @@ def client_mac(user: str = "user_id") -> Column:
     )
 
 
-def canonical(raw: DataFrame, cases: int = 1, view_resets: bool = False) -> DataFrame:
+def canonical(
+    raw: DataFrame, cases: int = 1, view_resets: bool = False, types: tuple[str, ...] = ()
+) -> DataFrame:
     """Map the driver's event types: purchases are anchors, errors are frames.
 
+    ``types`` names the event types an operator looks at, so that the scan skips the others.
+
     Views count as link resets only where they are asked for; otherwise they are context, which
     keeps the chance baseline low.
     """
     k, kind_of = prop_k(), F.col("event_type")
+    if types:
+        raw = raw.filter(kind_of.isin(*types))
     view = "link_reset" if view_resets else "context"
     kind = (
         F.when(kind_of == "purchase", "camera")

@@ -29,6 +29,9 @@ QUERIES: dict[str, Query] = {}
 # Parameters of the registered queries; the oracle uses the same.
 PARAMS = AnalysisParams(timezone="UTC", trials=200, offsets="grid")
 WIDTHS = PARAMS.widths_us()
+PAIR = ("purchase", "error")
+PASSES, FRAMES = ("purchase",), ("error",)
+LEASES = ("signup", "click", "view")
 GAP = micros(10)
 WIDE_GAP = micros(600)
 SIX_HOURS = micros(6 * 3600)
@@ -61,7 +64,7 @@ class Study:
     """Neighbours and periods of one set of events, shared by the statistics."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cases: int = 1) -> None:
-        self.events = events(spark, sf_dir, cases=cases)
+        self.events = events(spark, sf_dir, cases=cases, types=PAIR)
         found = incidents(self.events, GAP).select("case_id", "start_us")
         self.around = asc.neighbours(asc.both_streams(anchors(self.events), found))
         self.periods = asc.observation_period(self.around.df, PARAMS.window_us)
@@ -73,7 +76,9 @@ class Study:
 
 @query
 def dv02_incidents(spark, sf_dir):
-    found = incidents(events(spark, sf_dir, view_resets=True), WIDE_GAP)
+    found = incidents(
+        events(spark, sf_dir, view_resets=True, types=("error", "view")), WIDE_GAP
+    )
     return found.select(
         "case_id", "start_us", "end_us", "n_events",
         *[joined(c).alias(c) for c in ("kinds", "src_macs", "client_macs", "sources")],
@@ -229,7 +234,7 @@ def st10_lag_scan(spark, sf_dir):
 @query
 def st12_calibration(spark, sf_dir):
     """Every user is a case; cases are grouped into scenarios by user id modulo four."""
-    ev = events(spark, sf_dir, cases=1_000_003)
+    ev = events(spark, sf_dir, cases=1_000_003, types=PAIR)
     found = incidents(ev, GAP).select("case_id", "start_us")
     around = asc.neighbours(asc.both_streams(anchors(ev), found))
     periods = asc.observation_period(around.df, PARAMS.window_us)
@@ -254,7 +259,7 @@ def agg13_wilson(spark, sf_dir):
 
 @query
 def jn01_nearest_incident(spark, sf_dir):
-    ev = events(spark, sf_dir, cases=8)
+    ev = events(spark, sf_dir, cases=8, types=PAIR)
     others = incidents(ev, GAP).select("case_id", F.col("start_us").alias("ts_us"))
     return nr.nearest(anchors(ev).select("case_id", "seq", "ts_us"), others).select(
         "case_id", "seq", "nearest_us", "delta_us"
@@ -263,7 +268,7 @@ def jn01_nearest_incident(spark, sf_dir):
 
 @query
 def jn02_band_count(spark, sf_dir):
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, types=PAIR)
     return nr.band_count(
         anchors(ev).select("case_id", "seq", "ts_us"), disruptions(ev), WIDE_GAP
     ).select("case_id", "seq", big("events_in_window").alias("events_in_window"))
@@ -271,7 +276,7 @@ def jn02_band_count(spark, sf_dir):
 
 @query
 def jn03_coincidence(spark, sf_dir):
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, types=PAIR)
     return nr.coincident(
         anchors(ev).select("case_id", "seq", "ts_us"), frames(ev), PARAMS.window_us
     ).select("case_id", "seq", "delta_us")
@@ -284,7 +289,7 @@ def jn05_point_in_interval(spark, sf_dir):
 
 
 def _matches(spark, sf_dir, window_us: int = WIDE_GAP) -> DataFrame:
-    ev = events(spark, sf_dir, view_resets=True)
+    ev = events(spark, sf_dir, view_resets=True, types=(*PAIR, "view"))
     found = durable(incidents(ev, GAP), "incidents")
     streams = asc.both_streams(anchors(ev), found.select("case_id", "start_us"))
     periods = asc.observation_period(streams, window_us)
@@ -314,12 +319,14 @@ def agg09_delta_summary(spark, sf_dir):
 
 @query
 def dv01_client_drops(spark, sf_dir):
-    found = client_drops(events(spark, sf_dir, view_resets=True), SIX_HOURS, SIX_HOURS // 6)
+    found = client_drops(
+        events(spark, sf_dir, view_resets=True, types=LEASES), SIX_HOURS, SIX_HOURS // 6
+    )
     return found.select("ts_us", "client_mac", "kind", "category", "subtype", "source_kind")
 
 
 def _flood_frames(spark, sf_dir) -> DataFrame:
-    return fl.flood_frames(events(spark, sf_dir), FLOOD_WINDOW, FLOOD_K)
+    return fl.flood_frames(events(spark, sf_dir, types=FRAMES), FLOOD_WINDOW, FLOOD_K)
 
 
 @query
@@ -337,12 +344,12 @@ def agg03_flood_tallies(spark, sf_dir):
 
 @query
 def agg03_frame_tallies(spark, sf_dir):
-    return fl.frame_tallies(events(spark, sf_dir))
+    return fl.frame_tallies(events(spark, sf_dir, types=FRAMES))
 
 
 @query
 def agg12_signature_share(spark, sf_dir):
-    return fl.frame_totals(events(spark, sf_dir, cases=8)).select(
+    return fl.frame_totals(events(spark, sf_dir, cases=8, types=FRAMES)).select(
         "case_id", "total_frames", "broadcast_frames", "signature_frames",
         F.array_join(F.col("signature_codes").cast("array<string>"), ",").alias("signature_codes"),
         r9("signature_share").alias("signature_share"),
@@ -351,11 +358,11 @@ def agg12_signature_share(spark, sf_dir):
 
 @query
 def dd01_dedupe(spark, sf_dir):
-    kept = dd.dedupe_anchors(events(spark, sf_dir), PASS_WINDOW)
+    kept = dd.dedupe_anchors(events(spark, sf_dir, types=PASSES), PASS_WINDOW)
     return anchors(kept).select("case_id", "seq", "ts_us", "source_file", "plate")
 
 
 @query
 def dd02_debounce(spark, sf_dir):
-    rows = anchors(events(spark, sf_dir)).select("case_id", "source_file", "seq", "ts_us")
+    rows = anchors(events(spark, sf_dir, types=PASSES)).select("case_id", "source_file", "seq", "ts_us")
     return dd.debounce(rows, ["case_id", "source_file"], WIDE_GAP)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coincide.functions.display import fixed, humanize_delta, lift_text, number_text, p_text
@@ -67,14 +67,18 @@ def statistics_table(stats: DataFrame) -> DataFrame:
     )
 
 
+def _first_per_case(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first rows of each case; Spark limits every task's rows before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+
+
 def top_sources(tallies: DataFrame, limit: int = TOP_SOURCES) -> DataFrame:
-    """TK02: sources with the most frames."""
-    return (
-        tallies.filter("what = 'source'")
-        .select("case_id", F.col("value").alias("src_mac"), "n_frames")
-        .orderBy(F.desc("n_frames"), "src_mac", "case_id")
-        .limit(limit)
+    """TK02: each case's sources with the most frames."""
+    sources = tallies.filter("what = 'source'").select(
+        "case_id", F.col("value").alias("src_mac"), "n_frames"
     )
+    return _first_per_case(sources, limit, F.desc("n_frames"), F.asc("src_mac"))
 
 
 def reason_table(tallies: DataFrame) -> DataFrame:
@@ -88,10 +92,11 @@ def reason_table(tallies: DataFrame) -> DataFrame:
 
 
 def first_floods(floods: DataFrame, limit: int = TOP_FLOODS) -> DataFrame:
-    """TK04: the first floods, each with how many were left out of the table."""
-    omitted = floods.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("omitted"))
-    first = floods.orderBy("start_us", "case_id").limit(limit)
-    return first.crossJoin(F.broadcast(omitted))  # one row
+    """TK04: each case's first floods, with how many are left out of the table."""
+    omitted = floods.groupBy("case_id").agg(
+        F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("omitted")
+    )
+    return _first_per_case(floods, limit, F.asc("start_us")).join(omitted, "case_id")
 
 
 def _finite(columns: tuple[str, ...], schema: dict[str, str]) -> Column:

@@ -17,6 +17,7 @@ from coincide.plans.eventmap import client_mac, prop_k, read_events
 from coincide.plans.queries import (
     FLOOD_K,
     FLOOD_WINDOW,
+    FRAMES,
     GAP,
     PARAMS,
     WIDE_GAP,
@@ -439,7 +440,7 @@ def snk05_statistics(spark, sf_dir):
 
 @query
 def snk06_timeline(spark, sf_dir):
-    return sinks.timeline_buckets(incidents(events(spark, sf_dir), GAP))
+    return sinks.timeline_buckets(incidents(events(spark, sf_dir, types=FRAMES), GAP))
 
 
 @query
@@ -488,19 +489,19 @@ def snk04_manifest(spark, sf_dir):
 
 @query
 def tk02_top_sources(spark, sf_dir):
-    return report.top_sources(fl.frame_tallies(events(spark, sf_dir)), 10)
+    return report.top_sources(fl.frame_tallies(events(spark, sf_dir, types=FRAMES)), 10)
 
 
 @query
 def tk03_reasons(spark, sf_dir):
-    return report.reason_table(fl.frame_tallies(events(spark, sf_dir))).select(
+    return report.reason_table(fl.frame_tallies(events(spark, sf_dir, types=FRAMES))).select(
         "case_id", big("reason_code").alias("reason_code"), "meaning", "n_frames"
     )
 
 
 @query
 def tk04_first_floods(spark, sf_dir):
-    rows = durable(fl.flood_frames(events(spark, sf_dir), FLOOD_WINDOW, FLOOD_K), "flood-frames")
+    rows = durable(fl.flood_frames(events(spark, sf_dir, types=FRAMES), FLOOD_WINDOW, FLOOD_K), "flood-frames")
     return report.first_floods(fl.floods(rows, FLOOD_WINDOW)).select(
         "case_id", "start_us", "n_frames", big("omitted").alias("omitted")
     )
