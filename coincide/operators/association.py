@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coincide.operators.ordered import Ordered, Running, arrange
 from coincide.params import MICROS
-from coincide.schema import in_period
+from coincide.schema import CAMERA, DISRUPTION, in_period
 
 
 def instants(rows: DataFrame, time: str = "ts_us") -> DataFrame:
@@ -34,55 +34,74 @@ def observation_period(streams: DataFrame, pad_us: int) -> DataFrame:
 
     ``streams`` has case_id, ts_us and ``side``.
     """
-    is_anchor = F.col("side") == 0
-
-    def edge(fold, side: Column) -> Column:
-        return fold(F.when(side, F.col("ts_us")))
-
     spans = streams.groupBy("case_id").agg(
-        edge(F.min, is_anchor).alias("a_lo"),
-        edge(F.max, is_anchor).alias("a_hi"),
-        edge(F.min, ~is_anchor).alias("i_lo"),
-        edge(F.max, ~is_anchor).alias("i_hi"),
+        *[
+            F.expr(f"{fold}(CASE WHEN side = {side} THEN ts_us END) AS {name}")
+            for fold, side, name in (
+                ("min", 0, "a_lo"), ("max", 0, "a_hi"), ("min", 1, "i_lo"), ("max", 1, "i_hi")
+            )
+        ]
     )
-    overlap = F.col("a_lo").isNotNull() & F.col("i_lo").isNotNull()
-    lo = F.when(overlap, F.greatest("a_lo", "i_lo")).otherwise(F.coalesce("a_lo", "i_lo"))
-    hi = F.when(overlap, F.least("a_hi", "i_hi")).otherwise(F.coalesce("a_hi", "i_hi"))
-    periods = spans.select(
-        "case_id", (lo - pad_us).alias("lo_us"), (hi + pad_us).alias("hi_us"),
-        overlap.alias("two_streams"), "a_lo", "a_hi", "i_lo", "i_hi",
+    periods = spans.selectExpr(
+        "*",
+        "a_lo IS NOT NULL AND i_lo IS NOT NULL AS two_streams",
+        "if(a_lo IS NULL OR i_lo IS NULL, coalesce(a_lo, i_lo), greatest(a_lo, i_lo))"
+        f" - {pad_us} AS lo_us",
+        "if(a_hi IS NULL OR i_hi IS NULL, coalesce(a_hi, i_hi), least(a_hi, i_hi))"
+        f" + {pad_us} AS hi_us",
     )
 
-    def discarded(lo_col: str, hi_col: str) -> Column:
-        outside = F.greatest(F.lit(0), F.col("lo_us") - F.col(lo_col)) + F.greatest(
-            F.lit(0), F.col(hi_col) - F.col("hi_us")
-        )
-        return F.when(F.col("two_streams") & (F.col("hi_us") > F.col("lo_us")), outside / 3.6e9)
+    def discarded(stream: str, name: str) -> str:
+        outside = f"greatest(0, lo_us - {stream}_lo) + greatest(0, {stream}_hi - hi_us)"
+        return f"CASE WHEN two_streams AND hi_us > lo_us THEN ({outside}) / 3.6e9D END AS {name}"
 
-    return periods.select(
+    return periods.selectExpr(
         "case_id",
         "lo_us",
         "hi_us",
-        F.coalesce(F.col("two_streams") & (F.col("hi_us") <= F.col("lo_us")), F.lit(False)).alias(
-            "disjoint"
-        ),
-        discarded("a_lo", "a_hi").alias("discarded_anchor_h"),
-        discarded("i_lo", "i_hi").alias("discarded_incident_h"),
+        "two_streams AND hi_us <= lo_us AS disjoint",
+        discarded("a", "discarded_anchor_h"),
+        discarded("i", "discarded_incident_h"),
     )
 
 
+def _with_neighbours(ordered: Ordered) -> Ordered:
+    anchor = F.expr("CASE WHEN side = 0 THEN ts_us END")
+    incident = F.expr("CASE WHEN side = 1 THEN ts_us END")
+    return ordered.running(
+        before={"prev_a": Running("max", anchor), "prev_i": Running("max", incident)},
+        after={"next_a": Running("min", anchor), "next_i": Running("min", incident)},
+    ).settled()
+
+
 def neighbours(streams: DataFrame, chunks: int | None = None) -> Ordered:
     """Instants of both streams, each with the anchors and incidents around it.
 
     Anchors come first at equal times, so the incident after an anchor may be simultaneous, and
     so may the anchor before an incident.
     """
-    anchor = F.when(F.col("side") == 0, F.col("ts_us"))
-    incident = F.when(F.col("side") == 1, F.col("ts_us"))
-    return arrange(streams, ["case_id"], ["ts_us", "side"], chunks).running(
-        before={"prev_a": Running("max", anchor), "prev_i": Running("max", incident)},
-        after={"next_a": Running("min", anchor), "next_i": Running("min", incident)},
+    return _with_neighbours(arrange(streams, ["case_id"], ["ts_us", "side"], chunks))
+
+
+def event_neighbours(events: DataFrame, gap_us: int, chunks: int | None = None) -> Ordered:
+    """The same from events directly: incidents are found in the order that neighbours need.
+
+    An incident starts at a disruption instant more than ``gap_us`` after the one before.
+    """
+    rows = (
+        events.filter(F.col("category").isin(CAMERA, DISRUPTION))
+        .groupBy("case_id", "ts_us", F.expr("if(category = 'camera', 0, 1) AS side"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    disruption = F.expr("CASE WHEN side = 1 THEN ts_us END")
+    starts = F.expr(f"side = 0 OR prev_d IS NULL OR ts_us - prev_d > {gap_us}")
+    streams = (
+        arrange(rows, ["case_id"], ["ts_us", "side"], chunks)
+        .running(before={"prev_d": Running("max", disruption)})
+        .filter(starts)
     )
+    counted = streams.df.withColumn("n", F.expr("if(side = 1, 1L, n)")).drop("prev_d")
+    return _with_neighbours(streams.with_df(counted))
 
 
 def within(around: Ordered, periods: DataFrame) -> Ordered:
@@ -106,64 +125,73 @@ def distance_us(before: str, after: str) -> Column:
 
 
 def width_counts(around: Ordered, widths_us: list[int]) -> DataFrame:
-    """Raw counts per case and width: hits, coverage, exposure and the 2x2 bin table."""
-    ts, lo, hi, w = F.col("ts_us"), F.col("lo_us"), F.col("hi_us"), F.col("window_us")
-    is_a, is_i = F.col("side") == 0, F.col("side") == 1
-    n_bins = F.greatest(F.ceil((hi - lo) / (2 * w)), F.lit(1)).cast("bigint")
+    """Raw counts per case and width: hits, coverage, exposure and the 2x2 bin table.
 
-    def bin_of(t: Column) -> Column:
-        return F.when(t.isNotNull(), F.least(F.call_function("div", t - lo, 2 * w), n_bins - 1))
+    What [t-w, t+w] adds to the union of the intervals before it depends only on the row before,
+    and a bin is newly occupied when the row before lies in another bin.
+    """
+    per_width = around.df.withColumn("window_us", each_width(widths_us)).withColumn(
+        "n_bins", F.expr(N_BINS.format(span="(hi_us - lo_us)"))
+    )
 
-    def covered(prev: str) -> Column:
-        """What [t-w, t+w] adds to the union that the row before already covers."""
-        end = F.least(ts + w, hi)
-        begin = F.greatest(ts - w, lo, F.col(prev) + w)
-        return F.greatest(end - begin, F.lit(0))
+    def bin_of(t: str) -> str:
+        return f"""CASE WHEN {t} IS NOT NULL
+            THEN least(({t} - lo_us) div (2 * window_us), n_bins - 1) END AS bin_{t}"""
 
-    def first_in_bin(prev: str) -> Column:
-        return F.col(prev).isNull() | (bin_of(F.col(prev)) != bin_of(ts))
+    def added(prev: str) -> str:
+        return f"""greatest(0L, least(ts_us + window_us, hi_us)
+            - greatest(ts_us - window_us, lo_us, {prev} + window_us)) AS added_{prev}"""
 
-    def in_my_bin(other: str) -> Column:
-        return F.coalesce(bin_of(F.col(other)) == bin_of(ts), F.lit(False))
+    def near(prev: str, after: str) -> str:
+        nearest = f"least(ts_us - {prev}, {after} - ts_us)"
+        return f"coalesce({nearest} <= window_us, false) AS near_{prev}"
 
-    near = {
-        "a": F.coalesce(distance_us("prev_i", "next_i") <= w, F.lit(False)),
-        "i": F.coalesce(distance_us("prev_a", "next_a") <= w, F.lit(False)),
-    }
-    zero = F.lit(0).cast("bigint")
+    rows = per_width.selectExpr(
+        "case_id", "window_us", "side", "n", "n_bins", "hi_us - lo_us AS span_us",
+        near("prev_i", "next_i"), near("prev_a", "next_a"), added("prev_i"), added("prev_a"),
+        *[bin_of(t) for t in ("ts_us", "prev_a", "prev_i", "next_i")],
+    )
 
-    def total(condition: Column, value: Column) -> Column:
-        return F.sum(F.when(condition, value).otherwise(zero)).cast("bigint")
+    def total(condition: str, value: str) -> Column:
+        return F.expr(f"sum(CASE WHEN {condition} THEN {value} ELSE 0L END)")
 
-    n, one = F.col("n"), F.lit(1)
+    new_a = "side = 0 AND (bin_prev_a IS NULL OR bin_prev_a <> bin_ts_us)"
+    new_i = "side = 1 AND (bin_prev_i IS NULL OR bin_prev_i <> bin_ts_us)"
+    shared = "(coalesce(bin_prev_i = bin_ts_us, false) OR coalesce(bin_next_i = bin_ts_us, false))"
     return (
-        around.df.withColumn("window_us", F.explode(F.array(*[F.lit(x).cast("bigint") for x in widths_us])))
-        .groupBy("case_id", "window_us")
+        rows.groupBy("case_id", "window_us")
         .agg(
-            F.first(hi - lo).alias("span_us"),
-            F.first(n_bins).alias("n_bins"),
-            total(is_a, n).alias("n_anchors"),
-            total(is_i, n).alias("n_incidents"),
-            total(is_a & near["a"], n).alias("n_coincident"),
-            total(is_i & near["i"], n).alias("incidents_inside"),
-            total(is_i, covered("prev_i")).alias("covered_us"),
-            total(is_a, covered("prev_a")).alias("exposed_us"),
-            total(is_a & first_in_bin("prev_a"), one).alias("anchor_bins"),
-            total(is_i & first_in_bin("prev_i"), one).alias("incident_bins"),
-            total(
-                is_a & first_in_bin("prev_a") & (in_my_bin("prev_i") | in_my_bin("next_i")), one
-            ).alias("cell_a"),
+            F.first("span_us").alias("span_us"),
+            F.first("n_bins").alias("n_bins"),
+            total("side = 0", "n").alias("n_anchors"),
+            total("side = 1", "n").alias("n_incidents"),
+            total("side = 0 AND near_prev_i", "n").alias("n_coincident"),
+            total("side = 1 AND near_prev_a", "n").alias("incidents_inside"),
+            total("side = 1", "added_prev_i").alias("covered_us"),
+            total("side = 0", "added_prev_a").alias("exposed_us"),
+            total(new_a, "1L").alias("anchor_bins"),
+            total(new_i, "1L").alias("incident_bins"),
+            total(f"{new_a} AND {shared}", "1L").alias("cell_a"),
         )
-        .withColumn("cell_b", F.col("anchor_bins") - F.col("cell_a"))
-        .withColumn("cell_c", F.col("incident_bins") - F.col("cell_a"))
-        .withColumn(
-            "cell_d",
-            F.greatest(F.col("n_bins") - F.col("anchor_bins") - F.col("cell_c"), F.lit(0)),
+        .selectExpr(
+            "*",
+            "anchor_bins - cell_a AS cell_b",
+            "incident_bins - cell_a AS cell_c",
+            "greatest(n_bins - anchor_bins - incident_bins + cell_a, 0L) AS cell_d",
         )
         .drop("anchor_bins", "incident_bins")
     )
 
 
+# Number of bins of two windows that cover a span; at least one.
+N_BINS = "greatest(({span} + 2 * window_us - 1) div (2 * window_us), 1L)"
+
+
+def each_width(widths_us: list[int]) -> Column:
+    """One row per width."""
+    return F.explode(F.lit(widths_us).cast("array<bigint>"))
+
+
 def rates(counts: DataFrame) -> DataFrame:
     """ST01 / AGG08 / ST06: rates, baseline, lift and the exposure rate ratio.
 

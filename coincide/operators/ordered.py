@@ -62,6 +62,10 @@ class Ordered:
     def with_columns(self, columns: dict[str, Column]) -> Ordered:
         return self.with_df(self.df.withColumns(columns))
 
+    def settled(self) -> Ordered:
+        """Write the rows once, for several readers; a single chunk is as soon computed again."""
+        return self.with_df(durable(self.df, "settled")) if self.spans else self
+
     def running(
         self,
         before: dict[str, Running] | None = None,

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coincide.functions.let import floor_div
+from coincide.operators.association import each_width
 from coincide.operators.ordered import CHUNK, Ordered, Running
 
 # Limits: anchors per block, trials per row of work, intervals that may travel as one array.
@@ -43,9 +44,7 @@ def disruption_intervals(around: Ordered, widths_us: list[int]) -> DataFrame:
     ts, w = F.col("ts_us"), F.col("window_us")
     opens = F.col("prev_i").isNull() | (ts - F.col("prev_i") > 2 * w)
     closes = F.col("next_i").isNull() | (F.col("next_i") - ts > 2 * w)
-    per_width = around.df.filter("side = 1").withColumn(
-        "window_us", F.explode(F.array(*[F.lit(x).cast("bigint") for x in widths_us]))
-    )
+    per_width = around.df.filter("side = 1").withColumn("window_us", each_width(widths_us))
     marked = (
         Ordered(per_width, (*around.keys, "window_us"), around.order, around.spans)
         .with_columns({"opens_us": F.when(opens, ts)})
@@ -172,7 +171,7 @@ def _counts_by_slot(
     slotted = intervals.withColumn("slot", F.explode(F.sequence(slot(low), slot(high))))
     spans = anchors.df.select(
         "case_id", "lo_us", "hi_us", "ts_us", "n",
-        F.explode(F.array(*[F.lit(x).cast("bigint") for x in widths_us])).alias("window_us"),
+        each_width(widths_us).alias("window_us"),
     ).withColumn("span", F.col("hi_us") - F.col("lo_us"))
 
     @F.pandas_udf("array<bigint>")

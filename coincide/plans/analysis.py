@@ -16,8 +16,9 @@ from coincide.functions.probability import (
 )
 from coincide.operators import floods as fl
 from coincide.operators.association import (
-    both_streams,
-    neighbours,
+    N_BINS,
+    each_width,
+    event_neighbours,
     observation_period,
     rates,
     width_counts,
@@ -32,7 +33,6 @@ from coincide.operators.ordered import Ordered
 from coincide.operators.shift import shift_counts, with_shift_test
 from coincide.operators.verdict import combine_tests, decide
 from coincide.params import SWEEP_TRIALS, AnalysisParams, micros
-from coincide.schema import anchors
 from coincide.session import durable
 
 
@@ -64,23 +64,24 @@ def window_stats(
     """
     inside = within(around, periods)
     counts = width_counts(inside, widths_us)
-    widths = F.explode(F.array(*[F.lit(w).cast("bigint") for w in widths_us]))
     every = periods.select(
         "case_id",
         (F.col("hi_us") - F.col("lo_us")).alias("period_us"),
-        widths.alias("window_us"),
+        each_width(widths_us).alias("window_us"),
+    )
+    bins = F.expr(N_BINS.format(span="period_us"))
+    filled = (
+        every.join(counts, ["case_id", "window_us"], "left")
+        .withColumns(
+            {
+                "span_us": F.coalesce("span_us", F.greatest("period_us", F.lit(0))),
+                "n_bins": F.coalesce("n_bins", bins),
+                "cell_d": F.coalesce("cell_d", bins),
+            }
+        )
+        .drop("period_us")
+        .fillna(0)
     )
-    whole = every.join(counts, ["case_id", "window_us"], "left")
-    empty_bins = F.greatest(
-        F.ceil(F.col("period_us") / (2 * F.col("window_us"))), F.lit(1)
-    ).cast("bigint")
-    filled = whole.withColumns(
-        {
-            "span_us": F.coalesce("span_us", F.greatest("period_us", F.lit(0))),
-            "n_bins": F.coalesce("n_bins", empty_bins),
-            "cell_d": F.coalesce("cell_d", empty_bins),
-        }
-    ).drop("period_us").fillna(0)
     cells = [F.col(f"cell_{x}") for x in "abcd"]
     shifted = with_shift_test(
         filled, shift_counts(inside, widths_us, trials, params.seed, params.offsets), trials
@@ -116,7 +117,7 @@ def run_analysis(
     if problems:
         raise ValueError("; ".join(problems))
     merged, found = prepare(events, params, chunks)
-    around = neighbours(both_streams(anchors(merged), found), chunks)
+    around = event_neighbours(merged, micros(params.incident_gap_s), chunks)
     periods = durable(observation_period(around.df, params.window_us), "periods")
 
     stats = window_stats(around, periods, [params.window_us], params.trials, params)

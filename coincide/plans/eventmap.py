@@ -35,43 +35,43 @@ def canonical(
     Views count as link resets only where they are asked for; otherwise they are context, which
     keeps the chance baseline low.
     """
-    k, kind_of = prop_k(), F.col("event_type")
     if types:
-        raw = raw.filter(kind_of.isin(*types))
-    view = "link_reset" if view_resets else "context"
-    kind = (
-        F.when(kind_of == "purchase", "camera")
-        .when((kind_of == "error") & (k % 2 == 0), "deauth")
-        .when(kind_of == "error", "disassoc")
-        .when(kind_of == "view", view)
-        .otherwise("assoc")
+        raw = raw.filter(F.col("event_type").isin(*types))
+    case = "'case0'" if cases == 1 else f"concat('case', user_id % {cases})"
+    spelled = raw.selectExpr(
+        f"{case} AS case_id",
+        "event_id AS seq",
+        "CAST(ts AS TIMESTAMP) AS ts_utc",
+        "ts AS ts_local",
+        "event_type",
+        "user_id",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "lpad(lower(hex(user_id)), 4, '0') AS digits",
     )
-    error, purchase = kind_of == "error", kind_of == "purchase"
-    user = client_mac()
-    case = (
-        F.lit("case0")
-        if cases == 1
-        else F.concat(F.lit("case"), (F.col("user_id") % cases).cast("string"))
+    view = "link_reset" if view_resets else "context"
+    mapped = spelled.selectExpr(
+        "case_id",
+        "seq",
+        "unix_micros(ts_utc) AS ts_us",
+        "ts_utc",
+        "ts_local",
+        "'+00:00' AS utc_offset",
+        f"""CASE event_type WHEN 'purchase' THEN 'camera' WHEN 'view' THEN '{view}'
+            WHEN 'error' THEN if(k % 2 = 0, 'deauth', 'disassoc') ELSE 'assoc' END AS kind""",
+        "CASE event_type WHEN 'signup' THEN 'DISCOVER' WHEN 'click' THEN 'ACK' END AS subtype",
+        """CASE WHEN event_type = 'error'
+            THEN concat('aa:bb:cc:00:00:', lpad(lower(hex(user_id % 16)), 2, '0')) END AS src_mac""",
+        "concat('3c:22:fb:00:', substr(digits, 1, 2), ':', substr(digits, 3, 2)) AS mac",
+        "event_type = 'error' AS error",
+        "k",
+        "CASE WHEN event_type = 'error' THEN k % 10 END AS reason_code",
+        "CASE WHEN event_type = 'purchase' THEN concat('src', k % 3) END AS source_file",
+        "CASE WHEN event_type = 'purchase' AND k % 2 = 0 THEN concat('P', user_id) END AS plate",
+        "'events' AS source_kind",
     )
-    ts = F.col("ts").cast("timestamp")
-    source = F.lpad(F.lower(F.hex(F.col("user_id") % 16)), 2, "0")
-    mapped = raw.select(
-        case.alias("case_id"),
-        F.col("event_id").alias("seq"),
-        F.unix_micros(ts).alias("ts_us"),
-        ts.alias("ts_utc"),
-        F.col("ts").alias("ts_local"),
-        F.lit("+00:00").alias("utc_offset"),
-        kind.alias("kind"),
-        F.when(kind_of == "signup", "DISCOVER").when(kind_of == "click", "ACK").alias("subtype"),
-        F.when(error, F.concat(F.lit("aa:bb:cc:00:00:"), source)).alias("src_mac"),
-        F.when(error, F.when(k % 3 == 0, BROADCAST).otherwise(user)).alias("dst_mac"),
-        F.when(error & (k % 3 == 0), F.lit(None)).otherwise(user).alias("client_mac"),
-        F.when(error, k % 10).alias("reason_code"),
-        F.when(purchase, F.concat(F.lit("src"), (k % 3).cast("string"))).alias("source_file"),
-        F.when(purchase & (k % 2 == 0), F.concat(F.lit("P"), F.col("user_id").cast("string"))).alias(
-            "plate"
-        ),
-        F.lit("events").alias("source_kind"),
+    addressed = mapped.selectExpr(
+        "* EXCEPT (mac, error, k)",
+        f"CASE WHEN error THEN if(k % 3 = 0, '{BROADCAST}', mac) END AS dst_mac",
+        "CASE WHEN NOT (error AND k % 3 = 0) THEN mac END AS client_mac",
     )
-    return conform(mapped.withColumn("category", categorize(F.col("kind"))))
+    return conform(addressed.withColumn("category", categorize(F.col("kind"))))

@@ -65,8 +65,7 @@ class Study:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cases: int = 1) -> None:
         self.events = events(spark, sf_dir, cases=cases, types=PAIR)
-        found = incidents(self.events, GAP).select("case_id", "start_us")
-        self.around = asc.neighbours(asc.both_streams(anchors(self.events), found))
+        self.around = asc.event_neighbours(self.events, GAP)
         self.periods = asc.observation_period(self.around.df, PARAMS.window_us)
         self.inside = asc.within(self.around, self.periods)
 
@@ -235,8 +234,7 @@ def st10_lag_scan(spark, sf_dir):
 def st12_calibration(spark, sf_dir):
     """Every user is a case; cases are grouped into scenarios by user id modulo four."""
     ev = events(spark, sf_dir, cases=1_000_003, types=PAIR)
-    found = incidents(ev, GAP).select("case_id", "start_us")
-    around = asc.neighbours(asc.both_streams(anchors(ev), found))
+    around = asc.event_neighbours(ev, GAP)
     periods = asc.observation_period(around.df, PARAMS.window_us)
     stats = analysis.window_stats(around, periods, [PARAMS.window_us], PARAMS.trials, PARAMS)
     scenario = (F.substring("case_id", 5, 12).cast("bigint") % 4).alias("scenario")

@@ -61,9 +61,9 @@ def categorize(kind: Column) -> Column:
 def conform(df: DataFrame) -> DataFrame:
     """Give ``df`` exactly the canonical columns, filling absent ones with NULL."""
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in EVENT_SCHEMA
         ]
     )

@@ -138,6 +138,16 @@ def test_width_counts_and_shift(spark, chunks):
                 assert shifted[(case, width, trial)] == brute.hits(moved, i, width)
 
 
+@pytest.mark.parametrize("chunks", CHUNKS)
+def test_neighbours_from_events(spark, chunks):
+    rows = scattered(spark, 7)
+    ev, _, _, _, around = prepared(spark, rows, chunks, 30 * S)
+    columns = ["case_id", "ts_us", "side", "n", "prev_a", "prev_i", "next_a", "next_i"]
+    one = asc.event_neighbours(ev, 10 * S, chunks).df.select(columns)
+    two = around.df.select(columns)
+    assert one.count() == two.count() and one.exceptAll(two).isEmpty()
+
+
 @pytest.mark.parametrize("chunks", CHUNKS)
 def test_lag_scan(spark, chunks):
     rows, w = scattered(spark, 4, top=30_000), 30 * S
