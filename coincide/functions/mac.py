@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coincide.functions.let import let
 from coincide.schema import BROADCAST
 
 # Accepted spellings of an address.
@@ -15,13 +16,17 @@ _IN_TEXT = r"\b((?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2})\b"
 def norm_mac(value: Column) -> Column:
     """FN01: any spelling to lower colon form; NULL if it is no address."""
     cleaned = F.lower(F.regexp_replace(value.cast("string"), r"\s", ""))
-    spelled = F.regexp_replace(cleaned, _PAIRS, "$1:$2:$3:$4:$5:$6")
-    return F.when(cleaned.rlike(_PAIRS), spelled)
+    return let(
+        cleaned,
+        lambda c: F.when(
+            c.rlike(_PAIRS), F.regexp_replace(c, _PAIRS, "$1:$2:$3:$4:$5:$6")
+        ),
+    )
 
 
 def mac_in_text(text: Column) -> Column:
     """FN02: the first colon-form address in a text."""
-    return F.nullif(F.lower(F.regexp_extract(text, _IN_TEXT, 1)), F.lit(""))
+    return let(F.regexp_extract(text, _IN_TEXT, 1), lambda m: F.when(m != "", F.lower(m)))
 
 
 def is_broadcast(mac: Column) -> Column:

@@ -14,6 +14,8 @@ from coincide.functions.let import let
 
 # Accepted shapes.
 ISO = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:[.,](\d{1,9}))?(Z|[+-]\d{2}:?\d{2})?"
+ISO_FRACTION = r"^[.,](\d{1,9})"
+ISO_OFFSET = r"^(?:[.,]\d{1,9})?(Z|[+-]\d{2}:?\d{2})"
 RFC3164 = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?"
 COMPACT = (
     r"(20\d{2})[-_]?(0[1-9]|1[0-2])[-_]?(0[1-9]|[12]\d|3[01])"
@@ -41,7 +43,7 @@ _SEP = "\x01"
 
 
 def groups(text: Column, pattern: str, numbers: list[int], anywhere: bool = False) -> Column:
-    """The wanted groups of a match as an array from index 1 on, or NULL; one regex pass.
+    """The wanted groups of a match, in one regex pass; read them with :func:`group`.
 
     ``pattern`` is matched from the start unless ``anywhere``.
     """
@@ -53,8 +55,12 @@ def groups(text: Column, pattern: str, numbers: list[int], anywhere: bool = Fals
     tail = "$" if pattern.endswith("$") else ".*$"
     whole = f"(?s{flags})^{head}(?:{body}){tail}"
     marked = _SEP + _SEP.join(f"${n}" for n in numbers)
-    parts = F.split(F.regexp_replace(F.translate(text, _SEP, ""), whole, marked), _SEP)
-    return let(parts, lambda p: F.when(F.size(p) > 1, p))
+    return F.split(F.regexp_replace(F.translate(text, _SEP, ""), whole, marked), _SEP)
+
+
+def group(parts: Column, n: int) -> Column:
+    """The n-th wanted group, from one on; NULL without a match."""
+    return F.get(parts, F.lit(n))
 
 
 def _int(part: Column) -> Column:
@@ -82,15 +88,15 @@ def _stamp(wall: Column, offset_s: Column | None = None) -> Column:
 
 
 def _fields(parts: Column, start: int = 1) -> list[Column]:
-    return [_int(parts[i]) for i in range(start, start + 6)]
+    return [_int(group(parts, i)) for i in range(start, start + 6)]
 
 
 def parse_offset(text: Column) -> Column:
     """FN15: ``-04:00``, ``+0530`` or ``Z`` in seconds."""
 
     def seconds(p: Column) -> Column:
-        size = _int(p[2]) * 3600 + _int(p[3]) * 60
-        return F.when(p[1] == "-", -size).otherwise(size)
+        size = _int(group(p, 2)) * 3600 + _int(group(p, 3)) * 60
+        return F.when(group(p, 1) == "-", -size).otherwise(size)
 
     trimmed = F.trim(text)
     return F.when(F.lower(trimmed).isin("z", "utc"), 0).otherwise(
@@ -112,25 +118,43 @@ def offset_str(offset_s: Column) -> Column:
 
 
 def parse_isoish(text: Column) -> Column:
-    """FN07: an ISO-like prefix."""
-    return let(
-        groups(F.trim(text), ISO, [1, 2, 3, 4, 5, 6, 7, 8]),
-        lambda p: _stamp(
-            wall_us(*_fields(p)) + _micro(p[7]), parse_offset(F.nullif(p[8], F.lit("")))
-        ),
-    )
+    """FN07: an ISO-like prefix.
+
+    Once the shape is right, date and time have fixed places and Spark's own cast reads them.
+    """
+
+    def offset(tail: Column) -> Column:
+        """Seconds of ``Z``, ``+hh:mm`` or ``+hhmm`` after an optional fraction; NULL if absent."""
+        return let(
+            F.regexp_extract(tail, ISO_OFFSET, 1),
+            lambda o: F.when(o == "Z", 0).when(
+                o != "",
+                F.when(o.startswith("-"), -1).otherwise(1)
+                * (_int(o.substr(2, 2)) * 3600 + _int(F.right(o, F.lit(2))) * 60),
+            ),
+        )
+
+    def read(t: Column) -> Column:
+        wall = F.unix_micros(
+            F.replace(t.substr(1, 19), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz").cast("timestamp")
+        )
+        tail = t.substr(20, 32)
+        fraction = F.regexp_extract(tail, ISO_FRACTION, 1)
+        return F.when(t.rlike(ISO), _stamp(wall + _micro(fraction), offset(tail)))
+
+    return let(F.trim(text), read)
 
 
 def parse_rfc3164(text: Column, year: Column) -> Column:
     """FN08: month, day and time; the year comes from elsewhere."""
 
     def read(p: Column) -> Column:
-        at = F.instr(F.lit(MONTHS), p[1])
+        at = F.instr(F.lit(MONTHS), group(p, 1))
         month = F.when(
             (at > 0) & (at % 3 == 1), F.call_function("div", at + 2, F.lit(3)).cast("int")
         )
-        fields = [year.cast("int"), month, *[_int(p[i]) for i in (2, 3, 4, 5)]]
-        return _stamp(wall_us(*fields) + _micro(p[6]))
+        fields = [year.cast("int"), month, *[_int(group(p, i)) for i in (2, 3, 4, 5)]]
+        return _stamp(wall_us(*fields) + _micro(group(p, 6)))
 
     return let(groups(text, RFC3164, [1, 2, 3, 4, 5, 6]), read)
 
@@ -139,7 +163,7 @@ def parse_compact(text: Column) -> Column:
     """FN09: an embedded run of date and time digits."""
     return let(
         groups(text, COMPACT, [1, 2, 3, 4, 5, 6, 7], anywhere=True),
-        lambda p: _stamp(wall_us(*_fields(p)) + _micro(p[7])),
+        lambda p: _stamp(wall_us(*_fields(p)) + _micro(group(p, 7))),
     )
 
 
@@ -155,15 +179,15 @@ def parse_epoch(text: Column) -> Column:
 
 def _parse_slashed(text: Column) -> Column:
     def evening(p: Column) -> Column:
-        hour = _int(p[4]) % 12 + F.when(F.lower(p[7]) == "p", 12).otherwise(0)
-        wall = wall_us(_int(p[3]), _int(p[1]), _int(p[2]), hour, _int(p[5]), _int(p[6]))
-        return F.when(_int(p[4]).between(1, 12), wall)
+        hour = _int(group(p, 4)) % 12 + F.when(F.lower(group(p, 7)) == "p", 12).otherwise(0)
+        wall = wall_us(_int(group(p, 3)), _int(group(p, 1)), _int(group(p, 2)), hour, _int(group(p, 5)), _int(group(p, 6)))
+        return F.when(_int(group(p, 4)).between(1, 12), wall)
 
     def slashed(p: Column) -> Column:
-        time = [_int(p[i]) for i in (4, 5, 6)]
+        time = [_int(group(p, i)) for i in (4, 5, 6)]
         return F.coalesce(
-            wall_us(_int(p[3]), _int(p[1]), _int(p[2]), *time),
-            wall_us(_int(p[3]), _int(p[2]), _int(p[1]), *time),
+            wall_us(_int(group(p, 3)), _int(group(p, 1)), _int(group(p, 2)), *time),
+            wall_us(_int(group(p, 3)), _int(group(p, 2)), _int(group(p, 1)), *time),
         )
 
     six = [1, 2, 3, 4, 5, 6]
@@ -287,7 +311,7 @@ def clip_time(name: Column) -> Column:
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
     epoch = let(
         groups(stem, CLIP_EPOCH, [1]),
-        lambda p: _stamp(p[1].cast("bigint") * 1_000_000, F.lit(0)),
+        lambda p: _stamp(group(p, 1).cast("bigint") * 1_000_000, F.lit(0)),
     )
     return F.coalesce(
         labelled(epoch, "unix epoch"),

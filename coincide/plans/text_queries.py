@@ -27,7 +27,7 @@ from coincide.plans.queries import (
     query,
 )
 from coincide.schema import anchors
-from coincide.session import durable, shared_dir
+from coincide.session import durable, shared_dir, spread
 from coincide.sources import (
     airodump,
     api_json,
@@ -48,7 +48,7 @@ RADIOTAP_HEAD = "00000f002e000000" + "0002"
 
 def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the columns from which texts are spelled."""
-    raw = read_events(spark, sf_dir)
+    raw = spread(read_events(spark, sf_dir))
     return raw.select(
         "event_id", "user_id", "event_type", "ts", "value",
         prop_k().alias("k"),

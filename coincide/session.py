@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """Every operator works on UTC instants, so the session must not shift naive timestamps."""
@@ -24,9 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError(
             "spark.checkpoint.dir must name a folder that every executor can reach"
         )
-    fresh = tempfile.mkdtemp(prefix="coincide-stage-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="coincide-stage-")
+    return _LOCAL_DIRS[app]
 
 
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -40,3 +43,9 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work to all cores when the input has fewer splits than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from coincide.functions.let import let, once
 from coincide.functions.mac import mac_in_text
 from coincide.functions.times import (
     finalize,
+    group,
     groups,
     parse_isoish,
     parse_rfc3164,
@@ -64,7 +65,7 @@ WIFI_PROCS = "hostapd|wpa_supplicant|kernel|wlan"
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
 
 
 def split_syslog(lines: DataFrame, params: AnalysisParams) -> DataFrame:
@@ -81,17 +82,17 @@ def split_syslog(lines: DataFrame, params: AnalysisParams) -> DataFrame:
         )
 
     first = let(
-        groups(line, RFC5424, [2, 4, 8]), lambda p: framed(parse_isoish(p[1]), p[2], p[3])
+        groups(line, RFC5424, [2, 4, 8]), lambda p: framed(parse_isoish(group(p, 1)), group(p, 2), group(p, 3))
     )
     second = let(
         groups(line, RFC3164_LINE, [2, 4, 6]),
         lambda p: framed(
-            rewind_if_future(parse_rfc3164(p[1], year), F.col("mtime_us"), tz), p[2], p[3]
+            rewind_if_future(parse_rfc3164(group(p, 1), year), F.col("mtime_us"), tz), group(p, 2), group(p, 3)
         ),
     )
     third = let(
         groups(line, KEA_FILE, [1, 3, 4]),
-        lambda p: framed(parse_isoish(p[1]), F.substring_index(p[2], ".", 1), p[3]),
+        lambda p: framed(parse_isoish(group(p, 1)), F.substring_index(group(p, 2), ".", 1), group(p, 3)),
     )
     return once(lines, "framed", F.coalesce(first, second, third)).select(
         *lines.columns, "framed.stamp", "framed.proc", "framed.msg"
@@ -141,34 +142,52 @@ def _row(kind: Column | str, subtype: Column, mac: Column, notes: Column) -> Col
 def _kea() -> Column:
     """SRC03: a lease event of Kea, or NULL without an address."""
     msg = F.col("msg")
+
+    def subtype(label: Column, packet: Column) -> Column:
+        by_packet = F.nullif(F.regexp_replace(F.upper(packet), "^DHCP", ""), F.lit(""))
+        by_label = F.lit("")
+        for name, op in KEA_SUBTYPES.items():
+            by_label = F.when(label == name, op).otherwise(by_label)
+        return F.when(label == "DHCP4_RELEASE", "RELEASE").otherwise(
+            F.coalesce(by_packet, by_label)
+        )
+
+    def row(mac: Column, packet: Column, label: Column) -> Column:
+        kind = F.when(label == "DHCP4_RELEASE", "context").otherwise("assoc")
+        return _row(kind, subtype(label, packet), mac, label)
+
     mac = F.coalesce(F.lower(_found(msg, KEA_HWADDR)), mac_in_text(msg))
-    event, packet = _found(msg, KEA_EVENT), _found(msg, KEA_PACKET)
-    label = F.coalesce(event, packet, F.lit("KEA_LEASE"))
-    by_packet = F.nullif(F.regexp_replace(F.upper(packet), "^DHCP", ""), F.lit(""))
-    by_label = F.lit("")
-    for name, op in KEA_SUBTYPES.items():
-        by_label = F.when(label == name, op).otherwise(by_label)
-    release = label == "DHCP4_RELEASE"
-    kind = F.when(release, "context").otherwise("assoc")
-    subtype = F.when(release, "RELEASE").otherwise(F.coalesce(by_packet, by_label))
-    return F.when(mac.isNotNull(), _row(kind, subtype, mac, label))
+    return let(
+        mac,
+        lambda m: F.when(
+            m.isNotNull(),
+            let(
+                _found(msg, KEA_PACKET),
+                lambda p: let(
+                    F.coalesce(_found(msg, KEA_EVENT), p, F.lit("KEA_LEASE")),
+                    lambda name: row(m, p, name),
+                ),
+            ),
+        ),
+    )
 
 
 def _dhcp() -> Column:
     """SRC02: a lease event of dnsmasq or ISC dhcpd, or NULL."""
     msg = F.col("msg")
-    parts = F.coalesce(
-        groups(msg, DNSMASQ, [1, 3], anywhere=True), groups(msg, ISC, [1, 2], anywhere=True)
+    parts = let(
+        groups(msg, DNSMASQ, [1, 3], anywhere=True),
+        lambda p: F.when(F.size(p) > 1, p).otherwise(groups(msg, ISC, [1, 2], anywhere=True)),
     )
 
     def read(p: Column) -> Column:
-        mac = F.coalesce(mac_in_text(p[2]), mac_in_text(msg))
-        address = _found(p[2], IPV4)
-        notes = F.concat(
-            F.lit("DHCP"), p[1], F.coalesce(F.concat(F.lit(" "), address), F.lit(""))
+        address = F.coalesce(F.concat(F.lit(" "), _found(group(p, 2), IPV4)), F.lit(""))
+        notes = F.concat(F.lit("DHCP"), group(p, 1), address)
+        kind = F.when(group(p, 1).isin(*LEASE_OPS), "assoc").otherwise("context")
+        return let(
+            F.coalesce(mac_in_text(group(p, 2)), mac_in_text(msg)),
+            lambda mac: F.when(mac.isNotNull(), _row(kind, group(p, 1), mac, notes)),
         )
-        kind = F.when(p[1].isin(*LEASE_OPS), "assoc").otherwise("context")
-        return F.when(mac.isNotNull(), _row(kind, p[1], mac, notes))
 
     return let(parts, read)
 

@@ -215,3 +215,29 @@ def test_dst_report(spark):
     assert ingest.dst_report(sydney, "Australia/Sydney")[0].first().edge == "nonexistent"
     lord_howe = spark.sql("SELECT unix_micros(TIMESTAMP'2026-04-05 01:45:00') AS wall_us")
     assert ingest.dst_report(lord_howe, "Australia/Lord_Howe")[0].first().edge == "ambiguous"
+
+
+def test_registered_format(spark, tmp_path):
+    path = tmp_path / "beeps.txt"
+    path.write_text("BEEP 1000000\nBEEP 2000000\n")
+
+    def read(session, paths, params):
+        rows = session.read.text(paths).select(
+            F.split("value", " ")[1].cast("bigint").alias("ts_us"), F.lit("camera").alias("kind"),
+            F.lit("camera").alias("category"), F.col("_metadata.file_path").alias("source_file"),
+            F.monotonically_increasing_id().alias("ordinal"), F.lit(None).cast("string").alias("reject"),
+        )
+        return rows
+
+    beeps = registry.Format(
+        "beeps", registry.ANCHORS, "test format",
+        lambda: F.when(F.col("head").cast("string").startswith("BEEP"), 1.0).otherwise(0.0), read,
+    )
+    registry.register(beeps)
+    try:
+        got = ingest.read_inputs(spark, {registry.ANCHORS: [str(path)]}, P)
+        assert sorted(r.ts_us for r in got.events.collect()) == [1_000_000, 2_000_000]
+    finally:
+        del registry.FORMATS["beeps"]
+    with pytest.raises(ValueError):
+        registry.detect(registry.catalog(spark, [str(path)]), forced="nothing")
