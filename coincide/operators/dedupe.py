@@ -91,7 +91,7 @@ def dedupe_anchors(
     """DD01: keep the most detailed row of every set (the earliest on ties), drop the others."""
     if window_us <= 0:
         return events
-    anchor = F.col("category") == CAMERA
+    anchor = F.coalesce(F.col("category") == CAMERA, F.lit(False))
     rows = events.filter(anchor)
     sets = merged_sets(rows, window_us, source, chunks)
     scored = rows.select("case_id", "ts_us", "seq", detail_score().alias("score")).join(

@@ -49,6 +49,7 @@ def relay(ordered: Ordered, fold: Fold, decision: str, state: str) -> DataFrame:
         done = pair.applyInPandas(run, schema)
         return durable(done, "relay") if ordered.spans else done
 
+    # One row per chunk, however many rows the chunks hold.
     following = (
         ordered.df.select(CHUNK)
         .distinct()
