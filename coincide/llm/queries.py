@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import language
+from coincide.llm import contamination, language, quality
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~held))
     found = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(crc_part("doc_id", 5) != 0))
+    found = quality.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (crc_part("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir).select("doc_id", "text")
+    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.drop("matches")
