@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, language, quality
+from coincide.llm import contamination, language, quality, tokens
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir).select("doc_id", "text")
     found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.drop("matches")
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir).select("text")
+    return tokens.histogram(tokens.lengths(docs, keep=[]))
