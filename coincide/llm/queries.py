@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, language, quality, tokens
+from coincide.llm import contamination, language, pieces, quality, tokens
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir).select("text")
     return tokens.histogram(tokens.lengths(docs, keep=[]))
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])

@@ -7,6 +7,8 @@ Two of ``n`` distinct words share a hash with a chance of about n² / 2^65 (3e-6
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +35,15 @@ _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
+def once(name: str, make: Callable):
+    """What ``make()`` returns, made once per process (functions that are pickled by value get module
+    globals of their own in every task)."""
+    held = sys.modules.setdefault("_held_by_process", types.ModuleType("_held_by_process")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def crc_part(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
@@ -82,18 +93,18 @@ def chunks(batches, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBa
 
 def with_columns(
     df: DataFrame, text: str, new: str, make: Callable[[], Callable[[pa.RecordBatch], list]],
-    keep: list[str] | None = None, limit: int = CHUNK_BYTES,
+    keep: list[str] | None = None, limit: int = CHUNK_BYTES, using: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add the columns of DDL ``new``, computed chunk by chunk in the task that reads the rows.
 
     ``make()`` runs once per task and returns the function from a chunk to the new columns.
-    ``keep`` names the columns that stay (None: all). A column whose name is among the new ones
+    ``keep`` names the columns that stay (None: all), ``using`` those that only ``make`` reads. A column whose name is among the new ones
     is replaced, so names that clash do no harm.
     """
     added = T._parse_datatype_string(new).fields
     names = {f.name for f in added}
     stay = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
-    need = [f.name for f in stay] + [c for c in (text,) if c not in {f.name for f in stay}]
+    need = [f.name for f in stay] + [c for c in (text, *using) if c not in {f.name for f in stay}]
 
     def run(batches):
         work = make()

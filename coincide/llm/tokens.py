@@ -13,14 +13,13 @@ empty histogram. Strings of special tokens in a text are ordinary text. Equal le
 from __future__ import annotations
 
 import base64
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coincide.llm.text import plain, with_columns
+from coincide.llm.text import once, plain, with_columns
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before the merges of the rank file; part of the vocabulary's definition.
@@ -28,13 +27,17 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK = 1024
 
 
-@cache
 def encoder(vocabulary: str):
-    import tiktoken
+    """The vocabulary's encoder, made once per worker process."""
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def make():
+        import tiktoken
+
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return once(f"ranks {vocabulary}", make)
 
 
 def lengths(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
