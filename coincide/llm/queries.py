@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, language, pieces, quality, tokens
+from coincide.llm import contamination, language, pieces, quality, tokens, toxicity
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc_part("doc_id", 4) != 2))
+    found = toxicity.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
