@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coincide.llm.stage import written
 from coincide.llm.text import once, plain, with_columns
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -64,7 +65,7 @@ def histogram(lengths_df: DataFrame) -> DataFrame:
     every document is cut to this length; total_docs, total_tokens; quantile: share of documents up
     to this length.
     """
-    rows = lengths_df.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    rows = written(lengths_df.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")), "lengths")  # read twice
     rows = rows.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     tokens = F.col("docs") * F.col("n_tokens")
     up = Window.partitionBy("block").orderBy("n_tokens")
