@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, language, pieces, quality, tokens, toxicity
+from coincide.llm import contamination, jaccard, language, pieces, quality, tokens, toxicity
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(crc_part("doc_id", 4) != 2))
     found = toxicity.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir).select("doc_id", "text"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 4096
 LONG_WORD = 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -78,7 +78,7 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` bytes of text; a longer text comes alone."""
+    """Slices of at most ``limit`` bytes of text and ``CHUNK_ROWS`` rows; a longer text comes alone."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -87,7 +87,8 @@ def chunks(batches, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBa
         begin = 0
         while begin < n:
             end = max(begin + 1, int(np.searchsorted(off, off[begin] + limit, "right")) - 1)
-            yield batch.slice(begin, min(end, n) - begin)
+            end = min(end, n, begin + CHUNK_ROWS)
+            yield batch.slice(begin, end - begin)
             begin = end
 
 
