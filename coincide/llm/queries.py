@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, jaccard, language, pieces, quality, tokens, toxicity
+from coincide.llm import contamination, jaccard, language, pieces, quality, tokens, toxicity, urls
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir).select("doc_id", "text"))
+
+
+#: Fixed by the query: hosts and beginnings of paths, and what they say.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)

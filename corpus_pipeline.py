@@ -19,14 +19,14 @@ from coincide.llm.text import crc_part
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or with a narrow margin go."""
     model = language.fit(docs.where(crc_part("doc_id", 3) != 1))
-    return _kept(docs, language.predict(docs, model), F.col("accepted"))
+    return language.predict(_whole(docs), model).where("accepted").select("_row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of quality 1, learned from labelled documents of this stage's input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.where(crc_part("doc_id", 5) != 0))
-    return _kept(docs, quality.predict(docs, model), F.col("predicted") == 1)
+    return quality.predict(_whole(docs), model).where("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verbatim window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _kept(docs, contamination.contamination(docs, benchmark), ~F.col("contaminated"))
+    return contamination.contamination(_whole(docs), benchmark).where("not contaminated").select("_row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.encode(docs)
 
 
-def _kept(docs: DataFrame, judged: DataFrame, good) -> DataFrame:
-    return judged.where(good).select(*docs.columns)
+def _whole(docs: DataFrame) -> DataFrame:
+    """The text, and each row as it came, so that no column of it clashes with an operator's."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
 STAGES = [
