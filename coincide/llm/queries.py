@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, jaccard, language, pieces, quality, tokens, toxicity, urls
+from coincide.llm import contamination, jaccard, language, parsing, pieces, quality, tokens, toxicity, urls
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,8 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.with_next(table(spark, sf_dir).select("doc_id", "text"))
