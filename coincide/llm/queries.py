@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, jaccard, language, parsing, pieces, quality, tokens, toxicity, urls
+from coincide.llm import contamination, jaccard, katz, language, parsing, pieces, quality, tokens, toxicity, urls
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.with_next(table(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op1_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_part("doc_id", 7) == 2
+    return katz.score(table(spark, sf_dir).select("doc_id", "text"), ~held, held)
