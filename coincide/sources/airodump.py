@@ -5,32 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.functions.let import let, once
+from coincide.functions.let import once
 from coincide.functions.mac import norm_mac
 from coincide.functions.times import finalize, parse_any
 from coincide.operators.ordered import Running, arrange
 from coincide.params import AnalysisParams
-from coincide.sources.lines import nonblank, numbered_lines
+from coincide.sources.lines import cells_of, nonblank, numbered_lines
 
 # First cells of the two header lines, and field positions.
 AP_HEADER, STATION_HEADER = "BSSID,", "Station MAC,"
 LAST_SEEN, POWER, PACKETS, STATION_BSSID, ESSID = 2, 3, 4, 5, 13
 
-MAX_COLUMNS = 64
-
 
 def station_rows(
     lines: DataFrame, params: AnalysisParams, chunks: int | None = None
 ) -> DataFrame:
     """Last-seen instants of stations as context events; a row belongs to the header above it."""
     stripped = F.trim("line")
-    columns = [f"c{i}" for i in range(MAX_COLUMNS)]
-    parsed = F.from_csv(
-        "line", ", ".join(f"{c} string" for c in columns), {"escape": '"', "nullValue": "\x00"}
-    )
-    cells = let(
-        parsed, lambda c: F.filter(F.array(*[F.trim(c[n]) for n in columns]), lambda x: x.isNotNull())
-    )
+    cells = F.transform(cells_of(F.col("line")), lambda c: F.trim(c))
     marked = nonblank(lines).select(
         "path",
         "line_no",

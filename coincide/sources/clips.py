@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coincide.functions.let import once
 from coincide.functions.times import clip_time, finalize
 from coincide.params import AnalysisParams, micros
+from coincide.session import durable
+from coincide.sources.lines import uri_of
 
 # Extensions of media files.
 EXTENSIONS = (
@@ -57,13 +62,37 @@ def clip_rows(files: DataFrame, params: AnalysisParams) -> DataFrame:
 
 
 def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every file below ``paths``; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(paths)
-        .select("path", F.unix_micros("modificationTime").alias("mtime_us"), "length")
-    )
+    """Every file below ``paths``, empty ones too; contents are not read.
+
+    Folders are listed on the executors, one level of all folders per pass.
+    """
+    schema = "path string, mtime_us bigint, length bigint, folder boolean"
+
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        for part in parts:
+            rows = []
+            for path in part["path"]:
+                system, inner = pafs.FileSystem.from_uri(uri_of(path))
+                given = system.get_file_info(inner)
+                if given.type == pafs.FileType.NotFound:
+                    raise FileNotFoundError(path)
+                here = given.type == pafs.FileType.File
+                head = "file:" if system.type_name == "local" else path[: path.rindex(inner)]
+                for info in [given] if here else system.get_file_info(pafs.FileSelector(inner)):
+                    when = info.mtime_ns // 1000 if info.mtime_ns else None
+                    rows.append((head + info.path, when, info.size or 0, info.type == pafs.FileType.Directory))
+            yield pd.DataFrame(rows, columns=["path", "mtime_us", "length", "folder"]).astype({"path": "object", "length": "int64", "folder": "bool"})
+
+    found, todo = None, spark.createDataFrame([(p,) for p in paths], "path string")
+    while True:
+        level = durable(todo.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(listed, schema), "listing")
+        files = level.filter("NOT folder").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        todo = level.filter("folder").select("path")
+        if todo.isEmpty():
+            return found
 
 
 def read_clips(spark: SparkSession, paths: list[str], params: AnalysisParams) -> DataFrame:

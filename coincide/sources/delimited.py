@@ -13,7 +13,7 @@ from coincide.functions.reasons import reason_text
 from coincide.functions.times import finalize, parse_any
 from coincide.params import AnalysisParams, micros
 from coincide.schema import BROADCAST, categorize
-from coincide.sources.lines import file_columns, number_rows
+from coincide.sources.lines import numbered_lines, records_of
 
 # The names each field goes by.
 FRAME_FIELDS = {
@@ -59,27 +59,12 @@ CAMERA_FIELDS = {
 HEADERLESS_CAMERA = ("timestamp", "plate", "make", "model", "notes")
 BROADCAST_NOTE = "broadcast deauth - disconnects every client on the BSS"
 
-MAX_COLUMNS = 256
+def read_records(spark: SparkSession, paths: list[str], delimiter: str = ",", chunks: int | None = None) -> DataFrame:
+    """(path, mtime_us, row_no, fields) of delimited files, with all columns and blank cells.
 
-
-def read_records(
-    spark: SparkSession, paths: list[str], delimiter: str = ",", multiline: bool = True
-) -> DataFrame:
-    """(path, mtime_us, row_no, fields) of delimited files.
-
-    Quoted cells may hold line breaks, which makes a file one task; pass ``multiline=False`` for
-    large machine-written tables so that they are split.
+    Files stay splittable although quoted cells may hold line breaks; blank lines count as rows.
     """
-    names = [f"c{i}" for i in range(MAX_COLUMNS)]
-    raw = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .options(sep=delimiter, multiLine=multiline, escape='"', nullValue="\x00", mode="PERMISSIVE")
-        .csv(paths)
-        .select(
-            *file_columns(), F.filter(F.array(*names), lambda x: x.isNotNull()).alias("fields")
-        )
-    )
-    return number_rows(raw, "row_no")
+    return records_of(numbered_lines(spark, paths), delimiter, chunks)
 
 
 def clean_header(fields: Column) -> Column:

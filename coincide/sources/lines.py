@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coincide.operators.ordered import Running, arrange
+
+
+def uri_of(path: str) -> str:
+    """Spark writes local files as ``file:/x``; Arrow wants ``file:///x``."""
+    return "file://" + path[5:] if path.startswith("file:/") and path[6:7] != "/" else path
+
 
 def number_rows(raw: DataFrame, name: str) -> DataFrame:
     """Replace ``block`` and ``row_id`` by the 1-based row number within the file.
@@ -48,3 +55,67 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def nonblank(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line") != "")
+
+
+def _open_at_end(line: Column, delimiter: str) -> Column:
+    """Whether a line that begins outside quotes ends inside a quoted cell."""
+    d = _escaped(delimiter)
+    closed = f'"[^"]*+(?:""[^"]*+)*+"(?!")[^{d}]*+'
+    return line.rlike(f'(?s)^(?:(?:{closed}|[^"{d}][^{d}]*+|){d})*+"[^"]*+(?:""[^"]*+)*+$')
+
+
+def _escaped(delimiter: str) -> str:
+    return "\\t" if delimiter == "\t" else delimiter
+
+
+def cells_of(record: Column, delimiter: str = ",") -> Column:
+    """The cells of one delimited record, however many, blank ones as empty strings.
+
+    Doubled quotes stand for one; text after a closing quote belongs to the cell.
+    """
+    d = _escaped(delimiter)
+    quoted = '"[^"]*+(?:""[^"]*+)*+"(?!")'
+    whole = F.concat(record, F.when(_open_at_end(record, delimiter), '"').otherwise(""), F.lit(delimiter))
+    cells = F.regexp_extract_all(whole, F.lit(f"(?s)({quoted}[^{d}]*+|[^{d}]*+){d}"), F.lit(1))
+    inner = f"(?s)^({quoted})(.*)$"
+
+    def plain(cell: Column) -> Column:
+        held = F.regexp_extract(cell, inner, 1)
+        text = F.replace(held.substr(F.lit(2), F.length(held) - 2), F.lit('""'), F.lit('"'))
+        return F.when(cell.startswith('"'), F.concat(text, F.regexp_extract(cell, inner, 2))).otherwise(cell)
+
+    return F.when(record == "", F.array().cast("array<string>")).otherwise(F.transform(cells, plain))
+
+
+def records_of(lines: DataFrame, delimiter: str = ",", chunks: int | None = None) -> DataFrame:
+    """(path, mtime_us, row_no, fields) of numbered lines; a quoted cell may hold line breaks.
+
+    A line maps "outside quotes" and "inside quotes" at its begin to one of both at its end, so it
+    either fixes the state, keeps it or flips it. The state before a line is that of the last line
+    that fixed it, flipped by the flips since: two running values, at any chunking of a file.
+    """
+    outside, inside = _open_at_end(F.col("line"), delimiter), _open_at_end(F.concat(F.lit('"'), "line"), delimiter)
+    marked = lines.withColumns(
+        {
+            "fixes": outside == inside,
+            "ends_open": outside.cast("int"),
+            "flips": (outside & ~inside).cast("bigint"),
+        }
+    )
+    flipped = arrange(marked, ["path"], ["line_no"], chunks).running(before={"flipped": Running("sum", F.col("flips"))})
+    fixed = F.when(F.col("fixes"), F.col("line_no") * 2 + (F.col("ends_open") + F.col("flipped")) % 2)
+    placed = flipped.running(before={"fixed": Running("max", fixed)}).with_columns(
+        {"begins": (F.coalesce(F.col("fixed") % 2, F.lit(0)) + F.col("flipped")) % 2 == 0}
+    )
+    numbered = placed.running(before={"row_no": Running("sum", F.col("begins").cast("bigint"), inclusive=True)}).df
+    ends = F.when(F.col("begins"), outside).otherwise(inside)
+    alone = numbered.filter(F.col("begins") & ~ends).select("path", "mtime_us", "row_no", F.col("line").alias("record"))
+    # Only the lines of records that hold line breaks are gathered, one group per record.
+    spread = (
+        numbered.filter(~(F.col("begins") & ~ends))
+        .groupBy("path", "row_no")
+        .agg(F.first("mtime_us").alias("mtime_us"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
+        .select("path", "mtime_us", "row_no", F.array_join("parts.line", "\n").alias("record"))
+    )
+    record = F.when(F.col("row_no") == 1, F.regexp_replace("record", "^\ufeff", "")).otherwise(F.col("record"))
+    return alone.unionByName(spread).select("path", "mtime_us", "row_no", cells_of(record, delimiter).alias("fields"))
