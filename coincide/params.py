@@ -9,7 +9,6 @@ MICROS = 1_000_000
 
 # Widths of the sensitivity sweep and limits of the verdict.
 SENSITIVITY_WINDOWS_S = (10.0, 15.0, 30.0, 60.0, 120.0)
-SWEEP_TRIALS = 2000
 MIN_COINCIDENCES = 3
 MIN_RATE_RATIO = 2.0
 MAX_LAG_S = 7200

@@ -32,7 +32,7 @@ from coincide.operators.nearest import match_table
 from coincide.operators.ordered import Ordered
 from coincide.operators.shift import shift_counts, with_shift_test
 from coincide.operators.verdict import combine_tests, decide
-from coincide.params import SWEEP_TRIALS, AnalysisParams, micros
+from coincide.params import AnalysisParams, micros
 from coincide.session import durable
 
 
@@ -121,10 +121,9 @@ def run_analysis(
     periods = durable(observation_period(around.df, params.window_us), "periods")
 
     stats = window_stats(around, periods, [params.window_us], params.trials, params)
-    sweep = min(params.trials, SWEEP_TRIALS)
     widths = params.widths_us() if params.sensitivity else []
     sensitivity = (
-        window_stats(around, periods, widths, sweep, params).filter(
+        window_stats(around, periods, widths, params.trials, params).filter(
             "n_anchors > 0 AND n_incidents > 0"
         )
         if widths

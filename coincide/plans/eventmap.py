@@ -19,17 +19,17 @@ def prop_k(props: str = "props") -> Column:
 
 
 def client_mac(user: str = "user_id") -> Column:
-    digits = F.lpad(F.lower(F.hex(user)), 4, "0")
-    return F.concat(
-        F.lit("3c:22:fb:00:"), digits.substr(1, 2), F.lit(":"), digits.substr(3, 2)
-    )
+    """An address per user: all 40 bits behind a fixed first byte."""
+    digits = F.lpad(F.lower(F.hex(user)), 10, "0")
+    return F.concat_ws(":", F.lit("3c"), *[digits.substr(i, 2) for i in range(1, 11, 2)])
 
 
 def canonical(
-    raw: DataFrame, cases: int = 1, view_resets: bool = False, types: tuple[str, ...] = ()
+    raw: DataFrame, cases: int | None = 1, view_resets: bool = False, types: tuple[str, ...] = ()
 ) -> DataFrame:
     """Map the driver's event types: purchases are anchors, errors are frames.
 
+    ``cases`` is the number of cases users are dealt to; with None every user is one.
     ``types`` names the event types an operator looks at, so that the scan skips the others.
 
     Views count as link resets only where they are asked for; otherwise they are context, which
@@ -37,16 +37,17 @@ def canonical(
     """
     if types:
         raw = raw.filter(F.col("event_type").isin(*types))
-    case = "'case0'" if cases == 1 else f"concat('case', user_id % {cases})"
-    spelled = raw.selectExpr(
+    case = f"concat('case', user_id % {cases})" if cases else "concat('case', user_id)"
+    case = "'case0'" if cases == 1 else case
+    spelled = raw.withColumn("mac", client_mac()).selectExpr(
         f"{case} AS case_id",
+        "mac",
         "event_id AS seq",
         "CAST(ts AS TIMESTAMP) AS ts_utc",
         "ts AS ts_local",
         "event_type",
         "user_id",
         "CAST(get_json_object(props, '$.k') AS INT) AS k",
-        "lpad(lower(hex(user_id)), 4, '0') AS digits",
     )
     view = "link_reset" if view_resets else "context"
     mapped = spelled.selectExpr(
@@ -61,7 +62,7 @@ def canonical(
         "CASE event_type WHEN 'signup' THEN 'DISCOVER' WHEN 'click' THEN 'ACK' END AS subtype",
         """CASE WHEN event_type = 'error'
             THEN concat('aa:bb:cc:00:00:', lpad(lower(hex(user_id % 16)), 2, '0')) END AS src_mac""",
-        "concat('3c:22:fb:00:', substr(digits, 1, 2), ':', substr(digits, 3, 2)) AS mac",
+        "mac",
         "event_type = 'error' AS error",
         "k",
         "CASE WHEN event_type = 'error' THEN k % 10 END AS reason_code",

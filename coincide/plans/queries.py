@@ -18,7 +18,7 @@ from coincide.operators.drops import client_drops
 from coincide.operators.incidents import incidents
 from coincide.operators.lag import lag_scan
 from coincide.params import AnalysisParams, micros
-from coincide.plans import analysis
+from coincide.plans import analysis, report
 from coincide.plans.eventmap import canonical, read_events
 from coincide.schema import anchors, disruptions, frames
 from coincide.session import durable
@@ -233,7 +233,7 @@ def st10_lag_scan(spark, sf_dir):
 @query
 def st12_calibration(spark, sf_dir):
     """Every user is a case; cases are grouped into scenarios by user id modulo four."""
-    ev = events(spark, sf_dir, cases=1_000_003, types=PAIR)
+    ev = events(spark, sf_dir, cases=None, types=PAIR)
     around = asc.event_neighbours(ev, GAP)
     periods = asc.observation_period(around.df, PARAMS.window_us)
     stats = analysis.window_stats(around, periods, [PARAMS.window_us], PARAMS.trials, PARAMS)
@@ -315,6 +315,20 @@ def agg09_delta_summary(spark, sf_dir):
     )
 
 
+@query
+def agg09_delta_by_case(spark, sf_dir):
+    """The report's table of distances, per case."""
+    return report.delta_summary(_matches(spark, sf_dir)).select(
+        "case_id", "n", r9("median_s", 4).alias("median_s"), "min_s", "max_s"
+    )
+
+
+@query
+def agg02_kind_table(spark, sf_dir):
+    """The report's table of kinds, per case."""
+    return report.kind_counts(events(spark, sf_dir, cases=8))
+
+
 @query
 def dv01_client_drops(spark, sf_dir):
     found = client_drops(
@@ -360,6 +374,13 @@ def dd01_dedupe(spark, sf_dir):
     return anchors(kept).select("case_id", "seq", "ts_us", "source_file", "plate")
 
 
+@query
+def dd01_summary(spark, sf_dir):
+    """The note that tells how many anchor rows were merged away."""
+    rows = anchors(events(spark, sf_dir, types=PASSES))
+    return dd.dedupe_summary(dd.merged_sets(rows, PASS_WINDOW))
+
+
 @query
 def dd02_debounce(spark, sf_dir):
     rows = anchors(events(spark, sf_dir, types=PASSES)).select("case_id", "source_file", "seq", "ts_us")

@@ -43,6 +43,8 @@ from coincide.streaming import motion
 
 NY = AnalysisParams(timezone="America/New_York", log_year=2024)
 YEAR_START_US = 1_704_067_200_000_000
+FILE_ROWS = 20_000
+FILLER = [f"x{i}" for i in range(300)]
 RADIOTAP_HEAD = "00000f002e000000" + "0002"
 
 
@@ -317,6 +319,89 @@ def src08_pass_log(spark, sf_dir):
     )
 
 
+def _files_of(spark, body: DataFrame, head: list[str]) -> str:
+    """Write lines (event_id, line) as text files of ``FILE_ROWS`` events each below ``head``."""
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows = body.select(F.call_function("div", F.col("event_id"), F.lit(FILE_ROWS)).alias("f"), "event_id", "line")
+    # One row per file and head line.
+    heads = F.array(*[F.struct(F.lit(i - len(head)).cast("bigint").alias("event_id"), F.lit(h).alias("line")) for i, h in enumerate(head)])
+    first = rows.select("f").distinct().select("f", F.explode(heads).alias("h")).select("f", "h.*")
+    lines = rows.unionByName(first).repartition("f").sortWithinPartitions("f", "event_id")
+    lines.select("f", "line").write.partitionBy("f").option("compression", "none").text(folder)
+    return folder
+
+
+def _row_of_file() -> list[Column]:
+    """The file that a row came from, and its number there."""
+    return [F.regexp_extract("source_file", "/f=(\\d+)/", 1).cast("bigint").alias("f"), big("ordinal").alias("row_no")]
+
+
+def _quoted(*parts: Column) -> Column:
+    """A cell with quotes, a delimiter and a line break in it."""
+    return F.concat(F.lit('"'), *parts, F.lit('"'))
+
+
+@query
+def src06_frame_files(spark, sf_dir):
+    """SRC06 through the reader: 300 columns, blank cells, a quoted line break, a blank line."""
+    header = [*FILLER, "Frame Subtype", "Time", "Transmitter", "wlan.da", "Reason Code", "RSSI", "chan", "SSID", "BSSID"]
+    target = F.when(F.col("k") % 7 == 0, "").when(F.col("k") % 3 == 0, "FF:FF:FF:FF:FF:FF").otherwise(F.upper("mac"))
+    cells = [
+        *[F.lit("")] * len(FILLER), pick(F.col("k"), F.lit("deauth"), F.lit("disassoc"), F.lit("probe")), stamp("yyyy-MM-dd HH:mm:ss.SSS"),
+        F.when(F.col("k") % 5 == 0, "").otherwise(F.col("mac")), target, F.when(F.col("k") % 4 == 1, "").otherwise(F.col("k").cast("string")),
+        F.concat(F.lit("-"), F.col("k").cast("string")), F.lit(""),
+        F.when(F.col("k") % 6 == 0, _quoted(F.lit('ho""me, x\ny'))).otherwise("home"), F.when(F.col("k") % 2 == 0, F.upper("mac")).otherwise(""),
+    ]
+    body = spelled(spark, sf_dir).select("event_id", F.concat_ws(",", *cells).alias("line"))
+    rows = delimited.read_frames(spark, [_files_of(spark, body, [",".join(header), ""])], PARAMS)
+    return rows.select(
+        *_row_of_file(), "ts_us", "kind", "src_mac", "dst_mac", "bssid", "client_mac", big("reason_code").alias("reason_code"),
+        big("signal").alias("signal"), big("channel").alias("channel"), "notes",
+    )
+
+
+@query
+def src08_pass_files(spark, sf_dir):
+    """SRC08 through the reader: blank plates and makes, quoted notes with a line break."""
+    header = [*FILLER, "Date Time", "License Plate", "Brand", "vehicle type", "Remarks", "Clip"]
+    cells = [
+        *[F.lit("")] * len(FILLER), F.when(F.col("k") == 42, "later").otherwise(stamp("yyyy-MM-dd HH:mm:ss")),
+        F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("P"), F.col("user_id").cast("string"))),
+        F.when(F.col("k") % 4 == 0, "").otherwise("Ford"), F.lit("T"),
+        F.when(F.col("k") % 5 == 0, _quoted(F.lit('a, ""b""\n'), F.col("event_type"))).otherwise(F.col("event_type")),
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit("c"), F.col("k").cast("string"))).otherwise(""),
+    ]
+    body = spelled(spark, sf_dir).select("event_id", F.concat_ws(",", *cells).alias("line"))
+    rows = delimited.read_camera(spark, [_files_of(spark, body, [",".join(header), ""])], PARAMS)
+    return rows.select(*_row_of_file(), "ts_us", "plate", "make", "model", "notes", "reject")
+
+
+@query
+def src07_station_files(spark, sf_dir):
+    """SRC07 through the reader: blank powers and packet counts, a blank cipher of the access point."""
+    head = [
+        "BSSID, First time seen, Last time seen, channel, Speed, Privacy, Cipher, Authentication, Power, # beacons, # IV, LAN IP, ID-length, ESSID, Key",
+        "AA:BB:CC:00:00:01, 2024-01-01 00:00:00, 2024-01-01 00:00:00, 6, 130, WPA2,, PSK, -40, 10, 0, 0.0.0.0, 4, home, ", "",
+        "Station MAC, First time seen, Last time seen, Power, # packets, BSSID, Probed ESSIDs",
+    ]
+    k = F.col("k").cast("string")
+    cells = [
+        F.upper("mac"), stamp("yyyy-MM-dd HH:mm:ss"), stamp("yyyy-MM-dd HH:mm:ss"), F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.lit(" -"), k)),
+        F.when(F.col("k") % 3 == 1, "").otherwise(F.concat(F.lit(" "), k)), F.when(F.col("k") % 2 == 0, "AA:BB:CC:00:00:01").otherwise("(not associated) "), F.lit(""),
+    ]
+    body = spelled(spark, sf_dir).select("event_id", F.concat_ws(",", *cells).alias("line"))
+    rows = airodump.read_stations(spark, [_files_of(spark, body, head)], PARAMS)
+    return rows.select(*_row_of_file(), "ts_us", "client_mac", "bssid", big("signal").alias("signal"), "notes")
+
+
+@query
+def src01_log_files(spark, sf_dir):
+    """SRC01 through the reader, line numbers included."""
+    body = spelled(spark, sf_dir).select("event_id", _log_line().alias("line"))
+    rows = syslog.read_syslog(spark, [_files_of(spark, body, [""])], NY)
+    return rows.filter("reject IS NULL").select(*_row_of_file(), "kind", "category", "subtype", "client_mac", "notes")
+
+
 @query
 def src07_stations(spark, sf_dir):
     """A station table with a line per event below its header, and one access point above it."""
@@ -414,7 +499,7 @@ def src13_detect(spark, sf_dir):
 @query
 def src16_extract(spark, sf_dir):
     ev = events(spark, sf_dir)
-    since, until = ingest.anchor_window(anchors(ev), 0.0)
+    since, until = ingest.anchor_window(anchors(ev))
     logs = ev.filter("category <> 'camera'")
     return ingest.extract_window(logs, since, until).select("seq", "ts_us", "kind")
 
@@ -429,6 +514,24 @@ def snk01_correlation(spark, sf_dir):
     )
 
 
+@query
+def snk02_events(spark, sf_dir):
+    """The written event table, read back."""
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    sinks.write_events(events(spark, sf_dir, cases=8), path)
+    return spark.read.parquet(path).select(
+        "case_id", "seq", "ts_us", "kind", "category", "client_mac", F.date_format("event_date", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def snk03_incidents(spark, sf_dir):
+    """The incident table written as CSV, read back."""
+    path = f"{shared_dir(spark)}/incidents-{uuid.uuid4().hex}"
+    sinks.write_table(incidents(events(spark, sf_dir, types=FRAMES), WIDE_GAP), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("case_id", *[F.col(c).cast("bigint").alias(c) for c in ("start_us", "end_us", "n_events")], "kinds")
+
+
 @query
 def snk05_statistics(spark, sf_dir):
     from coincide.plans.queries import WIDTHS, _stats

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def use_utc(spark: SparkSession) -> SparkSession:
     """Every operator works on UTC instants, so the session must not shift naive timestamps."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -18,18 +14,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for stage tables: the one the cluster names, or a fresh one in local mode only."""
+    """Folder for stage tables: spark.checkpoint.dir, else a folder in the warehouse. Both are shared
+    by the driver and the executors."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir must name a folder that every executor can reach"
-        )
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="coincide-stage-")
-    return _LOCAL_DIRS[app]
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
 
 
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -13,8 +13,7 @@ from coincide.schema import conform
 from coincide.session import durable, use_utc
 from coincide.sources.registry import FORMATS, WEAK, catalog, detect
 
-# Longest window that is extracted, and its default margin.
-MAX_WINDOW_DAYS = 31
+# Default margin of the extracted window, examples shown of doubtful readings.
 MARGIN_HOURS = 2.0
 DST_EXAMPLES = 5
 
@@ -113,14 +112,16 @@ def dst_report(readings: DataFrame, tz: str) -> tuple[DataFrame, DataFrame]:
     return counts, examples
 
 
-def anchor_window(anchor_rows: DataFrame, margin_hours: float = MARGIN_HOURS) -> tuple[int, int]:
-    """SRC16: the stretch of log worth extracting around the anchors."""
+def anchor_window(
+    anchor_rows: DataFrame, margin_hours: float = MARGIN_HOURS, max_days: float | None = None
+) -> tuple[int, int]:
+    """SRC16: the stretch of log worth extracting around the anchors, refused beyond ``max_days``."""
     lo, hi = anchor_rows.agg(F.min("ts_us"), F.max("ts_us")).first()
     if lo is None:
         raise ValueError("there are no anchor events to take a time window from")
     margin = micros(max(margin_hours, 0.0) * 3600)
-    if hi - lo + 2 * margin > micros(MAX_WINDOW_DAYS * 86_400):
-        raise ValueError(f"the anchor events span more than {MAX_WINDOW_DAYS} days")
+    if max_days is not None and hi - lo + 2 * margin > micros(max_days * 86_400):
+        raise ValueError(f"the anchor events span more than {max_days} days")
     return lo - margin, hi + margin
 
 

@@ -17,6 +17,10 @@ W = PARAMS.window_us
 ORACLE: dict[str, str] = {}
 
 
+_HEX = "printf('%010x', user_id)"
+MAC = "'3c' || " + " || ".join(f"':' || substr({_HEX}, {i}, 2)" for i in range(1, 11, 2))
+
+
 def ev(case: str = "'case0'", view: str = "context") -> str:
     return f"""
 ev AS (
@@ -38,12 +42,12 @@ ev AS (
     CASE WHEN event_type = 'purchase' AND k % 2 = 0 THEN 'P' || user_id END AS plate,
     'events' AS source_kind
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-          '3c:22:fb:00:' || printf('%02x', (user_id // 256) % 256) || ':' || printf('%02x', user_id % 256) AS mac
+          {MAC} AS mac
         FROM events))"""
 
 
 CASE8 = "'case' || (user_id % 8)"
-CASE_EACH = "'case' || (user_id % 1000003)"
+CASE_EACH = "'case' || user_id"
 
 
 def inc(gap: int = GAP) -> str:
@@ -370,6 +374,12 @@ ORACLE["agg09_delta_summary"] = f"""{_MATCH}
 SELECT count(*) AS n, round(quantile_cont(delta_s, 0.5), 4) AS median_s, min(delta_s) AS min_s,
   max(delta_s) AS max_s FROM mt WHERE coincidence"""
 
+ORACLE["agg09_delta_by_case"] = f"""{_MATCH}
+SELECT 'case0' AS case_id, count(*) AS n, round(quantile_cont(delta_s, 0.5), 4) AS median_s, min(delta_s) AS min_s,
+  max(delta_s) AS max_s FROM mt WHERE coincidence HAVING count(*) > 0"""
+
+ORACLE["agg02_kind_table"] = f"WITH {ev(CASE8)} SELECT case_id, kind, count(*) AS n FROM ev GROUP BY 1, 2"
+
 ORACLE["dv01_client_drops"] = f"""
 WITH {ev(view='link_reset')},
 l AS (SELECT *, max(subtype = 'ACK') OVER (PARTITION BY client_mac) AS has_ack FROM ev WHERE kind = 'assoc'),
@@ -446,6 +456,10 @@ k AS (SELECT r.*, row_number() OVER (PARTITION BY set_seq ORDER BY score DESC, t
       FROM r JOIN f USING (rn))
 SELECT 'case0' AS case_id, seq, ts_us, s AS source_file, plate FROM k WHERE best = 1"""
 
+ORACLE["dd01_summary"] = ORACLE["dd01_dedupe"][: ORACLE["dd01_dedupe"].index("k AS (SELECT")] + """
+e AS (SELECT set_seq, count(*) - 1 AS extra FROM f WHERE rn > 0 GROUP BY set_seq)
+SELECT 'case0' AS case_id, sum(extra)::BIGINT AS removed, count(*) FILTER (extra > 0) AS merged_sets FROM e"""
+
 ORACLE["dd02_debounce"] = f"""
 WITH RECURSIVE {ev()},
 r AS MATERIALIZED (SELECT row_number() OVER (PARTITION BY source_file ORDER BY ts_us, seq) AS rn, case_id,

@@ -7,12 +7,12 @@ from coincide.functions.times import CLIP_NAMES
 from coincide.plans.queries import WIDE_GAP, WIDTHS
 from coincide.sources.kismet import ALERTS
 from coincide.streaming.motion import MOTION_TOPICS
-from oracle import _FLOOD, _MATCH, CASE8, ORACLE, W, ev, inc, stats
+from oracle import _FLOOD, _MATCH, CASE8, MAC, ORACLE, W, ev, inc, stats
 
-SP = """
+SP = f"""
 sp AS (SELECT event_id, user_id, event_type, ts, value, epoch_us(ts) AS us,
          CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-         '3c:22:fb:00:' || printf('%02x', (user_id // 256) % 256) || ':' || printf('%02x', user_id % 256) AS mac
+         {MAC} AS mac
        FROM events)"""
 
 
@@ -179,7 +179,7 @@ SELECT event_id, {pick('k', "CASE WHEN log IS NOT NULL THEN 'opnsense' END", "'c
   {pick('k', 'coalesce(log, 0.0)', '0.95', '0.8', '0.9', '0.98', '0.0')}::DOUBLE AS score FROM s"""
 
 ORACLE["src16_extract"] = f"""
-WITH {ev()}, w AS (SELECT min(ts_us) AS a, max(ts_us) AS b FROM ev WHERE category = 'camera')
+WITH {ev()}, w AS (SELECT min(ts_us) - 7200000000 AS a, max(ts_us) + 7200000000 AS b FROM ev WHERE category = 'camera')
 SELECT seq, ts_us, kind FROM ev, w WHERE category <> 'camera' AND ts_us BETWEEN a AND b"""
 
 
@@ -277,3 +277,41 @@ f AS (SELECT rn, camera, ts_us, seq, ts_us AS kept, true AS keep FROM r WHERE rn
   SELECT r.rn, r.camera, r.ts_us, r.seq, CASE WHEN r.ts_us - f.kept >= 21600000000 THEN r.ts_us ELSE f.kept END,
     r.ts_us - f.kept >= 21600000000 FROM f JOIN r ON r.camera = f.camera AND r.rn = f.rn + 1)
 SELECT camera, ts_us, seq FROM f WHERE keep"""
+
+
+_FILE = "event_id // 20000 AS f, row_number() OVER (PARTITION BY event_id // 20000 ORDER BY event_id)"
+
+ORACLE["src06_frame_files"] = f"""
+WITH {SP}, r AS (SELECT *, {_FILE} + 2 AS row_no,
+  CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN 'ff:ff:ff:ff:ff:ff' ELSE mac END AS dst FROM sp)
+SELECT f, row_no, us // 1000 * 1000 AS ts_us, CASE WHEN k % 3 = 0 THEN 'deauth' ELSE 'disassoc' END AS kind,
+  CASE WHEN k % 5 <> 0 THEN mac END AS src_mac, dst AS dst_mac, CASE WHEN k % 2 = 0 THEN mac END AS bssid,
+  CASE WHEN dst LIKE '3c:%' THEN dst END AS client_mac, CASE WHEN k % 4 <> 1 THEN k END::BIGINT AS reason_code,
+  (-k)::BIGINT AS signal, NULL::BIGINT AS channel,
+  CASE WHEN dst LIKE 'ff:%' THEN 'broadcast deauth - disconnects every client on the BSS'
+       WHEN k % 6 = 0 THEN 'ho"me, x' || chr(10) || 'y' ELSE 'home' END AS notes FROM r WHERE k % 3 < 2"""
+
+ORACLE["src08_pass_files"] = f"""
+WITH {SP}, r AS (SELECT *, {_FILE} + 2 AS row_no FROM sp)
+SELECT f, row_no, CASE WHEN k <> 42 THEN {sec()} END AS ts_us, CASE WHEN k <> 42 AND k % 3 <> 0 THEN 'P' || user_id END AS plate,
+  CASE WHEN k <> 42 AND k % 4 <> 0 THEN 'Ford' END AS make, CASE WHEN k <> 42 THEN 'T' END AS model,
+  CASE WHEN k <> 42 THEN CASE WHEN k % 5 = 0 THEN 'a, "b"' || chr(10) ELSE '' END || event_type ||
+    CASE WHEN k % 2 = 0 THEN ' [clip: c' || k || ']' ELSE '' END END AS notes,
+  CASE WHEN k = 42 THEN 'unreadable timestamp' END AS reject FROM r"""
+
+ORACLE["src07_station_files"] = f"""
+WITH {SP}, r AS (SELECT *, {_FILE} + 4 AS row_no FROM sp)
+SELECT f, row_no, {sec()} AS ts_us, mac AS client_mac, CASE WHEN k % 2 = 0 THEN 'aa:bb:cc:00:00:01' END AS bssid,
+  CASE WHEN k % 7 <> 0 THEN -k END::BIGINT AS signal, 'airodump last seen; ' || CASE WHEN k % 3 = 1 THEN 0 ELSE k END || ' frames' ||
+  CASE WHEN k % 2 = 0 THEN '; BSSID home' ELSE '' END AS notes FROM r"""
+
+ORACLE["src01_log_files"] = f"""
+WITH e AS ({ORACLE["src01_syslog"].replace("WITH sp", "WITH sp", 1)}), r AS (SELECT event_id AS id, {_FILE} + 1 AS row_no FROM events)
+SELECT f, row_no, kind, category, subtype, client_mac, notes FROM e JOIN r ON r.id = e.event_id WHERE reject IS NULL"""
+
+ORACLE["snk02_events"] = f"""
+WITH {ev(CASE8)} SELECT case_id, seq, ts_us, kind, category, client_mac, strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day FROM ev"""
+
+ORACLE["snk03_incidents"] = f"""
+WITH {ev()}, {inc(WIDE_GAP)} SELECT case_id, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n_events,
+  string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds FROM num GROUP BY case_id, isl"""

@@ -200,7 +200,7 @@ def test_window_extract(spark):
     with pytest.raises(ValueError):
         ingest.anchor_window(at())
     with pytest.raises(ValueError):
-        ingest.anchor_window(at(0, 90 * 24))
+        ingest.anchor_window(at(0, 90 * 24), max_days=31)
 
 
 def test_dst_report(spark):
