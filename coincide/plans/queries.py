@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Parameters of the registered queries; the oracle uses the same.
-PARAMS = AnalysisParams(timezone="UTC", trials=200, offsets="grid")
+PARAMS = AnalysisParams(timezone="UTC", offsets="grid")
 WIDTHS = PARAMS.widths_us()
 PAIR = ("purchase", "error")
 PASSES, FRAMES = ("purchase",), ("error",)
