@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coincide.functions.display import text
-from coincide.operators.ordered import arrange
+from coincide.operators.ordered import CHUNK, Running, arrange
 from coincide.operators.relay import relay
 from coincide.schema import CAMERA
+from coincide.session import durable
 
 
 def detail_score() -> Column:
@@ -57,6 +59,16 @@ def merged_sets(
     rows = anchor_rows.select(
         "case_id", "ts_us", "seq", F.coalesce(F.col(source), F.lit("")).alias("source")
     )
+    ts = F.col("ts_us")
+    placed = arrange(rows, ["case_id"], ["ts_us", "seq"], chunks).running(
+        before={"prev_us": Running("max", ts)}, after={"next_us": Running("min", ts)}
+    )
+    near = (ts - F.col("prev_us") <= window_us) | (F.col("next_us") - ts <= window_us)
+    marked = placed.with_columns({"near": F.coalesce(near, F.lit(False))}).settled()
+    # A row without a neighbour within the window is a set of its own.
+    alone = marked.df.filter("NOT near").select(
+        "case_id", "ts_us", "seq", ts.alias("set_us"), F.col("seq").alias("set_seq")
+    )
 
     def fold(part: pd.DataFrame, state: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         opened = _OpenSets(window_us)
@@ -77,12 +89,14 @@ def merged_sets(
         )
         return out, left
 
-    return relay(
-        arrange(rows, ["case_id"], ["ts_us", "seq"], chunks),
+    contested = marked.filter(F.col("near"))
+    sets = relay(
+        contested.with_df(contested.df.drop("near", "prev_us", "next_us")),
         fold,
         "case_id string, ts_us bigint, seq bigint, set_us bigint, set_seq bigint",
         "anchor_case string, anchor_us bigint, anchor_seq bigint, sources array<string>",
     )
+    return alone.unionByName(sets)
 
 
 def dedupe_anchors(
@@ -122,27 +136,91 @@ def dedupe_summary(sets: DataFrame) -> DataFrame:
 def debounce(
     rows: DataFrame, keys: list[str], min_gap_us: int, chunks: int | None = None
 ) -> DataFrame:
-    """DD02: drop a row less than ``min_gap_us`` after the last kept row of its key."""
+    """DD02: drop a row less than ``min_gap_us`` after the last kept row of its key.
+
+    A row without a neighbour within the gap is kept as it is. For the others, the kept row after a
+    row is the first one a gap later, so a chunk maps the time from which it may keep to the time
+    from which the next chunk may. Only a chunk that lies within one key passes such a map on, with a
+    step for each row of its first gap; the maps of a key are applied one after another, and then all
+    chunks pick their rows at once. Three passes, however many chunks there are.
+    """
+    if min_gap_us <= 0:
+        return rows
     key = F.to_json(F.struct(*keys))
-    slim = rows.select(key.alias("key"), "ts_us", "seq")
+    ts = F.col("ts_us")
+    placed = arrange(rows.select(key.alias("key"), "ts_us", "seq"), ["key"], ["ts_us", "seq"], chunks).running(
+        before={"prev_us": Running("max", ts)}, after={"next_us": Running("min", ts)}
+    )
+    near = F.coalesce((ts - F.col("prev_us") < min_gap_us) | (F.col("next_us") - ts < min_gap_us), F.lit(False))
+    marked = durable(placed.df.select(CHUNK, "key", "ts_us", "seq", near.alias("near")), "debounce")
+    contested = marked.filter("near").drop("near")
+    stream = contested.repartition(CHUNK).sortWithinPartitions(CHUNK, "key", "ts_us", "seq")
+
+    def segments(parts):
+        """(chunk, key, rows) of each key in each chunk, from rows in order."""
+        held = None
+        for part in parts:
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            mark = held[CHUNK].astype(str) + "|" + held["key"]
+            last = mark != mark.iloc[-1] if len(held) else mark
+            for (chunk, name), some in held[last].groupby([CHUNK, "key"], sort=False):
+                yield chunk, name, some
+            held = held[~last] if len(held) else None
+        if held is not None and len(held):
+            yield held[CHUNK].iloc[0], held["key"].iloc[0], held
+
+    def maps(parts):
+        found = []
+        for chunk, name, some in segments(parts):
+            t = some["ts_us"].to_numpy()
+            after = _after(t, min_gap_us)
+            end = np.where(after < len(t), after, np.arange(len(t)))
+            while not np.array_equal(end, end[end]):
+                end = end[end]
+            steps = np.flatnonzero((t <= t[0] + min_gap_us) & np.append(True, t[1:] != t[:-1]))
+            found.append(
+                pd.DataFrame({CHUNK: chunk, "key": name, "upto_us": t[steps], "out_us": t[end[steps]] + min_gap_us})
+            )
+        if found:
+            yield pd.concat(found)
+
+    def entries(steps: pd.DataFrame) -> pd.DataFrame:
+        """When each chunk of a key may keep its first row."""
+        out, due = [], None
+        for chunk, some in steps.sort_values([CHUNK, "upto_us"]).groupby(CHUNK, sort=True):
+            out.append((chunk, steps["key"].iloc[0], due))
+            at = 0 if due is None else int(np.searchsorted(some["upto_us"].to_numpy(), due))
+            due = int(some["out_us"].iloc[at]) if at < len(some) else due
+        return pd.DataFrame(out, columns=[CHUNK, "key", "due_us"]).astype({"due_us": "Int64"})
+
+    # Keys inside one chunk need no map; the others have a few rows per chunk.
+    summary = stream.mapInPandas(maps, f"{CHUNK} int, key string, upto_us bigint, out_us bigint")
+    entered = durable(
+        summary.groupBy("key").applyInPandas(entries, f"{CHUNK} int, key string, due_us bigint").filter("due_us IS NOT NULL"),
+        "entries",
+    )
 
-    def fold(part: pd.DataFrame, state: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-        last_key, last_us = (state.iloc[0].tolist() if len(state) else (None, None))
-        keep = []
-        for r in part.itertuples(index=False):
-            fresh = r.key != last_key or r.ts_us - last_us >= min_gap_us
-            if fresh:
-                last_key, last_us = r.key, r.ts_us
-            keep.append(fresh)
-        end = pd.DataFrame({"last_key": [last_key], "last_us": [last_us]})
-        return part.loc[keep, ["key", "ts_us", "seq"]], end
-
-    kept = relay(
-        arrange(slim, ["key"], ["ts_us", "seq"], chunks),
-        fold,
-        "key string, ts_us bigint, seq bigint",
-        "last_key string, last_us bigint",
+    def pick(parts):
+        for _, _, some in segments(parts):
+            t, due = some["ts_us"].to_numpy(), some["due_us"].iloc[0]
+            mark = np.zeros(len(t) + 1, bool)
+            mark[0 if pd.isna(due) else np.searchsorted(t, due)] = True
+            jump = np.append(_after(t, min_gap_us), len(t))
+            for _ in range(int(len(t)).bit_length()):
+                mark[jump[mark]] = True
+                jump = jump[jump]
+            yield some.loc[mark[:-1], ["key", "ts_us", "seq"]]
+
+    due = contested.join(entered, [CHUNK, "key"], "left")
+    picked = due.repartition(CHUNK).sortWithinPartitions(CHUNK, "key", "ts_us", "seq")
+    kept = marked.filter("NOT near").select("key", "ts_us", "seq").unionByName(
+        picked.mapInPandas(pick, "key string, ts_us bigint, seq bigint")
     )
     return (
         rows.withColumn("key", key).join(kept, ["key", "ts_us", "seq"], "left_semi").drop("key")
     )
+
+
+def _after(t: np.ndarray, gap_us: int) -> np.ndarray:
+    """Place of the first time at least a gap after each time (the length if there is none)."""
+    return np.searchsorted(t, t + gap_us)

@@ -42,8 +42,8 @@ def trailing_counts(
     )
     # Same chunks, now of instants only: order and cuts are unchanged. Several chunks mean
     # several passes for the carried values.
-    counted = durable(paired, "counts") if ordered.spans else paired
-    return Ordered(counted, ("case_id",), ("ts_us",), ordered.spans)
+    counted = durable(paired, "counts")
+    return Ordered(counted, ("case_id",), ("ts_us",))
 
 
 def burst_instants(

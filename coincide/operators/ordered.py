@@ -42,12 +42,11 @@ class Running:
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows with a ``chunk`` column; ``spans`` says whether a key may cross chunks."""
+    """Rows with a ``chunk`` column; a key may cross chunks."""
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    spans: bool
 
     def window(self, backwards: bool = False) -> WindowSpec:
         order = [F.col(c).desc() if backwards else F.col(c).asc() for c in self.order]
@@ -63,8 +62,8 @@ class Ordered:
         return self.with_df(self.df.withColumns(columns))
 
     def settled(self) -> Ordered:
-        """Write the rows once, for several readers; a single chunk is as soon computed again."""
-        return self.with_df(durable(self.df, "settled")) if self.spans else self
+        """Write the rows once, for several readers."""
+        return self.with_df(durable(self.df, "settled"))
 
     def running(
         self,
@@ -81,14 +80,6 @@ class Ordered:
                     Window.unboundedPreceding, 0 if mark.inclusive else -1
                 )
                 columns[name] = mark.fold(mark.value).over(frame)
-        if not self.spans:
-            zero = {
-                name: F.coalesce(columns[name], F.lit(0))
-                for name, mark in (before | after).items()
-                if mark.how == "sum"
-            }
-            return self.with_columns(columns | zero)
-
         carried = self._carried(before, after)
         local = self.df.withColumns(columns)
         joined = local.join(F.broadcast(carried), [*self.keys, CHUNK], "left")
@@ -135,4 +126,4 @@ def arrange(
         df.repartitionByRange(chunks, *columns) if chunks else df.repartitionByRange(*columns)
     )
     staged = durable(ranged.withColumn(CHUNK, F.spark_partition_id()), "ordered")
-    return Ordered(staged, tuple(keys), tuple(order), spans=len(staged.inputFiles()) > 1)
+    return Ordered(staged, tuple(keys), tuple(order))

@@ -47,7 +47,7 @@ def relay(ordered: Ordered, fold: Fold, decision: str, state: str) -> DataFrame:
     def one_round(given: DataFrame) -> DataFrame:
         pair = ordered.df.groupBy(CHUNK).cogroup(given.groupBy(CHUNK))
         done = pair.applyInPandas(run, schema)
-        return durable(done, "relay") if ordered.spans else done
+        return durable(done, "relay")
 
     # One row per chunk, however many rows the chunks hold.
     following = (
@@ -57,7 +57,7 @@ def relay(ordered: Ordered, fold: Fold, decision: str, state: str) -> DataFrame:
     )
     given = spark.createDataFrame([], f"chunk int, {state}")
     result = one_round(given)
-    while ordered.spans:
+    while True:
         handed = durable(
             result.filter("is_state")
             .join(following, CHUNK)

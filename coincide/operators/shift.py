@@ -46,7 +46,7 @@ def disruption_intervals(around: Ordered, widths_us: list[int]) -> DataFrame:
     closes = F.col("next_i").isNull() | (F.col("next_i") - ts > 2 * w)
     per_width = around.df.filter("side = 1").withColumn("window_us", each_width(widths_us))
     marked = (
-        Ordered(per_width, (*around.keys, "window_us"), around.order, around.spans)
+        Ordered(per_width, (*around.keys, "window_us"), around.order)
         .with_columns({"opens_us": F.when(opens, ts)})
         .running(before={"first_us": Running("max", F.col("opens_us"), inclusive=True)})
     )
