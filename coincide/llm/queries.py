@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coincide.llm import contamination, jaccard, katz, language, parsing, pieces, quality, tokens, toxicity, urls
+from coincide.llm.sql import SQL
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(SQL)
 
 
 def query(fn: Query) -> Query:
