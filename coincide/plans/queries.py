@@ -167,7 +167,7 @@ def st05_chi2_p(spark, sf_dir):
     cells = [F.col(f"cell_{x}") for x in "abcd"]
     chi2 = pr.chi_square(*cells)
     return Study(spark, sf_dir, 8).counts().select(
-        "case_id", "window_us", pr.chi_square_p(chi2).alias("chi2_p")
+        "case_id", "window_us", _log10(pr.chi_square_p(chi2)).alias("log10_p")
     )
 
 

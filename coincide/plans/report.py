@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,7 +178,7 @@ def manifest(analysis: Analysis) -> DataFrame:
         whole = whole.join(part, "case_id", "left")
     document = F.struct(
         "verdict", "statistics", "sensitivity", "clock_offset_scan", "floods", "analysis_period",
-        F.from_json(F.lit(params.to_json()), "map<string,string>").alias("configuration"),
+        F.struct(*[F.lit(v).alias(k) for k, v in asdict(params).items()]).alias("configuration"),
     )
     return whole.select("case_id", F.to_json(document).alias("manifest"))
 

@@ -43,7 +43,7 @@ from coincide.streaming import motion
 
 NY = AnalysisParams(timezone="America/New_York", log_year=2024)
 YEAR_START_US = 1_704_067_200_000_000
-FILE_ROWS = 20_000
+FILE_ROWS, POINTS = 20_000, 500
 FILLER = [f"x{i}" for i in range(300)]
 RADIOTAP_HEAD = "00000f002e000000" + "0002"
 
@@ -548,7 +548,7 @@ def snk06_timeline(spark, sf_dir):
 
 @query
 def snk06_points(spark, sf_dir):
-    return sinks.timeline_points(events(spark, sf_dir))
+    return sinks.timeline_points(events(spark, sf_dir), POINTS)
 
 
 @query

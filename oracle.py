@@ -253,6 +253,14 @@ SELECT case_id, w AS window_us, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d)
   round(greatest(abs(a * d - b * c) - (a + b + c + d) / 2.0, 0) ** 2 * (a + b + c + d)
     / ((a + b)::DOUBLE * (c + d) * (a + c) * (b + d)), 6) END AS chi2 FROM st"""
 
+# The tail of chi-square with one degree of freedom is erfc(z), z = sqrt(chi2 / 2): a power series
+# for small z, a continued fraction (from its far end) for the others.
+ORACLE["st05_chi2_p"] = f"""{ORACLE["st05_chi2"].replace("SELECT case_id, w AS window_us, CASE WHEN (a + b)", ", x AS (SELECT case_id, w AS window_us, CASE WHEN (a + b)").replace("round(greatest(", "(greatest(").replace("(b + d)), 6) END", "(b + d))) END")}),
+z AS (SELECT case_id, window_us, sqrt(chi2 / 2) AS z FROM x),
+t AS (SELECT *, list_sum(list_transform(range(0, 70), lambda n: CASE n % 2 WHEN 0 THEN 1 ELSE -1 END * z ** (2 * n + 1) / (gamma(n + 1.0) * (2 * n + 1)))) AS s,
+  list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, 80), lambda n: (80 - n)::DOUBLE)), lambda acc, k: 1 + k / (2 * z * z) / acc) AS f FROM z)
+SELECT case_id, window_us, round(log10(CASE WHEN z < 2 THEN 1 - 2 / sqrt(pi()) * s ELSE exp(-z * z) / (z * sqrt(pi()) * f) END), 5) AS log10_p FROM t"""
+
 ORACLE["st03_shift_grid"] = f"""
 WITH {ev()}, {inc()}, {PERIOD}, {counts([W])}, {shift(PARAMS.trials)}
 SELECT case_id, w AS window_us, i AS trial, hits FROM sc"""

@@ -315,3 +315,8 @@ WITH {ev(CASE8)} SELECT case_id, seq, ts_us, kind, category, client_mac, strftim
 ORACLE["snk03_incidents"] = f"""
 WITH {ev()}, {inc(WIDE_GAP)} SELECT case_id, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n_events,
   string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds FROM num GROUP BY case_id, isl"""
+
+ORACLE["snk06_points"] = f"""
+WITH {ev()}, r AS (SELECT case_id, kind, seq, ts_us, row_number() OVER (PARTITION BY case_id, kind ORDER BY md5(case_id || '|' || seq), seq) AS place
+  FROM ev WHERE kind IN ('camera', 'deauth', 'disassoc', 'client_drop', 'link_reset', 'alert'))
+SELECT case_id, kind, seq, ts_us FROM r WHERE place <= 500"""
