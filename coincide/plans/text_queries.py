@@ -39,11 +39,12 @@ from coincide.sources import (
     registry,
     syslog,
 )
+from coincide.sources.lines import uri_of
 from coincide.streaming import motion
 
 NY = AnalysisParams(timezone="America/New_York", log_year=2024)
 YEAR_START_US = 1_704_067_200_000_000
-FILE_ROWS, POINTS = 20_000, 500
+FILE_ROWS, POINTS, CAPTURE_ROWS = 20_000, 500, 1500
 FILLER = [f"x{i}" for i in range(300)]
 RADIOTAP_HEAD = "00000f002e000000" + "0002"
 
@@ -468,6 +469,50 @@ def src11_frames(spark, sf_dir):
     )
 
 
+def _write_captures(spark, sf_dir) -> str:
+    """Capture files of ``CAPTURE_ROWS`` events each, classic and sectioned in turn, with damage in the
+    middle of every fourth one."""
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    rows = spelled(spark, sf_dir).select(
+        F.call_function("div", F.col("event_id"), F.lit(CAPTURE_ROWS)).alias("f"), "event_id", "us", _packet().alias("data"))
+
+    def write(part):
+        import struct
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        number = int(part["f"].iloc[0])
+        ordered = list(part.sort_values("event_id")[["us", "data"]].itertuples(index=False))
+        if number % 2:
+            block = lambda kind, body: struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+            pieces = [block(6, struct.pack("<IIIII", 0, us >> 32, us & 0xFFFFFFFF, len(d), len(d)) + d + b"\0" * (-len(d) % 4)) for us, d in ordered]
+            head = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 127, 0, 65535))
+        else:
+            pieces = [struct.pack(">IIII", us // 1_000_000, us % 1_000_000, len(d), len(d)) + d for us, d in ordered]
+            head = struct.pack(">IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 127)
+        if number % 4 > 1:
+            pieces.insert(len(pieces) // 2, b"\xff" * 400)
+        system, inner = pafs.FileSystem.from_uri(uri_of(folder) if "://" in uri_of(folder) else f"file://{folder}")
+        system.create_dir(inner)
+        with system.open_output_stream(f"{inner}/{number}.cap") as out:
+            out.write(head + b"".join(pieces))
+        return pd.DataFrame({"f": [number]})
+
+    rows.groupBy("f").applyInPandas(write, "f bigint").count()
+    return folder
+
+
+@query
+def src10_packets(spark, sf_dir):
+    """SRC10 through the reader: classic and sectioned files, some of them damaged."""
+    rows = capture.read_captures(spark, [_write_captures(spark, sf_dir)], PARAMS)
+    return rows.select(
+        F.regexp_extract("source_file", r"(\d+)\.cap$", 1).cast("bigint").alias("f"), big("ordinal").alias("packet_no"), "ts_us", "kind",
+        "src_mac", "dst_mac", big("reason_code").alias("reason_code"), big("signal").alias("signal"), "reject",
+    )
+
+
 @query
 def src12_alerts(spark, sf_dir):
     name = pick(F.col("k"), F.lit("DEAUTHFLOOD"), F.lit("bcastdiscon"), F.lit("OTHER"))

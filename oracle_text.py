@@ -320,3 +320,11 @@ ORACLE["snk06_points"] = f"""
 WITH {ev()}, r AS (SELECT case_id, kind, seq, ts_us, row_number() OVER (PARTITION BY case_id, kind ORDER BY md5(case_id || '|' || seq), seq) AS place
   FROM ev WHERE kind IN ('camera', 'deauth', 'disassoc', 'client_drop', 'link_reset', 'alert'))
 SELECT case_id, kind, seq, ts_us FROM r WHERE place <= 500"""
+
+ORACLE["src10_packets"] = f"""
+WITH {SP}, r AS (SELECT *, event_id // 1500 AS f, row_number() OVER (PARTITION BY event_id // 1500 ORDER BY event_id) AS packet_no FROM sp),
+c AS (SELECT f, count(*) AS n FROM r GROUP BY f)
+SELECT f, packet_no, us AS ts_us, CASE user_id % 3 WHEN 0 THEN 'deauth' ELSE 'disassoc' END AS kind, 'de:ad:be:ef:00:01' AS src_mac,
+  CASE WHEN k % 3 = 0 THEN 'ff:ff:ff:ff:ff:ff' ELSE mac END AS dst_mac, CASE WHEN k % 5 <> 0 THEN k END::BIGINT AS reason_code,
+  (-k - 1)::BIGINT AS signal, NULL::VARCHAR AS reject FROM r WHERE user_id % 3 < 2
+UNION ALL SELECT f, n, NULL, NULL, NULL, NULL, NULL, NULL, '400 bytes could not be read as packets' FROM c WHERE f % 4 > 1"""
