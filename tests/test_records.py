@@ -20,7 +20,7 @@ P = AnalysisParams(timezone="UTC", log_year=2024)
 def test_cells_are_those_of_the_csv_module(spark, tmp_path, chunks, seed):
     rng = random.Random(seed)
     pieces = ['"', '""', ",", "\n", "a", "b c", "", '5" x', "é"]
-    text = "".join(rng.choice(pieces) for _ in range(260))
+    text = "".join(rng.choice(pieces) for _ in range(260)) + "z"
     if seed == 3:
         rows = [[rng.choice(["", "x", 'q"q', "two\nlines", "c,d"]) for _ in range(rng.randrange(1, 6))] for _ in range(60)]
         out = io.StringIO()
