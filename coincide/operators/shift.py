@@ -1,10 +1,11 @@
 """ST03: circular-shift permutation test.
 
 Each trial slides all anchors of a case around its period and recounts hits on a fixed set of
-disjoint disruption intervals. Merged intervals are at least two windows long, so a case has at
-most span / (2 * window) + 2 of them, however many disruptions it has. While that bound is small
-the intervals travel as one array per case and each task tests blocks of anchors against it; for
-longer spans the test is an equi-join on time slots.
+disjoint disruption intervals. Merged intervals are at least two windows long, so a stretch of time
+has a bounded number of them, however many disruptions it has: the period is cut into slices that
+hold ``SLICE_INTERVALS`` at most (one slice up to about 240 days at the least width), and each block
+of anchors counts its hits in each slice for a share of the trials. Blocks, shares and slices follow
+from the parameters and the case's period alone, so the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ from coincide.functions.let import floor_div
 from coincide.operators.association import each_width
 from coincide.operators.ordered import CHUNK, Ordered, Running
 
-# Limits: anchors per block, trials per row of work, intervals that may travel as one array.
-LEAST_BLOCK, LARGEST_BLOCK = 4096, 1 << 20
-LEAST_TRIALS = 250
-ARRAY_INTERVALS = 2_000_000
+# Limits: anchors per block, trials per row of work, intervals per slice of the period.
+BLOCK_ANCHORS, SHARE_TRIALS = 1 << 14, 2500
+SLICE_INTERVALS = 1 << 20
 
 
 def lowest_shift(span: Column, w: Column) -> Column:
@@ -50,8 +50,9 @@ def disruption_intervals(around: Ordered, widths_us: list[int]) -> DataFrame:
         .with_columns({"opens_us": F.when(opens, ts)})
         .running(before={"first_us": Running("max", F.col("opens_us"), inclusive=True)})
     )
+    period = [c for c in ("lo_us", "hi_us") if c in marked.df.columns]
     return marked.df.filter(closes).select(
-        "case_id", "window_us", (F.col("first_us") - w).alias("from_us"), (ts + w).alias("to_us")
+        "case_id", "window_us", *period, (F.col("first_us") - w).alias("from_us"), (ts + w).alias("to_us")
     )
 
 
@@ -61,63 +62,46 @@ def shift_counts(
     trials: int,
     seed: int,
     mode: str = "numpy",
-    array_limit: int = ARRAY_INTERVALS,
+    slice_intervals: int = SLICE_INTERVALS,
 ) -> DataFrame:
     """Hits per case, width and trial. ``around`` is restricted to the period (lo_us, hi_us)."""
-    intervals = disruption_intervals(around, widths_us)
-    anchors = around.filter(F.col("side") == 0)
-    # The bound on intervals per case needs only the longest period.
-    longest, n = anchors.df.agg(
-        F.max(F.col("hi_us") - F.col("lo_us")), F.count(F.lit(1))
-    ).first()
-    if (longest or 0) // (2 * min(widths_us)) + 2 <= array_limit:
-        return _counts_by_array(anchors, intervals, trials, seed, mode, n * len(widths_us))
-    return _counts_by_slot(anchors, intervals, widths_us, trials, seed, mode)
-
-
-def _counts_by_array(
-    anchors: Ordered, intervals: DataFrame, trials: int, seed: int, mode: str, n: int
-) -> DataFrame:
-    """One row of work per block of anchors and width, and per share of the trials if need be.
-
-    Many anchors make large blocks, each of which meets the intervals once for all trials; few
-    anchors make few blocks, whose trials are shared out to keep every core busy.
-    """
-    spark = intervals.sparkSession
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
-    block = min(max(n // tasks, LEAST_BLOCK), LARGEST_BLOCK)
-    shares = min(max(2 * tasks * block // max(n, 1), 1), -(-trials // LEAST_TRIALS))
-    per_share = -(-trials // shares)
-    arrays = intervals.groupBy("case_id", "window_us").agg(
-        F.array_sort(F.collect_list("from_us")).alias("starts"),
-        F.array_sort(F.collect_list("to_us")).alias("ends"),
+    span, w = F.col("hi_us") - F.col("lo_us"), F.col("window_us")
+    length = F.greatest(F.lit(1), F.least(span, 2 * w * slice_intervals))
+    low = F.greatest(F.col("from_us") - F.col("lo_us"), F.lit(0))
+    high = F.least(F.col("to_us") - F.col("lo_us"), F.greatest(span - 1, F.lit(0)))
+    # One pair of arrays per case, width and slice, each of a bounded length.
+    slices = (
+        disruption_intervals(around, widths_us)
+        .withColumns({"length": length, "low": low, "high": high})
+        .filter("low <= high")
+        .withColumn("slice", F.explode(F.sequence(floor_div(F.col("low"), F.col("length")), floor_div(F.col("high"), F.col("length")))))
+        .groupBy("case_id", "window_us", "length", "slice")
+        .agg(F.array_sort(F.collect_list("low")).alias("starts"), F.array_sort(F.collect_list("high")).alias("ends"))
     )
+    anchors = around.filter(F.col("side") == 0)
     number = F.row_number().over(anchors.window()) - 1
     blocks = (
-        anchors.with_columns({"block": F.call_function("div", number, F.lit(block))})
+        anchors.with_columns({"block": F.call_function("div", number, F.lit(BLOCK_ANCHORS))})
         .df.groupBy("case_id", CHUNK, "block")
         .agg(
             F.first("lo_us").alias("lo_us"),
             F.first("hi_us").alias("hi_us"),
-            F.collect_list("ts_us").alias("ts"),
-            F.collect_list("n").alias("n"),
+            F.array_sort(F.collect_list(F.struct("ts_us", "n"))).alias("anchors"),
         )
     )
     work = (
-        blocks.join(arrays, "case_id")
-        .withColumn(
-            "first_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(per_share)))
-        )
+        blocks.join(slices, "case_id")
+        .withColumn("first_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(SHARE_TRIALS))))
         .withColumn("low_us", lowest_shift(F.col("hi_us") - F.col("lo_us"), F.col("window_us")))
+        .withColumns({"ts": F.col("anchors.ts_us"), "n": F.col("anchors.n")})
+        .drop("anchors")
     )
-    spread = work.repartition(tasks, "case_id", "window_us", CHUNK, "block", "first_trial")
+    spread = work.repartition("case_id", "window_us", "slice", CHUNK, "block", "first_trial")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                hits = _hits(row, seed, mode, trials, per_share)
+                hits = _hits(row, seed, mode, trials)
                 yield pd.DataFrame(
                     {
                         "case_id": row.case_id,
@@ -134,76 +118,34 @@ def _counts_by_array(
     )
 
 
-def _hits(row, seed: int, mode: str, trials: int, share: int) -> np.ndarray:
-    """Hits of one block of anchors for a range of trials."""
+def _hits(row, seed: int, mode: str, trials: int) -> np.ndarray:
+    """Hits of one block of anchors in one slice, for a share of the trials."""
     span = row.hi_us - row.lo_us
     offsets = shift_offsets(seed, mode, trials, row.low_us, span).astype(np.int64)
-    offsets = offsets[row.first_trial : row.first_trial + share]
+    offsets = offsets[row.first_trial : row.first_trial + SHARE_TRIALS]
     base = np.asarray(row.ts, dtype=np.int64) - row.lo_us
     weight = np.asarray(row.n, dtype=np.int64)
+    begin, end = row.slice * row.length, (row.slice + 1) * row.length
     # A point lies in an interval when an odd number of edges is at or before it.
-    edges = np.column_stack([row.starts, np.asarray(row.ends) + 1]).ravel() - row.lo_us
-    hits = np.empty(len(offsets), dtype=np.int64)
+    starts, ends = np.asarray(row.starts), np.asarray(row.ends)
+    edges = np.column_stack([np.maximum(starts, begin), np.minimum(ends, end - 1) + 1]).ravel()
+    hits = np.zeros(len(offsets), dtype=np.int64)
+    if end < span:  # several slices: only the anchors that a trial moves into this one
+        for i, offset in enumerate(offsets):
+            for turn in (0, span):
+                a, b = np.searchsorted(base, [begin + turn - offset, min(end, span) + turn - offset])
+                inside = np.searchsorted(edges, base[a:b] + (offset - turn), side="right") & 1
+                hits[i] += int(inside @ weight[a:b])
+        return hits
     step = max(1, 1_000_000 // max(len(base), 1))
     for at in range(0, len(offsets), step):
         moved = base[None, :] + offsets[at : at + step, None]
         moved = np.where(moved >= span, moved - span, moved) if span > 0 else moved
         inside = np.searchsorted(edges, moved, side="right") & 1
-        hits[at : at + step] = inside @ weight
+        hits[at : at + step] = np.where(moved >= begin, inside, 0) @ weight
     return hits
 
 
-def _counts_by_slot(
-    anchors: Ordered,
-    intervals: DataFrame,
-    widths_us: list[int],
-    trials: int,
-    seed: int,
-    mode: str,
-) -> DataFrame:
-    """The same counts by an equi-join on slots of four windows, at most four intervals each."""
-    w = F.col("window_us")
-
-    def slot(t: Column) -> Column:
-        return floor_div(t, 4 * w)
-
-    low, high = F.col("from_us"), F.col("to_us")
-    slotted = intervals.withColumn("slot", F.explode(F.sequence(slot(low), slot(high))))
-    spans = anchors.df.select(
-        "case_id", "lo_us", "hi_us", "ts_us", "n",
-        each_width(widths_us).alias("window_us"),
-    ).withColumn("span", F.col("hi_us") - F.col("lo_us"))
-
-    @F.pandas_udf("array<bigint>")
-    def offsets(lowest: pd.Series, span: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                shift_offsets(seed, mode, trials, int(a), int(b)).astype(np.int64)
-                for a, b in zip(lowest, span)
-            ]
-        )
-
-    moved = spans.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    per_case = (
-        spans.select("case_id", "window_us", "span")
-        .distinct()
-        .join(intervals.select("case_id", "window_us").distinct(), ["case_id", "window_us"])
-        .withColumn("offsets", offsets(lowest_shift(F.col("span"), w), F.col("span")))
-        .select("case_id", "window_us", F.posexplode("offsets").alias("trial", "offset_us"))
-    )
-    at = F.col("ts_us") - F.col("lo_us") + F.col("offset_us")
-    moved = moved.join(per_case, ["case_id", "window_us", "trial"]).withColumn(
-        "at_us", F.col("lo_us") + F.when(at >= F.col("span"), at - F.col("span")).otherwise(at)
-    )
-    found = moved.withColumn("slot", slot(F.col("at_us"))).join(
-        slotted, ["case_id", "window_us", "slot"], "left"
-    )
-    hit = F.coalesce((F.col("at_us") >= low) & (F.col("at_us") <= high), F.lit(False))
-    return found.groupBy("case_id", "window_us", F.col("trial").cast("bigint").alias("trial")).agg(
-        F.sum(F.when(hit, F.col("n")).otherwise(F.lit(0))).alias("hits")
-    )
-
-
 def with_shift_test(observed: DataFrame, counts: DataFrame, trials: int) -> DataFrame:
     """Add the add-one empirical p and the mean hits; NULL where either stream is empty."""
     # One number per trial, so the list is as long as the test has trials.

@@ -106,7 +106,7 @@ def test_width_counts_and_shift(spark, chunks):
     period = {r.case_id: r for r in periods.collect()}
     got = {(r.case_id, r.window_us): r for r in asc.width_counts(inside, widths).collect()}
     array = shift_counts(inside, widths, 40, 5, "numpy")
-    slots = shift_counts(inside, widths, 40, 5, "numpy", array_limit=0)
+    slots = shift_counts(inside, widths, 40, 5, "numpy", slice_intervals=3)
     shifted = {(r.case_id, r.window_us, r.trial): r.hits for r in array.collect()}
     assert shifted == {(r.case_id, r.window_us, r.trial): r.hits for r in slots.collect()}
     cams, dis = by_case(rows, "camera"), by_case(rows, "disruption")
