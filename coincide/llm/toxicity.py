@@ -36,7 +36,7 @@ PREFIXES = (4, 5, 6)
 #: A term needs so many toxic documents, such a share of them and such a ratio of rates; a hit counts
 #: as certain as PRIOR says before the sample speaks, with the weight beside it, by edits.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 5, 0.01, 40.0
-PRIOR = ((0.9, 2.0), (0.25, 4.0), (0.15, 4.0))
+PRIOR = ((0.9, 2.0), (0.5, 4.0), (0.25, 4.0))
 #: Share of toxic documents that certainties are put to; a hit under the least certainty is none.
 TOXIC_SHARE, LEAST_CERTAINTY = 0.1, 0.2
 #: Share that a quoted or reported hit keeps; words between hits that are near, and what nearness adds.
@@ -328,7 +328,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     x = features(doc, term, edits, mention.astype(bool), near, certainty, np.array([r["n_words"] for r in found]))
     y = np.array([r["_label"] for r in found], float)
     share = np.where(y == 1, TOXIC_SHARE / total[1], (1 - TOXIC_SHARE) / total[0]) * len(y)
-    return Model(terms, made, certainty, logistic(x, y, share))
+    seen = x[:, 0] > 0  # the others score 0; two made-up rows stand for what the sample may lack
+    length = np.median(x[:, 2])
+    x = np.vstack((x[seen], [[0.29, 0, length], [4.6, 1, length]]))
+    return Model(terms, made, certainty, logistic(x, np.append(y[seen], [0, 1]), np.append(share[seen], [3.0, 3.0])))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.0) -> np.ndarray:
