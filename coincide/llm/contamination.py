@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from coincide.llm.text import PLAIN, lists, lowered, with_columns
 
 GROUP_WORDS = 2_000_000
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 MATCH = "struct<item_id:string,item_at:int,at:int,length:int>"
 MATCH_TYPE = pa.struct([("item_id", pa.string()), ("item_at", pa.int32()), ("at", pa.int32()), ("length", pa.int32())])
 OUTPUT = f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, matches array<{MATCH}>"

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from coincide.llm.components import components
 from coincide.llm.stage import written
-from coincide.llm.text import SPACED, chunks, grams, lowered, mix, with_columns
+from coincide.llm.text import SPACED, chunks, grams, lowered, mapped, mix, with_columns
 
 #: Segments beyond those needed, as a factor; a band's upper size over its lower one follows from the
 #: threshold. Cost of a chance meeting of signatures, and how fast its likelihood falls by shingle.
@@ -259,8 +259,8 @@ def postings(docs: DataFrame, text: str, size: int, percent: int, largest: int,
         at = np.repeat(head[long] - np.cumsum(size) + size, size) + np.arange(size.sum())
         yield from _rows(name[at], np.repeat(name[head[long]], size), s[at])
 
-    packed = docs.select(text).mapInArrow(pack, "part int, signatures binary, names binary, which binary")
-    return packed.repartitionById(parts, "part").mapInArrow(meet, "a bigint, b bigint, list bigint")
+    packed = mapped(docs.select(text), pack, "part int, signatures binary, names binary, which binary")
+    return mapped(packed.repartitionById(parts, "part"), meet, "a bigint, b bigint, list bigint")
 
 
 def _indexed(name: np.ndarray) -> tuple[bytes, bytes]:
@@ -303,7 +303,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = differing(sa, sb) <= total * (100 - percent) // (100 + percent)
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], names=["a", "b"]).filter(pa.array(good))
 
-    return joined.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a bigint, b bigint")
+    return mapped(joined.where(fits).select("a", "b", "na", "nb", "sa", "sb"), prune, "a bigint, b bigint")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -362,7 +362,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, sets: Data
             good = [_links(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(ma.to_pylist(), mb.to_pylist())]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return joined.select("a", "b", "ma", "mb").mapInArrow(verify, "a bigint, b bigint")
+    return mapped(joined.select("a", "b", "ma", "mb"), verify, "a bigint, b bigint")
 
 
 def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -431,7 +431,7 @@ def _across(long: DataFrame, root: DataFrame, sets: DataFrame, percent: int) ->
             a, b = _distinct(np.concatenate(found, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return spread.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return mapped(spread, compare, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:

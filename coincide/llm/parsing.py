@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coincide.llm.text import CHUNK_BYTES, as_bytes, mix, plain, with_columns
+from coincide.llm.text import CHUNK_BYTES, as_bytes, mapped, mix, plain, with_columns
 
 SIZE, FROM_LEVEL, HEX = 64, 2, 8
 NOTHING = np.uint64(1 << 32)  # beyond every 32-bit hash
@@ -204,7 +204,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return rows.select(key).limit(0).mapInArrow(lambda batches: iter(()), f"{_ddl(rows, key)}, {OUTPUT}")
     order = sorted(head)
     before = {head[p]: order[i - 1] for i, p in enumerate(order)}  # first key of a range: the range before
-    target = F.create_map(*[F.lit(x) for k, p in before.items() for x in (int(k), int(p))])
+    target = F.create_map(*[x for k, p in before.items() for x in (F.lit(int(k)).cast("bigint"), F.lit(int(p)))])
     place = F.array(F.struct("part", F.lit(False).alias("extra")), F.struct(target[F.col("k")].alias("part"), F.lit(True).alias("extra")))
     dealt = rows.withColumn("place", F.explode(place)).select(key, "text", "k", "place.part", "place.extra").where("part is not null")
     dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.desc("k"), "text")
@@ -237,7 +237,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
              pa.array(likeness(mine[at], other)), pa.array(likeness(mine[at], mine[at + 1]))],
             names=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return dealt.mapInArrow(run, f"{_ddl(rows, key)}, {OUTPUT}")
+    return mapped(dealt, run, f"{_ddl(rows, key)}, {OUTPUT}")
 
 
 def _ddl(df: DataFrame, key: str) -> str:

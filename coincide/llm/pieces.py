@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coincide.llm.text import as_bytes, hashes, lists, mix, once, plain, with_columns
+from coincide.llm.text import as_bytes, hashes, lists, mapped, mix, once, plain, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, LITERAL = 0x2581, 0x110000
 #: Bytes of text whose distinct segments share lattices.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 FILTER_SHIFT = np.uint64(46)
 _K = np.uint64(0x9FB21C651E98DF25)
 
@@ -145,10 +145,10 @@ def lattice(code: np.ndarray, size: np.ndarray, v: Vocabulary, theta: float) ->
     n = len(code)
     deepest = int(size[0])
     base = np.concatenate(([0], np.cumsum(np.searchsorted(-size, -np.arange(deepest + 1), "right"))))
-    segment = np.repeat(np.arange(len(size)), size)
-    depth = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    segment = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    depth = (np.arange(n) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
     left = size[segment] - depth
-    live, h = np.arange(n), np.zeros(n, np.uint64)
+    live, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
     starts, lengths, ids = [], [], []
     single = np.zeros(n, bool)
     for k in range(1, len(v.prefixes)):
@@ -164,22 +164,25 @@ def lattice(code: np.ndarray, size: np.ndarray, v: Vocabulary, theta: float) ->
         live, h, found = live[known], h[known], v.ids[k][at[known]]
         whole = found >= 0
         starts.append(live[whole])
-        lengths.append(np.full(len(starts[-1]), k))
-        ids.append(found[whole])
+        lengths.append(np.full(len(starts[-1]), k, np.int32))
+        ids.append(found[whole].astype(np.int32))
         if k == 1:
             single[live[whole]] = True
-    bare = np.flatnonzero(~single)
+    bare = np.flatnonzero(~single).astype(np.int32)
     starts.append(bare)
-    lengths.append(np.ones(len(bare), np.int64))
-    ids.append(-1 - code[bare].astype(np.int64))
+    lengths.append(np.ones(len(bare), np.int32))
+    ids.append((-1 - code[bare].astype(np.int64)).astype(np.int32))
     start, length, piece = map(np.concatenate, (starts, lengths, ids))
+    del starts, lengths, ids, live, h, left, single
     weight = theta * v.weight[np.maximum(piece, 0)]
     byte = np.flatnonzero(piece < 0)
     weight[byte] = theta * v.weight[v.byte_ids[0]] * utf8_bytes(-1 - piece[byte])
-    target = base[depth[start] + length] + segment[start]
+    target = (base[depth[start] + length] + segment[start]).astype(np.int32)
+    source = (base[depth[start]] + segment[start]).astype(np.int32)
+    del start, length
     order = np.argsort(target)
-    start, piece, weight, target = start[order], piece[order], weight[order], target[order]
-    source = base[depth[start]] + segment[start]
+    source, piece, weight, target = source[order], piece[order], weight[order], target[order]
+    del order
     nodes = int(base[-1])
     first = np.concatenate(([0], np.cumsum(np.bincount(target, minlength=nodes))))
     alpha = np.zeros(nodes)
@@ -192,7 +195,8 @@ def lattice(code: np.ndarray, size: np.ndarray, v: Vocabulary, theta: float) ->
         most = np.maximum.reduceat(x, group)
         np.exp(x - most[target[a:b] - base[d]], out=x)
         alpha[base[d] : base[d + 1]] = most + np.log(np.add.reduceat(x, group))
-    chance = total - alpha[target]
+    chance = total
+    chance -= alpha[target]
     summed = np.concatenate(([0.0], np.cumsum(np.exp(chance))))
     upto = summed[1:] - summed[first[target]]
     upto[first[1:][np.diff(first) > 0] - 1] = 2.0  # the node's last edge takes what rounding leaves
@@ -203,7 +207,7 @@ def sample(column: pa.Array, draw: np.ndarray, v: Vocabulary, theta: float):
     """Ids of all texts one after another, each text's first id, and its log probability."""
     texts = plain(column).to_pylist()
     joined = "".join([" " + t for t in texts if t])
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     off = np.concatenate(([0], np.cumsum(size)))
     if not len(code):
@@ -242,8 +246,8 @@ def sample(column: pa.Array, draw: np.ndarray, v: Vocabulary, theta: float):
         while len(open_):
             edge[open_] += 1
             open_ = open_[made.upto[edge[open_]] <= u[open_]]
-        who.append(live)
-        edges.append(edge)
+        who.append(live.astype(np.int32))
+        edges.append(edge.astype(np.int32))
         node = made.start[edge]
         more = node != kind[live]
         live, node, step = live[more], node[more], step + 1
@@ -251,22 +255,23 @@ def sample(column: pa.Array, draw: np.ndarray, v: Vocabulary, theta: float):
     for x in who:
         steps[x] += 1
     head = np.cumsum(steps) - steps
-    chosen = np.empty(int(steps.sum()), np.int64)
+    chosen = np.empty(int(steps.sum()), np.int32)
     for k, (x, e) in enumerate(zip(who, edges)):
         chosen[head[x] + steps[x] - 1 - k] = e
     piece = made.piece[chosen]
     owner = np.repeat(doc, steps)
     logp = np.bincount(owner, made.chance[chosen], minlength=len(texts))
-    count = np.where(piece >= 0, 1, utf8_bytes(-1 - piece))
+    count = np.ones(len(piece), np.int64)
+    byte = np.flatnonzero(piece < 0)
+    count[byte] = utf8_bytes(-1 - piece[byte])
     place = np.concatenate(([0], np.cumsum(count)))
     ids = np.repeat(piece, count)
-    for k in np.flatnonzero(count > 1) if (count > 1).any() else ():
+    for k in byte[count[byte] > 1]:
         raw = chr(BLANK if -1 - piece[k] == LITERAL else -1 - piece[k]).encode()
         ids[place[k] : place[k + 1]] = v.byte_ids[np.frombuffer(raw, np.uint8)]
-    one = (ids < 0)
+    one = ids < 0
     ids[one] = v.byte_ids[-1 - ids[one]]
-    total = np.concatenate(([0], np.cumsum(count)))
-    return ids, total[np.searchsorted(owner, np.arange(len(texts) + 1))], logp
+    return ids, place[np.searchsorted(owner, np.arange(len(texts) + 1))], logp
 
 
 def joined(ids: np.ndarray, first: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +333,7 @@ def decode(encoded: DataFrame, ids: str = "ids", output: str = "text", model: st
                 [batch.column(batch.schema.get_field_index(f.name)) for f in stay] + [pa.array(texts, pa.string())],
                 names=[f.name for f in stay] + [output])
 
-    return encoded.mapInArrow(run, T.StructType([*stay, T.StructField(output, T.StringType())]))
+    return mapped(encoded, run, T.StructType([*stay, T.StructField(output, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None,

@@ -7,6 +7,7 @@ Two of ``n`` distinct words share a hash with a chance of about n² / 2^65 (3e-6
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -44,6 +45,20 @@ def once(name: str, make: Callable):
     return held[name]
 
 
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose workers hand back the memory that a task no longer needs: workers live on
+    for other tasks, and what their allocators keep counts against the executor."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def crc_part(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
@@ -115,7 +130,7 @@ def with_columns(
             ]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in stay] + [f.name for f in added])
 
-    return df.select(*[F.col(f"`{c}`") for c in need]).mapInArrow(run, T.StructType(stay + added))
+    return mapped(df.select(*[F.col(f"`{c}`") for c in need]), run, T.StructType(stay + added))
 
 
 def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coincide.llm.stage import written
-from coincide.llm.text import as_bytes, mix, with_columns
+from coincide.llm.text import as_bytes, mapped, mix, with_columns
 
 ORDER, CONTEXTS = 5, 20_000
 END, START, SYMBOLS = 256, 257, 257
@@ -104,7 +104,7 @@ def counted(urls: DataFrame, text: str, label: str) -> DataFrame:
                      pa.array(np.diff(np.append(head, len(a))), pa.int64())],
                     names=["label", "k", "context", "next", "n"])
 
-    rows = urls.select(text, F.col(label).cast("int")).mapInArrow(count, "label int, k int, context bigint, next int, n bigint")
+    rows = mapped(urls.select(text, F.col(label).cast("int")), count, "label int, k int, context bigint, next int, n bigint")
     return rows.groupBy("label", "k", "context", "next").agg(F.sum("n").alias("n"))
 
 
