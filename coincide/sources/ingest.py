@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coincide.functions.times import dst_edge
+from coincide.operators.ordered import Running, arrange
 from coincide.params import AnalysisParams, micros
 from coincide.schema import conform
 from coincide.session import durable, use_utc
+from coincide.sources import api_json
 from coincide.sources.registry import FORMATS, WEAK, catalog, detect
 
 # Default margin of the extracted window, examples shown of doubtful readings.
@@ -31,9 +33,9 @@ def to_events(rows: DataFrame, files: DataFrame, case_id: Column | None = None)
     ``seq`` orders rows by (file, position in the file) and breaks ties of equal instants, so the
     table need not be sorted.
     """
-    numbers = files.select(
-        F.col("path").alias("source_file"),
-        F.row_number().over(Window.orderBy("path")).cast("bigint").alias("file_no"),
+    ordered = arrange(files.select("path", F.lit(0).alias("all")).distinct(), ["all"], ["path"])
+    numbers = ordered.running(before={"file_no": Running("sum", F.lit(1).cast("bigint"), inclusive=True)}).df.select(
+        F.col("path").alias("source_file"), "file_no"
     )
     good = rows.filter("reject IS NULL").join(numbers, "source_file", "left")
     return conform(
@@ -63,6 +65,33 @@ def quality(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rejected.unionByName(doubtful)
 
 
+def notes(spark: SparkSession, rows: DataFrame, files: DataFrame, params: AnalysisParams) -> DataFrame:
+    """SRC15: what was assumed while reading, per file and reason, in the columns of :func:`quality`.
+
+    How clips got their times, the clock offset and the year that were applied, readings that daylight
+    saving makes doubtful, and envelopes that are incomplete or came over an unverified connection.
+    """
+    good = rows.filter("reject IS NULL").join(files.select(F.col("path").alias("source_file"), "parser"), "source_file")
+    by_clip = F.concat(F.lit("clip times from "), F.col("pattern")) if "pattern" in rows.columns else F.lit(None).cast("string")
+    offset = f"camera clock offset of {params.camera_clock_offset_s:+.3f} s applied"
+    camera = F.col("parser").isin("camera_csv", "camera_clips") if params.camera_clock_offset_s else F.lit(False)
+    year = f"year {params.log_year or 'of today'} assumed where the log has none"
+    edge = dst_edge(F.unix_micros(F.col("ts_local").cast("timestamp")), params.timezone)
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("parser") == "camera_clips", by_clip),
+            F.when(camera, offset),
+            F.when(F.col("parser") == "opnsense", year),
+            F.when(F.col("parser").isin("opnsense", "camera_csv", "camera_clips", "nzyme_csv"), F.concat(edge, F.lit(" local time"))),
+        )
+    )
+    found = good.select("source_file", F.explode(reasons).alias("reason"))
+    saved = [r.path for r in files.filter("parser = 'opnsense_api'").select("path").collect()]
+    if saved:
+        found = found.unionByName(api_json.envelope_warnings(api_json.read_envelopes(spark, saved)))
+    return found.groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_inputs(
     spark: SparkSession,
     inputs: dict[str, list[str]],
@@ -93,7 +122,7 @@ def read_inputs(
     return Ingested(
         to_events(rows, files, case_id),
         files.join(counts, "path", "left").fillna(0, ["rows"]),
-        quality(rows, files),
+        quality(rows, files).unionByName(notes(spark, rows, files, params)),
     )
 
 

@@ -187,6 +187,7 @@ def test_read_inputs(spark, files):
     assert by_file["capture.pcapng"] == 6 and by_file["dnsmasq.log"] == 5
     reasons = {r.reason for r in got.quality.collect()}
     assert {"unreadable timestamp", "no readable timestamp", "no 802.11 link type"} <= reasons
+    assert {"clip times from ISO 8601", "year 2026 assumed where the log has none"} <= reasons
 
 
 def test_window_extract(spark):
