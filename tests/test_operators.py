@@ -344,3 +344,16 @@ def test_match_table(spark, chunks):
         if near_frame is not None and abs(near_frame - t) <= w:
             first = next(x for x in rows if x["case_id"] == case and x["kind"] == "deauth" and x["ts_us"] == near_frame)
             assert (m.attacker_mac, m.reason_code) == (first.get("src_mac"), first.get("reason_code"))
+
+
+def test_debounce_takes_as_many_jobs_for_many_chunks_as_for_few(spark):
+    """A steady stream without any quiet stretch, cut into 2 and into 12 chunks."""
+    rows = spark.range(600).selectExpr("'k' AS key", f"id * {S} AS ts_us", "id AS seq")
+    jobs, context = [], spark.sparkContext
+    for chunks in (2, 12):
+        context.setJobGroup(f"debounce-{chunks}", "")
+        kept = sorted(r.seq for r in debounce(rows, ["key"], 7 * S, chunks).collect())
+        assert kept == list(range(0, 600, 7))
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"debounce-{chunks}")))
+    context.setJobGroup("tests", "")
+    assert jobs[0] == jobs[1]
