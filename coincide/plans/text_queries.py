@@ -119,7 +119,7 @@ def fn10_parse_any(spark, sf_dir):
         F.call_function("div", F.col("us"), F.lit(1_000_000)).cast("string"),
         F.call_function("div", F.col("us"), F.lit(1_000)).cast("string"),
         F.concat(F.lit("cam_"), stamp("yyyyMMdd_HHmmss")), stamp("MM/dd/yyyy hh:mm:ss a"),
-        stamp("yyyy/MM/dd HH:mm:ss"), F.lit("not a time"),
+        stamp("yyyy/MM/dd HH:mm:ss"), F.lit("not a time"), stamp("MM/dd/yyyy HH:mm:ss"), stamp("dd/MM/yyyy HH:mm:ss"),
     )
     at = times.finalize(times.parse_any(text, F.lit(2024)), "UTC")
     return spelled(spark, sf_dir).select("event_id", at["ts_us"].alias("ts_us"))
@@ -153,6 +153,15 @@ def tk08_dst_examples(spark, sf_dir):
     return examples.join(counts, "edge", "left").select("wall_us", "edge", "n")
 
 
+@query
+def fn13_year(spark, sf_dir):
+    """A stamp without a year takes the file's, and the one before if it would lie in the future."""
+    reference = F.col("us") + (F.col("k").cast("bigint") - 20) * F.lit(86_400_000_000)
+    read = times.parse_rfc3164(stamp("MMM dd HH:mm:ss"), times.year_in(reference, "UTC"))
+    at = times.finalize(times.rewind_if_future(read, reference, "UTC"), "UTC")
+    return spelled(spark, sf_dir).select("event_id", at["ts_us"].alias("ts_us"))
+
+
 @query
 def fn14_clip_time(spark, sf_dir):
     name = pick(

@@ -44,8 +44,11 @@ ORACLE["fn07_parse_iso"] = f"""
 WITH {SP} SELECT event_id, us - {pick('user_id', '0', '-14400000000', '19800000000')} AS ts_us,
   {pick('user_id', "'+00:00'", "'-04:00'", "'+05:30'")} AS utc_offset FROM sp"""
 
+# Day first: read as month first where that is a date.
+_SWAPPED = f"""CASE WHEN day(ts) > 12 THEN {sec()} ELSE
+  epoch_us(make_timestamp(year(ts), day(ts), month(ts), hour(ts), minute(ts), floor(second(ts))::DOUBLE)) END"""
 ORACLE["fn10_parse_any"] = f"""
-WITH {SP} SELECT event_id, {pick('k', sec(), sec(), sec(), '(us // 1000 * 1000)', sec(), sec(), sec(), 'NULL')} AS ts_us FROM sp"""
+WITH {SP} SELECT event_id, {pick('k', sec(), sec(), sec(), '(us // 1000 * 1000)', sec(), sec(), sec(), 'NULL', sec(), _SWAPPED)} AS ts_us FROM sp"""
 
 _YEAR = """
 yr AS (SELECT event_id, 1704067200000000 + event_id * 37 % 8784 * 3600000000 + us % 3600000000 AS wall FROM sp),
@@ -328,3 +331,8 @@ SELECT f, packet_no, us AS ts_us, CASE user_id % 3 WHEN 0 THEN 'deauth' ELSE 'di
   CASE WHEN k % 3 = 0 THEN 'ff:ff:ff:ff:ff:ff' ELSE mac END AS dst_mac, CASE WHEN k % 5 <> 0 THEN k END::BIGINT AS reason_code,
   (-k - 1)::BIGINT AS signal, NULL::VARCHAR AS reject FROM r WHERE user_id % 3 < 2
 UNION ALL SELECT f, n, NULL, NULL, NULL, NULL, NULL, NULL, '400 bytes could not be read as packets' FROM c WHERE f % 4 > 1"""
+
+ORACLE["fn13_year"] = f"""
+WITH {SP}, r AS (SELECT event_id, ts, us + (k - 20) * 86400000000 AS ref FROM sp),
+w AS (SELECT event_id, ref, make_timestamp(year(make_timestamp(ref)), month(ts), day(ts), hour(ts), minute(ts), floor(second(ts))::DOUBLE) AS wall FROM r)
+SELECT event_id, epoch_us(CASE WHEN epoch_us(wall) > ref + 86400000000 THEN wall - INTERVAL 1 YEAR ELSE wall END) AS ts_us FROM w"""
