@@ -16,6 +16,24 @@ HEADLINE = (
 )
 
 
+def shift_times(spark, sf_dir: str) -> dict[str, float]:
+    """The permutation test at several numbers of trials."""
+    from coincide.operators.shift import shift_counts
+    from coincide.plans.queries import PARAMS, Study
+
+    out = {}
+    for trials in (200, 2_000, 10_000):
+        start = time.perf_counter()
+        counts = shift_counts(Study(spark, sf_dir).inside, [PARAMS.window_us], trials, PARAMS.seed, "grid")
+        counts.write.format("noop").mode("overwrite").save()
+        out[f"st03_{trials}_trials"] = round(time.perf_counter() - start, 3)
+    return out
+
+
+def cases(spark, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -42,6 +60,8 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    detail = {} if sys.argv[1:] else shift_times(spark, sf_dir) | {
+        "st12_cases_per_sec": round(cases(spark, sf_dir) / seconds["st12_calibration"], 1)}
     print(
         json.dumps(
             {
@@ -49,6 +69,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "detail": detail,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         )
