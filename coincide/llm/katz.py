@@ -37,9 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coincide.llm.stage import written
-from coincide.llm.text import SPACED, chunks, lowered, mix
+from coincide.llm.text import SPACED, chunks, lists, lowered, mapped, mix
 
-KATZ, REST, HEAD = 5, 0.05, 1 << 17
+KATZ, REST, HEAD = 5, 0.05, 1 << 21
 CHUNK, FLUSH = 4 << 20, 1 << 21
 _U = np.uint64
 START, END = _U(0x5354415254535441), _U(0x454E44454E44454E)
@@ -104,7 +104,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         for k in range(0, len(word), step):
             yield pa.RecordBatch.from_arrays([pa.array(word[k : k + step].view(np.int64)), pa.array(n[k : k + step].astype(np.int64))], names=["word", "n"])
 
-    return docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return mapped(docs.select(text), count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _added(held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -176,51 +176,67 @@ def decoded(words: Words, code: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def pair_rows(text: str, words, parts: int):
-    """Packed pairs of each chunk of documents for each owner, and each chunk's documents."""
+    """Packed pairs of each block of documents for each owner, and each block's documents."""
 
     def run(batches):
-        w = words.value
-        for number, chunk in enumerate(chunks(batches, text, CHUNK)):
-            name = TaskContext.get().partitionId() << 32 | number
+        w = Words(*words.value)
+        number, size, docs, rows, listed = 0, 0, 0, [], []
+        for chunk in chunks(batches, text, CHUNK):
             h, begin = sequences(chunk.column(0))
             n_tokens = np.diff(begin)
-            train = np.asarray(chunk.column(1).fill_null(False))
-            doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
-            before = np.empty_like(h)
-            before[1:] = h[:-1]
-            before[begin[:-1]] = START
-            code = coded(w, h)
-            code_before = np.zeros_like(code)
-            code_before[1:] = code[:-1]
-            code_before[begin[:-1]] = 0
-            with np.errstate(over="ignore"):
-                key = (doc.astype(_U) << _U(51)) | (mix(h * _K + before) >> _U(13))
-            order = np.argsort(key)
-            h, before, doc, code, code_before = (x[order] for x in (h, before, doc, code, code_before))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1]) | (doc[1:] != doc[:-1])
-            head = np.flatnonzero(new)
-            n = np.diff(np.append(head, len(h))).astype(np.uint32)
-            h, before, doc, code, code_before = (x[head] for x in (h, before, doc, code, code_before))
-            with np.errstate(over="ignore"):
-                owner = (mix(np.where(code > 0, h + before * _K, h)) % _U(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
-            order = np.argsort(owner, kind="stable")
-            h, before, doc, code, code_before, n = (x[order] for x in (h, before, doc, code, code_before, n))
-            cuts = np.searchsorted(owner[order], np.arange(parts + 1))
-            out = []
-            for p, a, b in zip(range(parts), cuts, cuts[1:]):
-                if a < b:
-                    c, cb = code[a:b], code_before[a:b]
-                    step = np.diff(doc[a:b], prepend=0).astype(np.uint16)
-                    size = n[a:b]
-                    more = np.flatnonzero(size > 1).astype(np.uint32)
-                    out.append((p, packed(np.array([len(n_tokens)]), np.packbits(train), step, c, cb, h[a:b][c == 0], before[a:b][cb == 0], more, size[more])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["pairs"] * len(out) + ["docs"]), pa.array([p for p, _ in out] + [int(mix(np.array([name], _U))[0] % _U(parts))], pa.int32()),
-                 pa.array([name] * (len(out) + 1), pa.int64()), pa.array([b for _, b in out] + [None], pa.binary()),
-                 pa.array([None] * len(out) + [np.asarray(chunk.column(2).fill_null(False))], pa.list_(pa.bool_())),
-                 pa.array([None] * len(out) + [n_tokens], pa.list_(pa.int64())), pa.array([None] * len(out) + [chunk.column(3).to_pylist()], pa.list_(chunk.column(3).type))],
-                names=["kind", "part", "chunk", "blob", "held", "n_tokens", "ids"])
+            rows.append(pairs(w, h, begin, docs))
+            listed.append((np.asarray(chunk.column(1).fill_null(False)), np.asarray(chunk.column(2).fill_null(False)), n_tokens, chunk.column(3)))
+            docs += len(n_tokens)
+            size += len(rows[-1][0])
+            if size > FLUSH:
+                yield block(rows, listed, number)
+                number, size, docs, rows, listed = number + 1, 0, 0, [], []
+        if listed:
+            yield block(rows, listed, number)
+
+    def pairs(w, h, begin, docs):
+        """Each distinct pair of each document, with its count: word, word before, document, codes."""
+        doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        before, code = np.empty_like(h), coded(w, h)
+        code_before = np.zeros_like(code)
+        before[1:], code_before[1:] = h[:-1], code[:-1]
+        before[begin[:-1]], code_before[begin[:-1]] = START, 0
+        with np.errstate(over="ignore"):
+            key = (doc.astype(_U) << _U(51)) | (mix(h * _K + before) >> _U(13))
+        order = np.argsort(key)
+        h, before, doc, code, code_before = (x[order] for x in (h, before, doc, code, code_before))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1]) | (doc[1:] != doc[:-1])
+        head = np.flatnonzero(new)
+        n = np.diff(np.append(head, len(h))).astype(np.uint32)
+        return h[head], before[head], (doc[head] + docs).astype(np.int32), code[head], code_before[head], n
+
+    def block(rows, listed, number):
+        """The pairs of a block of documents by owner, and the block's documents."""
+        name = TaskContext.get().partitionId() << 32 | number
+        h, before, doc, code, code_before, n = (np.concatenate(x) for x in zip(*rows))
+        rows.clear()
+        train, held, n_tokens = (np.concatenate(x) for x in list(zip(*listed))[:3])
+        ids = pa.concat_arrays([x[3] for x in listed])
+        with np.errstate(over="ignore"):
+            owner = (mix(np.where(code > 0, h + before * _K, h)) % _U(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(parts + 1))
+        out = []
+        for p, a, b in zip(range(parts), cuts, cuts[1:]):
+            if a < b:
+                at = order[a:b]
+                c, cb, size = code[at], code_before[at], n[at]
+                step = np.diff(doc[at], prepend=0).astype(np.uint32)
+                more = np.flatnonzero(size > 1).astype(np.uint32)
+                out.append((p, packed(np.array([len(n_tokens)]), np.packbits(train[doc[at]]), step, c, cb, h[at][c == 0], before[at][cb == 0], more, size[more])))
+        mine = int(mix(np.array([name], _U))[0] % _U(parts))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(["pairs"] * len(out) + ["docs"]), pa.array([p for p, _ in out] + [mine], pa.int32()),
+             pa.array([name] * (len(out) + 1), pa.int64()), pa.array([b for _, b in out] + [None], pa.binary()),
+             pa.array([None] * len(out) + [held], pa.list_(pa.bool_())), pa.array([None] * len(out) + [n_tokens], pa.list_(pa.int64())),
+             pa.concat_arrays([pa.nulls(len(out), pa.list_(ids.type)), lists(ids, np.array([0, len(ids)]))])],
+            names=["kind", "part", "chunk", "blob", "held", "n_tokens", "ids"])
 
     return run
 
@@ -234,7 +250,7 @@ def owners(words, parts: int):
     """Answers of the task that owns some pairs: counts, seen pairs, unseen pairs, context masses."""
 
     def run(batches):
-        w = words.value
+        w = Words(*words.value)
         names, sizes, cols, docs = [], [], [], 0
         for batch in batches:
             kinds = batch.column(0).to_pylist()
@@ -245,66 +261,73 @@ def owners(words, parts: int):
                 if kind == "pairs":
                     (n_docs,), train, step, c, cb, rest, rest_before, more, size = unpacked(blob)
                     doc = np.cumsum(step.astype(np.int64))
-                    n = np.ones(len(c), np.int64)
+                    n = np.ones(len(c), np.int32)
                     n[more] = size
-                    train = np.unpackbits(train, count=n_docs).astype(bool)
-                    cols.append((decoded(w, c, rest), decoded(w, cb, rest_before), doc + docs, n, train[doc], c))
+                    train = np.unpackbits(train, count=len(c)).astype(bool)
+                    cols.append((decoded(w, c, rest), decoded(w, cb, rest_before), doc + docs, n, train, c))
                     names.append(chunk)
                     sizes.append(int(n_docs))
                     docs += int(n_docs)
         if cols:
-            yield from _answers(w, parts, *(np.concatenate(x) for x in zip(*cols)), names, np.array(sizes))
+            whole = [np.concatenate(x) for x in zip(*cols)]
+            cols.clear()
+            yield from _answers(w, parts, *whole, names, np.array(sizes))
 
     return run
 
 
 def _answers(w: Words, parts: int, h, before, doc, n, train, code, names, sizes):
+    known_docs, doc = np.unique(doc, return_inverse=True)  # only those that have a pair here
     order = np.lexsort((before, h))
-    h, before, doc, n, train, code = (x[order] for x in (h, before, doc, n, train, code))
-    learnt = np.where(train, n, 0)
-    by_word = _grouped(h)
-    pair = np.concatenate(([True], (h[1:] != h[:-1]) | (before[1:] != before[:-1])))
-    by_pair = np.flatnonzero(pair)
-    count = np.add.reduceat(learnt, by_pair)
-    one = np.where(code[by_word] > 0, w.count[code[by_word]], np.add.reduceat(learnt, by_word))
-    size_word, size_pair = np.diff(np.append(by_word, len(h))), np.diff(np.append(by_pair, len(h)))
-    c1, c2 = np.repeat(one, size_word), np.repeat(count, size_pair)
-    total = int(sizes.sum())
-    n = n.astype(float)
-    add = lambda mask, value: np.bincount(doc[mask], value[mask] * n[mask], minlength=total)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log1, log1_rest, log2_rest = np.log10(c1), np.log10(c1 - REST), np.log10(c2 - REST)
-        base = np.bincount(doc, np.log10(c1 + 1.0) * n, minlength=total)
-    score = add(c2 > KATZ, log2_rest) - add((c1 > 0) & (h != END), log1)
-    unseen = c2 == 0
-    lower = unseen & (c1 > 0)
-    score += add(lower & (c1 > KATZ), log1_rest) - np.log10(max(w.tokens, 1)) * np.bincount(doc[lower], n[lower], minlength=total)
-    cell = np.full(len(h), -1)
-    few = (c2 > 0) & (c2 <= KATZ)
-    cell[few] = c2[few] - 1
-    few = lower & (c1 <= KATZ)
-    cell[few] = KATZ + c1[few] - 1
-    cell[c1 == 0] = UNKNOWN
-    has = cell >= 0
-    cells = np.bincount(doc[has] * CELLS + cell[has], n[has], minlength=total * CELLS).reshape(total, CELLS)
-    cells[:, KNOWN] = np.bincount(doc[c1 > 0], n[c1 > 0], minlength=total)
+    h, before = h[order], before[order]
+    learnt, doc, n = np.where(train, n, 0)[order], doc[order].astype(np.int32), n[order].astype(np.int32)
+    new_word = np.concatenate(([True], h[1:] != h[:-1]))
+    new_pair = new_word.copy()
+    new_pair[1:] |= before[1:] != before[:-1]
+    by_word, by_pair = np.flatnonzero(new_word), np.flatnonzero(new_pair)
+    of = (np.cumsum(new_pair) - 1).astype(np.int32)  # by row: its pair
+    c2 = np.add.reduceat(learnt, by_pair)
+    code = code[order][by_word]
+    c1 = np.where(code > 0, w.count[code], np.add.reduceat(learnt, by_word))
+    c1 = c1[(np.cumsum(new_word) - 1)[by_pair]]
+    h, context = h[by_pair], before[by_pair]
+    del order, learnt, before, new_word, new_pair
+    known, unseen = c1 > 0, c2 == 0
+    gain, cell = np.zeros(len(c2)), np.full(len(c2), -1, np.int64)
+    has = c2 > KATZ
+    gain[has] = np.log10(c2[has] - REST)
+    has = known & (h != END)  # the word is a context once, of the token after it
+    gain[has] -= np.log10(c1[has])
+    has = unseen & (c1 > KATZ)
+    gain[has] += np.log10(c1[has] - REST)
+    gain[unseen & known] -= np.log10(max(w.tokens, 1))
+    has = ~unseen & (c2 <= KATZ)
+    cell[has] = c2[has] - 1
+    has = unseen & known & (c1 <= KATZ)
+    cell[has] = KATZ + c1[has] - 1
+    cell[~known] = UNKNOWN
+    total = len(known_docs)
+    base = np.bincount(doc, np.log10(c1 + 1.0)[of] * n, minlength=total)
+    score = np.bincount(doc, gain[of] * n, minlength=total)
+    rows = np.flatnonzero((cell >= 0)[of])
+    cells = np.bincount(doc[rows] * np.int64(CELLS) + cell[of[rows]], n[rows], minlength=total * CELLS).reshape(total, CELLS)
+    cells[:, KNOWN] = np.bincount(doc, np.where(known[of], n, 0), minlength=total)
     at = np.concatenate(([0], np.cumsum(sizes)))
-    for k, name in enumerate(names):
-        a, b = at[k], at[k + 1]
+    cuts = np.searchsorted(known_docs, at)
+    for name, begin, a, b in zip(names, at, cuts, cuts[1:]):
         yield _row("answer", int(mix(np.array([name], _U))[0] % _U(parts)), name,
-                   packed(np.arange(b - a, dtype=np.uint16), base[a:b], score[a:b], cells[a:b].astype(np.uint32).ravel()))
-    met = np.bincount(np.minimum(count, KATZ + 1), minlength=KATZ + 2)[1:]
-    exact = (count == KATZ + 1).sum()
-    yield _row("met", 0, 0, packed(np.append(met[:KATZ], exact).astype(np.int64)))
-
-    rows = np.flatnonzero(unseen)
-    rows = rows[np.argsort(before[rows], kind="stable")]
-    yield from _dealt("unseen", parts, w, before[rows], [np.searchsorted(at, doc[rows], "right").astype(np.uint32) - np.uint32(1),
-                      (doc[rows] - at[np.searchsorted(at, doc[rows], "right") - 1]).astype(np.uint16), n[rows].astype(np.uint32)], np.array(names))
-    kept = np.flatnonzero(count > 0)
-    v, c, low = before[by_pair][kept], count[kept], c1[by_pair][kept]
-    order = np.argsort(v)
-    v, c, low = v[order], c[order], low[order]
+                   packed((known_docs[a:b] - begin).astype(np.uint32), base[a:b], score[a:b], cells[a:b].astype(np.uint32).ravel()))
+    yield _row("met", 0, 0, packed(np.array([(c2 == r).sum() for r in range(1, KATZ + 2)], np.int64)))
+
+    rows = np.flatnonzero(unseen[of])
+    place = known_docs[doc[rows]]
+    chunk = np.searchsorted(at, place, "right") - 1
+    yield from _dealt("unseen", parts, w, context[of[rows]], [chunk.astype(np.uint32), (place - at[chunk]).astype(np.uint32),
+                      n[rows].astype(np.uint32)], np.array(names))
+    del of, doc, n, rows, chunk, place
+    kept = np.flatnonzero(~unseen)
+    kept = kept[np.argsort(context[kept])]
+    v, c, low = context[kept], c2[kept], c1[kept]
     head = _grouped(v)
     if len(head):
         sums = [np.add.reduceat(c, head)]
@@ -321,7 +344,7 @@ def _row(kind: str, part: int, chunk: int, blob: bytes) -> pa.RecordBatch:
 
 
 def _dealt(kind: str, parts: int, w: Words, context: np.ndarray, columns: list[np.ndarray], names: np.ndarray):
-    """Rows by context, packed for the task that owns it."""
+    """Rows by context, packed for the task that owns it; ``names`` are those of blocks, if any."""
     owner = (mix(context ^ _U(0xC0)) % _U(parts)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
     context, columns = context[order], [c[order] for c in columns]
@@ -329,15 +352,18 @@ def _dealt(kind: str, parts: int, w: Words, context: np.ndarray, columns: list[n
     code = coded(w, context)
     for p, a, b in zip(range(parts), cuts, cuts[1:]):
         if a < b:
-            c = code[a:b]
-            yield _row(kind, p, 0, packed(names, c, context[a:b][c == 0], *[x[a:b] for x in columns]))
+            c, mine, part = code[a:b], names, [x[a:b] for x in columns]
+            if len(names):  # the first column numbers the blocks: only those that occur are named
+                used, part[0] = np.unique(part[0], return_inverse=True)
+                mine, part[0] = names[used], part[0].astype(np.uint32)
+            yield _row(kind, p, 0, packed(mine, c, context[a:b][c == 0], *part))
 
 
 def weights(words, higher: np.ndarray, parts: int):
     """What unseen pairs add to their documents, from the masses of their contexts."""
 
     def run(batches):
-        w = words.value
+        w = Words(*words.value)
         masses, asked = [], []
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
@@ -356,16 +382,24 @@ def weights(words, higher: np.ndarray, parts: int):
             seen = sum(sums[r] * higher[r - 1] for r in range(1, KATZ + 1)) + sums[6] - REST * sums[7]
             low = sum(sums[7 + r] * w.lower[r - 1] for r in range(1, KATZ + 1)) + sums[13] - REST * sums[14]
             value = np.log10(sums[0]) + np.log10(1 - seen / sums[0]) - np.log10(1 - low / w.tokens)
-        for names, context, (which, doc, n) in asked:
+        chunk, doc, add = [], [], []
+        for names, context, (which, at_doc, n) in asked:
             at = np.minimum(np.searchsorted(v, context), max(0, len(v) - 1))
-            add = np.where(v[at] == context, value[at], 0.0) * n if len(v) else np.zeros(len(context))
-            key = which.astype(np.int64) << 16 | doc
-            keys, place = np.unique(key, return_inverse=True)
-            total = np.bincount(place, add)
-            cuts = np.searchsorted(keys >> 16, np.arange(len(names) + 1))
-            for name, a, b in zip(names.tolist(), cuts, cuts[1:]):
-                if a < b:
-                    yield _row("weights", int(mix(np.array([name], _U))[0] % _U(parts)), name, packed((keys[a:b] & 0xFFFF).astype(np.uint16), total[a:b]))
+            add.append(np.where(v[at] == context, value[at], 0.0) * n if len(v) else np.zeros(len(context)))
+            chunk.append(names[which])
+            doc.append(at_doc)
+        names, which = np.unique(np.concatenate(chunk), return_inverse=True)
+        key, place = np.unique(which.astype(np.int64) << 32 | np.concatenate(doc), return_inverse=True)
+        total = np.bincount(place, np.concatenate(add))
+        which = key >> 32
+        owner = (mix(names.view(_U)) % _U(parts)).astype(np.int64)[which]
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(parts + 1))
+        for p, a, b in zip(range(parts), cuts, cuts[1:]):
+            if a < b:
+                rows = order[a:b]
+                here, at = np.unique(which[rows], return_inverse=True)
+                yield _row("weights", p, 0, packed(names[here], at.astype(np.uint32), (key[rows] & 0xFFFFFFFF).astype(np.uint32), total[rows]))
 
     return run
 
@@ -376,26 +410,26 @@ def score(docs: DataFrame, trains: Column, held: Column, key: str = "doc_id", te
     Returns key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10; the base adds
     one to each count)."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # an owner holds its pairs in memory
     counts = written(word_counts(docs.where(trains), text), "words")
     words = summary(counts)
-    sent = spark.sparkContext.broadcast(words)
+    sent = spark.sparkContext.broadcast(tuple(words))  # plain values: workers need no class of this package
     rows = docs.select(F.col(text), trains.alias("trains"), held.alias("held"), F.col(key))
     ids = f", ids array<{docs.schema[key].dataType.simpleString()}>"
     fill = _filled(docs.schema[key].dataType)
-    pairs = rows.mapInArrow(pair_rows(text, sent, parts), SCHEMA + ids)
-    found = written(pairs.repartitionById(parts, "part").mapInArrow(fill(owners(sent, parts)), SCHEMA + ids), "answers", by="kind")
+    pairs = mapped(rows, pair_rows(text, sent, parts), SCHEMA + ids)
+    found = written(mapped(pairs.repartitionById(parts, "part"), fill(owners(sent, parts)), SCHEMA + ids), "answers", by="kind")
     met = np.zeros(KATZ + 1)
     for r in found.where("kind = 'met'").select("blob").toLocalIterator():  # a few numbers of each owner
         met += unpacked(r[0])[0]
     higher = discounted(met)
     columns = [f.strip().split(" ")[0] for f in SCHEMA.split(",")] + ["ids"]
     asked = found.where("kind in ('unseen', 'contexts')").select(*columns).repartitionById(parts, "part")
-    backed = asked.mapInArrow(fill(weights(sent, higher, parts)), SCHEMA + ids)
+    backed = mapped(asked, fill(weights(sent, higher, parts)), SCHEMA + ids)
     every = found.where("kind in ('docs', 'answer')").select(*columns).unionAll(backed).repartitionById(parts, "part")
     out = (f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, "
            "train_tokens bigint, base_score double, score double")
-    return every.mapInArrow(totals(sent, higher, key), out)
+    return mapped(every, totals(sent, higher, key), out)
 
 
 def _filled(kind):
@@ -423,7 +457,7 @@ def totals(words, higher: np.ndarray, key: str):
     """Documents of each chunk with the sums of all answers."""
 
     def run(batches):
-        w = words.value
+        w = Words(*words.value)
         made: dict[int, list] = {}
         listed = []
         for batch in batches:
@@ -431,12 +465,16 @@ def totals(words, higher: np.ndarray, key: str):
                 if kind == "docs":
                     listed.append((chunk, batch.column(4)[i].values, batch.column(5)[i].values, batch.column(6)[i].values))
                     continue
-                doc, *parts = unpacked(blob)
-                have = made.setdefault(chunk, [np.zeros(0), np.zeros(0), np.zeros((0, CELLS))])
                 if kind == "weights":
-                    made[chunk][1] = _sum(have[1], doc, parts[0])
-                else:
-                    made[chunk] = [_sum(have[0], doc, parts[0]), _sum(have[1], doc, parts[1]), _sum(have[2], doc, parts[2].reshape(-1, CELLS).astype(float))]
+                    names, at, doc, add = unpacked(blob)
+                    cuts = np.searchsorted(at, np.arange(len(names) + 1))
+                    for name, a, b in zip(names.tolist(), cuts, cuts[1:]):
+                        have = made.setdefault(name, [np.zeros(0), np.zeros(0), np.zeros((0, CELLS))])
+                        have[1] = _sum(have[1], doc[a:b], add[a:b])
+                    continue
+                doc, base, total, cells = unpacked(blob)
+                have = made.setdefault(chunk, [np.zeros(0), np.zeros(0), np.zeros((0, CELLS))])
+                made[chunk] = [_sum(have[0], doc, base), _sum(have[1], doc, total), _sum(have[2], doc, cells.reshape(-1, CELLS).astype(float))]
         logs = np.concatenate((np.log10(higher), np.log10(w.lower), [np.log10(max(w.unseen, 1e-300)), 0.0]))
         for chunk, held, n_tokens, ids in listed:
             n = np.asarray(n_tokens)
