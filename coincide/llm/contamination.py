@@ -19,6 +19,7 @@ null item id counts as the empty text. Equal items each count. Repeated rows get
 from __future__ import annotations
 
 import hashlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -189,7 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     keep = [c for c in docs.columns if keep is None or c in keep]
     for k, group in enumerate(groups):
         last = k == len(groups) - 1
-        out = _pass(out, context.broadcast(group), text, keep + ["matches"] * (k > 0) + [text] * (not last), k > 0)
+        out = _pass(out, context.broadcast(vars(group)), text, keep + ["matches"] * (k > 0) + [text] * (not last), k > 0)
     return out
 
 
@@ -197,8 +198,10 @@ def _pass(docs: DataFrame, held, text: str, keep: list[str], further: bool) -> D
     """One group of items; ``further``: matches of earlier groups are in the rows."""
 
     def make():
+        items = SimpleNamespace(**held.value)
+
         def work(chunk):
-            n_words, n_hit, found, first = judge(chunk.column(chunk.schema.get_field_index(text)), held.value)
+            n_words, n_hit, found, first = judge(chunk.column(chunk.schema.get_field_index(text)), items)
             if further:
                 earlier = chunk.column(chunk.schema.get_field_index("earlier"))
                 n_hit, found, first = joined(n_words, [(found, first), (earlier.flatten(), _first(earlier))])
