@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coincide.llm.stage import bounded_sample
-from coincide.llm.text import plain, with_columns
+from coincide.llm.text import with_columns
 
 UNKNOWN = "und"
 SHORT = 2000
