@@ -76,7 +76,9 @@ def notes(spark: SparkSession, rows: DataFrame, files: DataFrame, params: Analys
     offset = f"camera clock offset of {params.camera_clock_offset_s:+.3f} s applied"
     camera = F.col("parser").isin("camera_csv", "camera_clips") if params.camera_clock_offset_s else F.lit(False)
     year = f"year {params.log_year or 'of today'} assumed where the log has none"
-    edge = dst_edge(F.unix_micros(F.col("ts_local").cast("timestamp")), params.timezone)
+    edge = F.lit(None).cast("string")
+    if "ts_local" in rows.columns:  # readers registered by users may give instants only
+        edge = dst_edge(F.unix_micros(F.col("ts_local").cast("timestamp")), params.timezone)
     reasons = F.array_compact(
         F.array(
             F.when(F.col("parser") == "camera_clips", by_clip),
