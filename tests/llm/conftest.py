@@ -1,12 +1,9 @@
 import random
 
 import pytest
+from plainly import SCHEMA
 
 LONG = " ".join(random.Random(5).choice(["alpha", "beta", "gamma", "delta", "of", "the", "it"]) + random.Random(i).choice("xyz") for i in range(30_000))
-SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, score double, predicted string, ids string, "
-          "matches int, n_words string, hits int, class string, part string, k string, accepted string, _label string, `odd name` int")
-
-
 def odd_rows():
     texts = [None, "", "   \n\t ", "a", "A", "é", "12 34", "one two three four five six", "one two three four five six",
              "One two\tthree  four five SIX", LONG, LONG, "x" * 70_000, "\u2581 <0x0A> \U0001f600 日本", "one two three four five seven",

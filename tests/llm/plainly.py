@@ -5,6 +5,10 @@ import math
 import re
 import string
 
+#: Columns of the odd rows; all but two clash with names that operators use.
+SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, score double, predicted string, ids string, "
+          "matches int, n_words string, hits int, class string, part string, k string, accepted string, _label string, `odd name` int")
+
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -1,7 +1,7 @@
 """Null, empty, long and repeated rows, null keys, clashing columns and empty tables, for each operator."""
 
 import pytest
-from conftest import SCHEMA
+from plainly import SCHEMA
 from pyspark.sql import functions as F
 
 from coincide.llm import contamination, jaccard, katz, language, parsing, pieces, quality, tokens, toxicity, urls

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from brute import components, words
+from plainly import components, words
 from test_results import brute_hits
 
 from coincide.llm import pieces

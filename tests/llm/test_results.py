@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import PLAIN, components, edits, katz, words
+from plainly import PLAIN, components, edits, katz, words
 
 from coincide.llm import contamination, jaccard, parsing, pieces, tokens, toxicity, urls
 from coincide.llm.queries import QUERIES, URL_RULES

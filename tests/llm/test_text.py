@@ -1,6 +1,6 @@
 import numpy as np
 import pyarrow as pa
-from brute import LOWER, PLAIN, SPACED
+from plainly import LOWER, PLAIN, SPACED
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
