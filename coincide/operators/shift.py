@@ -22,7 +22,7 @@ from coincide.operators.association import each_width
 from coincide.operators.ordered import CHUNK, Ordered, Running
 
 # Limits: anchors per block, trials per row of work, intervals per slice of the period.
-BLOCK_ANCHORS, SHARE_TRIALS = 1 << 14, 2500
+BLOCK_ANCHORS, SHARE_TRIALS = 1 << 13, 1250
 SLICE_INTERVALS = 1 << 20
 
 
@@ -35,7 +35,8 @@ def lowest_shift(span: Column, w: Column) -> Column:
 def shift_offsets(seed: int, mode: str, trials: int, low: int, span: int) -> np.ndarray:
     width = span - 2 * low
     if mode == "grid":
-        return low + (2 * np.arange(trials, dtype=object) + 1) * width // (2 * trials)
+        exact = np.int64 if width < (1 << 62) // (2 * trials + 1) else object
+        return low + (2 * np.arange(trials, dtype=exact) + 1) * width // (2 * trials)
     return np.rint(low + width * np.random.default_rng(seed).random(trials))
 
 
