@@ -3,7 +3,9 @@
 Each language has zstandard dictionaries of raw content: lower-cased letters of sample texts. A
 text is compressed with the dictionaries of every language, and the language with the smallest
 frames wins. Texts under ``SHORT`` bytes are compressed with several dictionaries of each language
-and the sizes added, as one frame of a short text says little.
+and the sizes added, as one frame of a short text says little. Longer texts than ``BLOCK`` bytes are
+cut into equal blocks, each a frame of its own against the fresh dictionary, and the sizes added: a
+frame gains from its dictionary once, so the margin of one frame would fall with the text's length.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and is not accepted. With
 no training row every text is ``und``. Ties go to the language whose name sorts first, and are not
@@ -22,7 +24,7 @@ from coincide.llm.stage import bounded_sample
 from coincide.llm.text import with_columns
 
 UNKNOWN = "und"
-SHORT = 2000
+SHORT, BLOCK = 2000, 32_000
 LETTER = regex.compile(r"\p{L}")
 #: Everything in ASCII that is no letter becomes a space.
 SPACES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -69,6 +71,12 @@ def compressors(model: dict[str, list[bytes]]) -> dict[str, list]:
     return out
 
 
+def blocks(data: bytes) -> list[bytes]:
+    """The data in as few equal pieces as ``BLOCK`` allows."""
+    n = max(1, -(-len(data) // BLOCK))
+    return [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+
+
 def judge(text: str | None, held: dict[str, list]) -> tuple[str, float, float]:
     """Language, score in 0..1 and margin (how much larger the runner-up is, as a share)."""
     if text is None or not held or not LETTER.search(text):
@@ -77,7 +85,8 @@ def judge(text: str | None, held: dict[str, list]) -> tuple[str, float, float]:
     use = DICTIONARIES if len(data) < SHORT else 1
     while len(data) < 256:  # zstandard leaves very small inputs as they are
         data = data + b" " + data
-    sizes = sorted((sum(len(c.compress(data)) for c in made[:use]) / min(use, len(made)), lang) for lang, made in held.items())
+    cut = blocks(data)
+    sizes = sorted((sum(len(c.compress(b)) for c in made[:use] for b in cut) / min(use, len(made)), lang) for lang, made in held.items())
     best = sizes[0][0]
     share = sum(2.0 ** max(-1000.0, (best - size) / 4) for size, _ in sizes)
     margin = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
