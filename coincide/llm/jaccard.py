@@ -19,6 +19,11 @@ group of its own, and only pairs that survive the sketches become rows to verify
 already connected need no comparison, so a large group of near copies costs rows in proportion to
 its size, and no link between components is lost.
 
+Every link lies within a component. ``every_link`` therefore finds the links that connect nothing new
+by comparing each component with itself: its classes are cut into blocks, every two blocks meet as one
+group with their whole sets, each pair in one group only, and a matrix product counts what they share.
+Only sums leave a group where links are counted by document.
+
 Edge cases: null and empty texts, and texts without words, have no shingles, class or links and form
 a component of their own. Texts of fewer words than a shingle are one shingle as a whole. Repeated
 rows link to each other. A null key never is a component's id unless all its keys are null.
@@ -40,6 +45,8 @@ from coincide.llm.text import SPACED, chunks, grams, lowered, mapped, mix, with_
 SPARE, MEETING, RARITY = 1.2, 50.0, 0.3
 #: Posting lists up to this length give all pairs; longer ones are compared in blocks of BLOCK.
 SHORT, BLOCK = 8, 1024
+#: Most bytes of whole sets in a block of a component (a larger set comes alone), shingles multiplied at once.
+BLOCK_BYTES, SHARED = 16 << 20, 4096
 SKETCH_BITS = 2048
 #: Pairs compared at once in a task.
 PAIRS = 1 << 18
@@ -339,6 +346,21 @@ def wanted(keys: DataFrame, column: Column) -> Column:
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     need = written(pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct(), "wanted")
+    held = _members(docs, key, text, sets, need, size)
+    joined = pairs.join(held.withColumnsRenamed({"class": "a", "members": "ma"}), "a")
+    joined = joined.join(held.withColumnsRenamed({"class": "b", "members": "mb"}), "b")
+
+    def verify(batches):
+        for batch in batches:
+            a, b, ma, mb = (batch.column(k) for k in range(4))
+            good = [_links(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(ma.to_pylist(), mb.to_pylist())]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return mapped(joined.select("a", "b", "ma", "mb"), verify, "a bigint, b bigint")
+
+
+def _members(docs: DataFrame, key: str, text: str, sets: DataFrame, need: DataFrame, size: int) -> DataFrame:
+    """(class, members): the whole sets of the classes in ``need``; ``sets`` has a key of each class."""
     keys = written(sets.join(need, "class").select(F.col(key).alias("k")), "keys")
 
     def make():
@@ -351,17 +373,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, sets: Data
 
     some = docs.select(key, text).where(wanted(keys, F.col(key)))
     held = with_columns(some, text, "class bigint, members binary", make, keep=[])
-    held = written(held.join(need, "class", "left_semi").dropDuplicates(["class"]), "members")
-    joined = pairs.join(held.withColumnsRenamed({"class": "a", "members": "ma"}), "a")
-    joined = joined.join(held.withColumnsRenamed({"class": "b", "members": "mb"}), "b")
-
-    def verify(batches):
-        for batch in batches:
-            a, b, ma, mb = (batch.column(k) for k in range(4))
-            good = [_links(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(ma.to_pylist(), mb.to_pylist())]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return mapped(joined.select("a", "b", "ma", "mb"), verify, "a bigint, b bigint")
+    return written(held.join(need, "class", "left_semi").dropDuplicates(["class"]), "members")
 
 
 def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -371,6 +383,25 @@ def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _cut(batches, by: tuple[str, ...]):
+    """The partition's rows, cut between groups, some megabytes at a time."""
+    rest = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if sum(b.num_rows for b in rest) < 8192 and sum(b.nbytes for b in rest) < BLOCK_BYTES:
+            continue
+        table = pa.Table.from_batches(rest).combine_chunks()
+        keys = [np.asarray(table.column(c)) for c in by]
+        last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        if len(last):
+            yield table.slice(0, int(last[-1]) + 1)
+            rest = table.slice(int(last[-1]) + 1).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def _across(long: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a long list that are in different components and may link.
 
@@ -386,26 +417,8 @@ def _across(long: DataFrame, root: DataFrame, sets: DataFrame, percent: int) ->
     row = row.join(sets.select("class", "n_shingles", "sketch"), "class")
     spread = row.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
 
-    def groups(batches):
-        """The partition's rows, cut between groups, some megabytes at a time."""
-        rest = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rest.append(batch)
-            if sum(b.num_rows for b in rest) < 8192:
-                continue
-            table = pa.Table.from_batches(rest).combine_chunks()
-            keys = [np.asarray(table.column(c)) for c in ("list", "i", "j")]
-            last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
-            if len(last):
-                yield table.slice(0, int(last[-1]) + 1)
-                rest = table.slice(int(last[-1]) + 1).to_batches()
-        if rest:
-            yield pa.Table.from_batches(rest)
-
     def compare(batches):
-        for table in groups(batches):
+        for table in _cut(batches, ("list", "i", "j")):
             col = {c: table.column(c).combine_chunks() for c in table.column_names}
             keys = [np.asarray(col[c]) for c in ("list", "i", "j")]
             own, name, root, n = (np.asarray(col[c]) for c in ("own", "class", "root", "n_shingles"))
@@ -455,11 +468,84 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     return sets.select(key, "n_shingles", "class"), links, root
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets link, as a matrix (none with itself)."""
+    n = np.array([len(x) for x in sets], np.int64)
+    g, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(g)
+    g, owner = g[order], owner[order]
+    new = np.concatenate(([True], g[1:] != g[:-1]))
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1
+    owner, number = owner[shared], np.cumsum(new[shared]) - 1
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for k in range(0, int(number[-1]) + 1 if len(number) else 0, SHARED):
+        a, b = np.searchsorted(number, (k, k + SHARED))
+        has = np.zeros((len(sets), int(number[b - 1]) + 1 - k), np.float32)
+        has[owner[a:b], number[a:b] - k] = 1
+        common += (has @ has.T).astype(np.int64)
+    out = 100 * common >= percent * (n[:, None] + n - common)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def every_link(docs: DataFrame, rows: DataFrame, root: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
+               percent: int = 80, pairs: bool = False) -> DataFrame:
+    """(class, n_links) from the rows and roots of ``join``: how many documents a document of the class
+    links to, exact copies included; or, with ``pairs``, all links (a, b) between classes, each once."""
+    per = written(rows.where("class is not null").groupBy("class").agg(
+        F.min(key).alias(key), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "copies")
+    named = written(per.join(root.withColumnRenamed("node", "class"), "class").select("root", "class", "n", "copies"), "named")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+    row = named.join(named.groupBy("root").agg(blocks.cast("int").alias("blocks")), "root")
+    row = row.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    row = row.join(_members(docs, key, text, per, named.select("class"), size), "class")
+    row = row.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = row.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "copies", "members")
+    spread = row.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def compare(batches):
+        for table in _cut(batches, ("root", "i", "j")):
+            col = {c: table.column(c).combine_chunks() for c in table.column_names}
+            keys = [np.asarray(col[c]) for c in ("root", "i", "j")]
+            own, name, copies = (np.asarray(col[c]) for c in ("own", "class", "copies"))
+            head = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))))
+            total = np.zeros(len(name), np.int64)
+            for a, b in zip(head, np.append(head[1:], len(name))):
+                if b - a < 2:
+                    continue
+                link = _linked([np.frombuffer(x.as_buffer(), _U) for x in col["members"][a:b]], percent)
+                if keys[1][a] != keys[2][a]:
+                    link &= own[a:b, None] != own[a:b]
+                if pairs:
+                    x, y = np.nonzero(link & (name[a:b, None] < name[a:b]))
+                    for k in range(0, len(x), PAIRS):
+                        yield pa.RecordBatch.from_arrays([pa.array(name[a + z[k : k + PAIRS]]) for z in (x, y)], names=["a", "b"])
+                else:
+                    total[a:b] = link @ copies[a:b]
+            if not pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(total)], names=["class", "met"])
+
+    if pairs:
+        return mapped(spread, compare, "a bigint, b bigint")
+    found = mapped(spread, compare, "class bigint, met bigint").groupBy("class").agg(F.sum("met").alias("met"))
+    return per.join(found, "class", "left").select("class", (F.coalesce("met", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``groups``, and ``n_links``: how many other documents each document links to."""
+    return groups(docs, key, text, size, percent, count=True)
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, count: bool = False) -> DataFrame:
     """One row per document: key, ``n_shingles`` and ``component_id``, the least key reachable."""
     rows, _, root = join(docs, key, text, size, percent)
     least = rows.where("class is not null").groupBy("class").agg(F.min(key).alias("least"))
     named = least.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(whole, "root").select("class", "component_id")
-    return rows.join(by_class, "class", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    found = [key, "n_shingles", F.coalesce("component_id", key).alias("component_id")]
+    if count:
+        by_class = by_class.join(every_link(docs, rows, root, key, text, size, percent), "class")
+        found.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(by_class, "class", "left").select(*found)

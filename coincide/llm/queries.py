@@ -72,6 +72,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir).select("doc_id", "text"))
 
 
+@query
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir).select("doc_id", "text"))
+
+
 #: Fixed by the query: hosts and beginnings of paths, and what they say.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
