@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coincide.llm import contamination, jaccard, katz, language, parsing, pieces, quality, tokens, toxicity, urls
+from coincide.llm import contamination, jaccard, katz, language, merkle, parsing, pieces, quality, sql_merkle, tokens, toxicity, urls
 from coincide.llm.sql import SQL
 from coincide.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = dict(SQL)
+ORACLE: dict[str, str] = SQL | {"op12_merkle": sql_merkle.SQL}
 
 
 def query(fn: Query) -> Query:
@@ -95,3 +96,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_part("doc_id", 7) == 2
     return katz.score(table(spark, sf_dir).select("doc_id", "text"), ~held, held)
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir).select(*merkle.FIELDS)
+    return merkle.manifest(docs, lambda key: F.crc32(key.cast("string")) % 5 == 0)
