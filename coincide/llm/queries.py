@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coincide.llm import contamination, jaccard, katz, language, merkle, parsing, pieces, quality, sql_merkle, substrings, tokens, toxicity, urls
+from coincide.llm import contamination, jaccard, katz, language, merkle, parsing, phrases, pieces, quality, sql_merkle, substrings, tokens, toxicity, urls
 from coincide.llm.sql import SQL
 from coincide.llm.text import crc_part
 
@@ -108,3 +108,8 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir).select("text", "lang"))

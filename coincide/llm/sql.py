@@ -47,3 +47,24 @@ v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM v ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
+
+SQL["op13_phrases"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+e AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM p WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS q FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM e WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, q, count(*) AS f FROM g GROUP BY lang, k, q),
+t AS MATERIALIZED (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, q, k, f AS a, string_split(q, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+y AS MATERIALIZED (SELECT lang, q, a, j, array_to_string(w[1 : j], ' ') AS ql, array_to_string(w[j + 1 : k], ' ') AS qr
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+x AS (SELECT y.lang, y.q, y.a, y.j, l.f AS l, r.f AS r, n, (1000::HUGEINT * y.a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM y JOIN t ON t.lang = y.lang JOIN f l ON l.lang = y.lang AND l.q = y.ql JOIN f r ON r.lang = y.lang AND r.q = y.qr),
+s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, q ORDER BY score, j) = 1),
+b AS (SELECT lang, w, a, k, unnest(range(2, k)) AS m FROM c WHERE k > 2),
+u AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS q, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM b) GROUP BY 1, 2),
+o AS (SELECT s.lang, s.q AS phrase, a, l, r, n, score FROM s LEFT JOIN u ON u.lang = s.lang AND u.q = s.q
+  WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o QUALIFY rank <= 2000"""

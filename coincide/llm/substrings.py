@@ -13,8 +13,8 @@ that its windows need: up to ``window`` after its start, and the few before it.
    to be alone). In the same pass every 64th anchor counts its prefixes of several lengths.
 2. The group of a suffix is its shortest prefix (of 1, 2, 4 or ``SEED`` words) that leads to at most
    ``GROUP`` suffixes by that count. Where even the seed leads to more, the suffix is split into its
-   windows, whose prefix is the whole window. Only prefixes that are too frequent are broadcast, at most
-   4 / ``GROUP`` of all anchors. Within a chunk of documents, equal suffixes are sent once: all but
+   windows, whose prefix is the whole window. Only the prefixes that are too frequent are broadcast, and of
+   these the ``MOST`` most frequent; any other leads to at most 4 / ``MOST`` of all suffixes. Within a chunk of documents, equal suffixes are sent once: all but
    the first of them are known to repeat.
 3. Groups are dealt by prefix and packed into batches of about ``GROUP`` rows. A batch's suffixes are sorted,
    neighbours' common prefixes are the depths of the tree's internal nodes, and so are those of the words
@@ -44,7 +44,7 @@ from coincide.llm.text import SPACED, as_bytes, chunks, grams, hashes, mapped, m
 
 SEED = 8
 PREFIXES = (1, 2, 4, SEED)
-GROUP = 1 << 16
+GROUP, MOST = 1 << 14, 1 << 20
 SAMPLE = 64
 BITS = 1 << 26
 WHOLE = 255
@@ -138,8 +138,8 @@ def _bitmap(seeds: DataFrame) -> np.ndarray:
 
 
 def _frequent(counted: DataFrame) -> list[np.ndarray]:
-    """Prefixes of each length that lead to more than ``GROUP`` suffixes, sorted."""
-    found = counted.where("kind > 0").select("kind", "code").toArrow()
+    """Prefixes of each length that lead to more than ``GROUP`` suffixes, sorted; ``MOST`` of them at most."""
+    found = counted.where("kind > 0").orderBy(F.desc("n"), "code").limit(MOST).select("kind", "code").toArrow()
     kind, code = np.asarray(found.column(0)), np.asarray(found.column(1)).view(_U)
     return [np.sort(code[kind == size]) for size in PREFIXES]
 
