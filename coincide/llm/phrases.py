@@ -4,11 +4,12 @@ Texts are cut into pieces and words, per language. Nodes are runs of four words,
 ``LONGEST`` = 5 words that leads from its first four to its last four; its weight is how often it occurs.
 Where a piece ends (or can't go on, see below), the shorter run that is left there is an *end*.
 
-1. Words are counted, then pairs of frequent words. A phrase that is frequent enough has only frequent pairs,
-   and so do all parts of it; pieces may therefore be cut at rare pairs without changing any count that
-   matters. Which pairs are frequent is told by bitmaps of fixed size (false hits only keep more).
+1. Words are counted, then pairs of frequent words, then triples of frequent pairs. A phrase that is frequent
+   enough has only frequent pairs and triples, and so do all parts of it; runs may therefore be cut at rare
+   ones without changing any count that matters. Which are frequent is told by bitmaps of fixed size (false
+   hits only keep more).
 2. Every place gives the run of up to five words that begins there: an edge, or an end. Each task adds up equal
-   runs of a chunk of texts before they are shuffled by the whole run, so a hot word or pair can't gather.
+   runs before they are shuffled by the whole run, so a hot word or pair can't gather.
 3. A shorter run's count is the flow out of its node: the weights of all runs one word longer that begin with
    it, plus the ends that are just this run. Four, three and two words follow one from another.
 4. Edges that are frequent enough, joined at nodes with one such edge in and one out, are compacted to unary
@@ -37,7 +38,7 @@ from coincide.llm.text import LOWER, as_bytes, chunks, hashes, mapped, mix, word
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BITS = 1 << 26
-CHUNK, PIECE = 6 << 20, 1024
+CHUNK, HELD, PIECE = 4 << 20, 1 << 20, 1024
 _U = np.uint64
 _K = _U(0x9E3779B97F4A7C15)
 #: Fixed by the definition: what ends a piece, and what stands between its words.
@@ -48,7 +49,6 @@ INSIDE = ~ENDS
 INSIDE[[0x20, 0x09]] = False
 
 W = [f"w{k}" for k in range(1, LONGEST + 1)]
-RUN = "lc bigint, " + ", ".join(f"{w} bigint" for w in W) + ", size tinyint, n bigint"
 
 
 class Words:
@@ -60,11 +60,11 @@ class Words:
         self.starts, self.ends, first = words(self.buf, off, INSIDE)
         self.h = hashes(self.buf, self.starts, self.ends)
         self.h[self.h == 0] = 1  # 0 stands for no word
-        self.code = np.repeat(np.asarray(chunk.column(chunk.schema.get_field_index("lc"))).view(_U), np.diff(first))
+        self.text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        self.code = np.asarray(chunk.column(chunk.schema.get_field_index("lc"))).view(_U)[self.text]
         piece = np.cumsum(ENDS[self.buf])[self.starts] if len(self.starts) else self.starts
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         self.goes_on = np.zeros(len(self.h), bool)
-        self.goes_on[:-1] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
+        self.goes_on[:-1] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
 
     def spelled(self, some: np.ndarray) -> pa.Array:
         size = self.ends[some] - self.starts[some]
@@ -72,12 +72,12 @@ class Words:
         pick = np.repeat(self.starts[some] - off[:-1], size) + np.arange(off[-1])
         return pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(self.buf[pick])])
 
-    def one(self) -> np.ndarray:
-        return mix(self.h ^ (self.code * _K))
-
-    def pairs(self) -> np.ndarray:
-        """A code of each word and the next one."""
-        return mix(mix(self.h[:-1] * _K + _U(1)) + self.h[1:] ^ self.code[:-1])
+    def named(self, size: int) -> np.ndarray:
+        """A code of the ``size`` words from each word on (what follows the last words is never asked for)."""
+        out, h = mix(self.h ^ (self.code * _K)), np.concatenate((self.h, np.zeros(size, _U)))
+        for k in range(1, size):
+            out = mix(out * _K + h[k : k + len(out)])
+        return out
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -98,90 +98,99 @@ def _bitmap(codes: DataFrame):
     return codes.sparkSession.sparkContext.broadcast(bits)
 
 
-def _batch(schema: str, *arrays) -> pa.RecordBatch:
-    names = [part.split()[0] for part in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=names)
+def _added(rows: list[tuple]) -> tuple:
+    """Rows (code, n, other columns) as one row for each code, its numbers added up."""
+    code, n, *others = ([r[k] for r in rows] for k in range(len(rows[0])))
+    code = np.concatenate(code)
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+    pick = order[first]
+    whole = [pa.concat_arrays(c).take(pa.array(pick)) if isinstance(c[0], pa.Array) else np.concatenate(c)[pick] for c in others]
+    return code[pick], np.add.reduceat(np.concatenate(n)[order], first), *whole
+
+
+def _tallied(docs: DataFrame, schema: str, tally) -> DataFrame:
+    """What ``tally`` finds in chunks of texts, (code, n, other columns), added up as far as a task can hold."""
+
+    def run(batches):
+        held, size = [], 0
+        for chunk in chunks(batches, "text", CHUNK):
+            found = tally(Words(chunk), chunk)
+            if not len(found[0]):
+                continue
+            held.append(_added([found]))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_added(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield out(held[0])
+                    held, size = [], 0
+        if held:
+            yield out(_added(held))
+
+    def out(rows):
+        code, n, *others = rows
+        names = [part.split()[0] for part in schema.split(", ")]
+        columns = [_signed(code), n, *[_signed(x) if isinstance(x, np.ndarray) and x.dtype == _U else x for x in others]]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
+
+    return mapped(docs, run, schema)
 
 
 def _frequent_words(docs: DataFrame, least: int) -> DataFrame:
     """(lang, lc, word, h, code, n): the frequent words, and a row without word that counts all."""
 
-    def count(batches):
-        for chunk in chunks(batches, "text", CHUNK):
-            w = Words(chunk)
-            lang = chunk.column(chunk.schema.get_field_index("lang"))
-            _, at, n = np.unique(w.one(), return_index=True, return_counts=True)
-            text = np.searchsorted(np.cumsum(np.bincount(_texts(chunk, w), minlength=len(lang))), at, "right")
-            yield _batch("lang string, word string, n bigint", lang.take(pa.array(text)), w.spelled(at), n.astype(np.int64))
-
-    def hashed(batches):
-        for batch in batches:
-            lang, lc, word, n = batch.columns
-            filled = word.fill_null("")
-            buf, off = as_bytes(filled)
-            h = hashes(buf, off[:-1], off[1:])
-            h[h == 0] = 1
-            code = mix(h ^ (np.asarray(lc).view(_U) * _K))
-            yield _batch(schema, lang, lc, word, _signed(h), _signed(code), n)
-
-    counted = mapped(docs, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    def tally(w, chunk):
+        lang = chunk.column(chunk.schema.get_field_index("lang"))
+        code, at, n = np.unique(w.named(1), return_index=True, return_counts=True)
+        return code, n, w.h[at], lang.take(pa.array(w.text[at])), w.spelled(at)
+
+    counted = _tallied(docs, "code bigint, n bigint, h bigint, lang string, word string", tally)
+    counted = counted.groupBy("lang", "word", "h", "code").agg(F.sum("n").alias("n"))
     # The totals of the languages come from the same counts.
     both = counted.withColumn("one", F.explode(F.array(F.lit(True), F.lit(False))))
-    total = both.groupBy("lang", F.when(F.col("one"), F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
-    schema = "lang string, lc bigint, word string, h bigint, code bigint, n bigint"
-    kept = total.where(f"word is null or n >= {least}").select("lang", F.xxhash64("lang").alias("lc"), "word", "n")
-    return written(mapped(kept, hashed, schema), "words")
+    own = [F.when(F.col("one"), F.col(c)).alias(c) for c in ("word", "h", "code")]
+    total = both.groupBy("lang", *own).agg(F.sum("n").alias("n"))
+    return written(total.where(f"word is null or n >= {least}").withColumn("lc", F.xxhash64("lang")), "words")
 
 
-def _texts(chunk: pa.RecordBatch, w: Words) -> np.ndarray:
-    """The text that each word belongs to."""
-    off = as_bytes(chunk.column(chunk.schema.get_field_index("text")))[1]
-    return np.searchsorted(off, w.starts, "right") - 1
+def _frequent(docs: DataFrame, size: int, shorter, least: int) -> DataFrame:
+    """(code): runs of ``size`` words that occur ``least`` times; ``shorter``: which runs of one word less may."""
 
+    def tally(w, chunk):
+        good = _has(shorter.value, w.named(size - 1))
+        for k in range(size - 1):
+            good[: len(good) - k] &= w.goes_on[k:]
+            good[len(good) - k :] = False
+        good[:-1] &= _has(shorter.value, w.named(size - 1))[1:]
+        code = w.named(size)[good]
+        return code, np.ones(len(code), np.int64)
 
-def _frequent_pairs(docs: DataFrame, single, least: int) -> DataFrame:
-    """(code): pairs of neighbouring words that occur ``least`` times."""
-
-    def count(batches):
-        for chunk in chunks(batches, "text", CHUNK):
-            w = Words(chunk)
-            if len(w.h) < 2:
-                continue
-            good = _has(single.value, w.one())
-            code, n = np.unique(w.pairs()[w.goes_on[:-1] & good[:-1] & good[1:]], return_counts=True)
-            yield _batch("code bigint, n bigint", _signed(code), n.astype(np.int64))
-
-    counted = mapped(docs, count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    return written(counted.where(f"n >= {least}").select("code"), "pairs")
+    counted = _tallied(docs, "code bigint, n bigint", tally).groupBy("code").agg(F.sum("n").alias("n"))
+    return written(counted.where(f"n >= {least}").select("code"), "frequent")
 
 
-def runs(docs: DataFrame, double) -> DataFrame:
+def runs(docs: DataFrame, double, triple) -> DataFrame:
     """(lc, w1..w5, size, n): edges (five words) and ends (fewer), counted."""
 
-    def collect(batches):
-        for chunk in chunks(batches, "text", CHUNK):
-            w = Words(chunk)
-            if len(w.h) < 2:
-                continue
-            on = w.goes_on.copy()
-            on[:-1] &= _has(double.value, w.pairs())
-            size = np.ones(len(on), np.int8)  # words of the run that begins here
-            for k in range(1, LONGEST):
-                further = np.zeros(len(on), bool)
-                further[: len(on) - k + 1] = on[k - 1 :]
-                size += (size == k) & further
-            at = np.flatnonzero(size > 1)
-            if not len(at):
-                continue
-            h = np.concatenate((w.h, np.zeros(LONGEST, _U)))
-            columns = [np.where(k < size[at], h[at + k], _U(0)) for k in range(LONGEST)]
-            name = w.code[at]
-            for c in columns:
-                name = mix(name * _K + c)
-            _, one, n = np.unique(name, return_index=True, return_counts=True)
-            yield _batch(RUN, _signed(w.code[at][one]), *[_signed(c[one]) for c in columns], size[at][one], n.astype(np.int64))
-
-    return mapped(docs, collect, RUN).groupBy("lc", *W, "size").agg(F.sum("n").alias("n"))
+    def tally(w, chunk):
+        h = np.concatenate((w.h, np.zeros(LONGEST, _U)))
+        size = np.ones(len(w.h), np.int8)  # words of the run that begins here
+        two = w.goes_on & _has(double.value, w.named(2))
+        three = _has(triple.value, w.named(3)) & two & np.append(w.goes_on[1:], False)
+        for k in range(1, LONGEST):
+            further = two if k == 1 else np.concatenate((three[k - 2 :], np.zeros(min(k - 2, len(three)), bool)))
+            size += (size == k) & further[: len(size)]
+        at = np.flatnonzero(size > 1)
+        columns = [np.where(k < size[at], h[at + k], _U(0)) for k in range(LONGEST)]
+        code = w.code[at]
+        for c in columns:
+            code = mix(code * _K + c)
+        return code, np.ones(len(at), np.int64), w.code[at], *columns, size[at]
+
+    found = _tallied(docs, "code bigint, n bigint, lc bigint, " + ", ".join(f"{w} bigint" for w in W) + ", size tinyint", tally)
+    return found.groupBy("lc", *W, "size").agg(F.sum("n").alias("n"))
 
 
 def flows(found: DataFrame) -> list[DataFrame]:
@@ -266,8 +275,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     docs = docs.select(F.col(f"`{text}`").alias("text"), name.alias("lang"), F.xxhash64(name).alias("lc"))
     held = _frequent_words(docs, least)
     single, totals = held.where("word is not null"), held.where("word is null").select("lc", "n")
-    double = _bitmap(_frequent_pairs(docs.select("text", "lc"), _bitmap(single.select("code")), least))
-    found = phrases(runs(docs.select("text", "lc"), double), least)
+    docs = docs.select("text", "lc")
+    double = _bitmap(_frequent(docs, 2, _bitmap(single.select("code")), least))
+    triple = _bitmap(_frequent(docs, 3, double, least))
+    found = phrases(written(runs(docs, double, triple), "runs"), least)
     known = found.unionAll(single.select("lc", F.array("h").alias("words"), F.col("n").alias("a")))
     ranked = scored(whole(found), known, totals)
     best = Window.partitionBy("lc").orderBy(F.desc("score"), F.desc("a"))

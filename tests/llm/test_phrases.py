@@ -49,8 +49,10 @@ def corpus(seed=2):
     return rows + [(None, "en"), ("", "de"), ("lone", "xx"), (" ".join(["z"] * 5000), "en"), ("k" * 70_000 + " v", "en")]
 
 
-@pytest.mark.parametrize("least, top, parts", [(2, 2000, 1), (5, 40, 6), (1, 10, 3)])
-def test_plain_version(spark, least, top, parts):
+@pytest.mark.parametrize("least, top, parts, held", [(2, 2000, 1, 1 << 20), (5, 40, 6, 50), (1, 10, 3, 2)])
+def test_plain_version(spark, monkeypatch, least, top, parts, held):
+    monkeypatch.setattr(phrases, "HELD", held)
+    monkeypatch.setattr(phrases, "CHUNK", 1 << 12)
     rows = corpus()
     df = spark.createDataFrame(rows, "text string, lang string").repartition(parts)
     assert got(phrases.collocations(df, least=least, top=top)) == plainly(rows, least, top)
@@ -102,7 +104,7 @@ def test_flows(spark):
     """Shorter counts follow from edges and ends alone."""
     runs = [([1, 2, 3, 4, 5], 7), ([1, 2, 3, 4, 6], 2), ([1, 2, 3, 4, 0], 1), ([1, 2, 0, 0, 0], 4)]
     rows = [(1, *r, sum(w > 0 for w in r), n) for r, n in runs]
-    found = spark.createDataFrame(rows, phrases.RUN)
+    found = spark.createDataFrame(rows, "lc bigint, w1 bigint, w2 bigint, w3 bigint, w4 bigint, w5 bigint, size int, n bigint")
     five, four, three, two = [sorted(tuple(r)[1:] for r in f.collect()) for f in phrases.flows(found)]
     assert five == [(1, 2, 3, 4, 5, 7), (1, 2, 3, 4, 6, 2)] and four == [(1, 2, 3, 4, 10)]
     assert three == [(1, 2, 3, 10)] and two == [(1, 2, 14)]
