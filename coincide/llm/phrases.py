@@ -4,10 +4,9 @@ Texts are cut into pieces and words, per language. Nodes are runs of four words,
 ``LONGEST`` = 5 words that leads from its first four to its last four; its weight is how often it occurs.
 Where a piece ends (or can't go on, see below), the shorter run that is left there is an *end*.
 
-1. Words are counted, then pairs of frequent words, then triples of frequent pairs. A phrase that is frequent
-   enough has only frequent pairs and triples, and so do all parts of it; runs may therefore be cut at rare
-   ones without changing any count that matters. Which are frequent is told by bitmaps of fixed size (false
-   hits only keep more).
+1. Words are counted, then pairs of frequent words. A phrase that is frequent enough has only frequent pairs,
+   and so do all parts of it; runs may therefore be cut at rare pairs without changing any count that
+   matters. Which are frequent is told by bitmaps of fixed size (false hits only keep more).
 2. Every place gives the run of up to five words that begins there: an edge, or an end. Each task adds up equal
    runs before they are shuffled by the whole run, so a hot word or pair can't gather.
 3. A shorter run's count is the flow out of its node: the weights of all runs one word longer that begin with
@@ -155,33 +154,27 @@ def _frequent_words(docs: DataFrame, least: int) -> DataFrame:
     return written(total.where(f"word is null or n >= {least}").withColumn("lc", F.xxhash64("lang")), "words")
 
 
-def _frequent(docs: DataFrame, size: int, shorter, least: int) -> DataFrame:
-    """(code): runs of ``size`` words that occur ``least`` times; ``shorter``: which runs of one word less may."""
+def _frequent_pairs(docs: DataFrame, single, least: int) -> DataFrame:
+    """(code): pairs of neighbouring words that occur ``least`` times; ``single``: which words may."""
 
     def tally(w, chunk):
-        good = _has(shorter.value, w.named(size - 1))
-        for k in range(size - 1):
-            good[: len(good) - k] &= w.goes_on[k:]
-            good[len(good) - k :] = False
-        good[:-1] &= _has(shorter.value, w.named(size - 1))[1:]
-        code = w.named(size)[good]
+        good = _has(single.value, w.named(1))
+        code = w.named(2)[w.goes_on & good & np.append(good[1:], False)]
         return code, np.ones(len(code), np.int64)
 
     counted = _tallied(docs, "code bigint, n bigint", tally).groupBy("code").agg(F.sum("n").alias("n"))
-    return written(counted.where(f"n >= {least}").select("code"), "frequent")
+    return written(counted.where(f"n >= {least}").select("code"), "pairs")
 
 
-def runs(docs: DataFrame, double, triple) -> DataFrame:
+def runs(docs: DataFrame, double) -> DataFrame:
     """(lc, w1..w5, size, n): edges (five words) and ends (fewer), counted."""
 
     def tally(w, chunk):
         h = np.concatenate((w.h, np.zeros(LONGEST, _U)))
         size = np.ones(len(w.h), np.int8)  # words of the run that begins here
-        two = w.goes_on & _has(double.value, w.named(2))
-        three = _has(triple.value, w.named(3)) & two & np.append(w.goes_on[1:], False)
+        on = np.concatenate((w.goes_on & _has(double.value, w.named(2)), np.zeros(LONGEST, bool)))
         for k in range(1, LONGEST):
-            further = two if k == 1 else np.concatenate((three[k - 2 :], np.zeros(min(k - 2, len(three)), bool)))
-            size += (size == k) & further[: len(size)]
+            size += (size == k) & on[k - 1 : k - 1 + len(size)]
         at = np.flatnonzero(size > 1)
         columns = [np.where(k < size[at], h[at + k], _U(0)) for k in range(LONGEST)]
         code = w.code[at]
@@ -276,9 +269,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     held = _frequent_words(docs, least)
     single, totals = held.where("word is not null"), held.where("word is null").select("lc", "n")
     docs = docs.select("text", "lc")
-    double = _bitmap(_frequent(docs, 2, _bitmap(single.select("code")), least))
-    triple = _bitmap(_frequent(docs, 3, double, least))
-    found = phrases(written(runs(docs, double, triple), "runs"), least)
+    double = _bitmap(_frequent_pairs(docs, _bitmap(single.select("code")), least))
+    found = phrases(written(runs(docs, double), "runs"), least)
     known = found.unionAll(single.select("lc", F.array("h").alias("words"), F.col("n").alias("a")))
     ranked = scored(whole(found), known, totals)
     best = Window.partitionBy("lc").orderBy(F.desc("score"), F.desc("a"))
