@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Topics that mean motion, and spellings of an active state.
@@ -55,7 +56,8 @@ def debounce_stream(events: DataFrame, min_gap_us: int) -> DataFrame:
     """STR02: per camera, drop an event less than ``min_gap_us`` after the last kept one.
 
     An event older than the last kept one is kept, since it cannot be an echo of it. The state is
-    one number per camera. Within a batch events are taken in order of time.
+    one number per camera. Events are taken as they arrive, those of one Arrow batch in order of time;
+    ``debounce_ordered`` puts all of them in order.
     """
 
     def keep(
@@ -83,6 +85,84 @@ def debounce_stream(events: DataFrame, min_gap_us: int) -> DataFrame:
     )
 
 
+class OrderedDebounce(StatefulProcessor):
+    """Holds a camera's events until the watermark has passed them, then takes them in order of time.
+
+    Waiting events are kept in slots of ``slot_us`` by their time, so that a timer reads no more than the
+    slots that have become due, one after another.
+    """
+
+    def __init__(self, min_gap_us: int, slot_us: int) -> None:
+        self.min_gap_us, self.slot_us = min_gap_us, slot_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_us bigint")
+        self.waiting = handle.getMapState("waiting", "slot bigint", "ts_us array<bigint>, seq array<bigint>, notes array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        over = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000 // self.slot_us  # slots before it are over
+        for part in rows:
+            part = part[part["ts_us"] // self.slot_us >= over]
+            for slot, some in part.groupby(part["ts_us"] // self.slot_us):
+                fresh = [some[c].tolist() for c in ("ts_us", "seq", "notes")]
+                held = self.waiting.getValue((int(slot),)) if self.waiting.containsKey((int(slot),)) else ([], [], [])
+                self.waiting.updateValue((int(slot),), tuple([*h, *f] for h, f in zip(held, fresh)))
+                self.handle.registerTimer(self._due(int(slot)))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slot = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slot_us - 1
+        held = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else None
+        if held is not None:
+            self.waiting.removeKey((slot,))
+            part = pd.DataFrame(dict(zip(("ts_us", "seq", "notes"), held))).sort_values(["ts_us", "seq"], kind="stable")
+            last = self.last.get()[0] if self.last.exists() else None
+            kept = []
+            for ts in part["ts_us"]:
+                fresh = last is None or not 0 <= ts - last < self.min_gap_us
+                last = int(ts) if fresh else last
+                kept.append(fresh)
+            self.last.update((last,))
+            yield part.loc[kept].assign(camera=key[0])[["camera", "ts_us", "seq", "notes"]]
+
+    def _due(self, slot: int) -> int:
+        """When a slot is over, in milliseconds."""
+        return (slot + 1) * self.slot_us // 1000
+
+    def close(self) -> None:
+        pass
+
+
+def debounce_ordered(events: DataFrame, min_gap_us: int, delay_us: int, slot_us: int = 60_000_000) -> DataFrame:
+    """STR02 in order of time, whatever the order of arrival: the same rows as one sorted pass.
+
+    Events wait in slots of ``slot_us`` (whole milliseconds) until the watermark, the latest event time less
+    ``delay_us``, has passed the slot; event-time timers then take the slots in order. The state is one number
+    and the waiting slots of a camera. Events in a slot that an earlier trigger's watermark has passed are late
+    and left out; times before 1970 are late in any stream with a watermark. Run it under ``rocksdb_state``.
+    """
+    if slot_us % 1000:
+        raise ValueError("slots are whole milliseconds")
+    timed = events.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", f"{delay_us} microseconds")
+    return timed.groupBy("camera").transformWithStateInPandas(
+        OrderedDebounce(min_gap_us, slot_us), OUTPUT, "append", "EventTime"
+    )
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB, which operators with timers need; the session's own
+    setting holds again afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def write_events(
     events: DataFrame, path: str, checkpoint: str, fmt: str = "csv", **trigger
 ) -> StreamingQuery:

@@ -1,5 +1,13 @@
+import random
+
+import pytest
+from coincide.operators.dedupe import debounce
+from coincide.operators.floods import flood_frames, floods
+from coincide.operators.incidents import incidents
+from coincide.schema import categorize, conform
 from coincide.session import shared_dir
-from coincide.streaming.motion import debounce_stream, is_motion, motion_events, write_events
+from coincide.streaming.incidents import flood_alerts, incident_stream
+from coincide.streaming.motion import OUTPUT, debounce_ordered, debounce_stream, is_motion, motion_events, rocksdb_state, write_events
 from pyspark.sql import functions as F
 
 SCHEMA = "camera string, ts_us bigint, seq bigint, topic string, state string, source string"
@@ -33,3 +41,99 @@ def test_motion_stream(spark, tmp_path):
     got = sorted((r.camera, r.ts_us // S) for r in spark.read.parquet(out).collect())
     assert got == [("back", 1), ("back", 6), ("front", 0), ("front", 3), ("front", 5), ("front", 10)]
     assert shared_dir(spark)
+
+
+COLUMNS = "case_id string, ts_us bigint, seq bigint, kind string, src_mac string"
+
+
+def events(spark, rows):
+    """Canonical events from (case, seconds, kind, source)."""
+    some = [(c, round(t * S), i, k, m) for i, (c, t, k, m) in enumerate(rows)]
+    df = spark.createDataFrame(some, COLUMNS)
+    return conform(df.withColumn("category", categorize(F.col("kind"))))
+
+
+def streamed(spark, folder, batches, live):
+    """What ``live`` appends when the batches come in one after another, and the progress reports."""
+    for i, batch in enumerate(batches):
+        batch.coalesce(1).write.json(f"{folder}/in/{i}")
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in/*")
+    made = live(stream)
+    query = write_events(made, f"{folder}/out", f"{folder}/checkpoint", "parquet")
+    query.awaitTermination(200)
+    return spark.read.schema(made.schema).parquet(f"{folder}/out"), query.recentProgress
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def test_incident_stream(spark, tmp_path):
+    gap = 60
+    first = [("a", 0, "deauth", "x"), ("a", 60, "link_reset", "y"), ("a", 120.000001, "disassoc", "x"), ("b", 5, "deauth", "z"), ("b", 5, "deauth", "z")]
+    second = [("a", 170, "deauth", "y"), ("b", 400, "alert", None), ("a", 500, "camera", None), ("b", 90, "deauth", "w")]
+    late = [("a", 20, "deauth", "late"), ("a", 1000, "deauth", "x")]  # the watermark of the batches before is 390 s
+    last = [("b", 3000, "deauth", "q"), ("b", 3060, "deauth", "q")]
+    batches = [events(spark, b) for b in (first, second, late, last)]
+    found, progress = streamed(spark, tmp_path, batches, lambda e: incident_stream(e, gap * S, 10 * S))
+    on_time = events(spark, first + second + late[1:] + last[:1])  # the last incident is still open
+    columns = ["case_id", "start_us", "end_us", "n_events", "kinds", "src_macs", "has_deauth"]
+    want = [r for r in rows_of(incidents(on_time, gap * S), *columns) if r[1] < 3000 * S]
+    assert rows_of(found, *columns) == want and len(want) == 6
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress) == 1
+
+
+def test_flood_alerts(spark, tmp_path):
+    draw = random.Random(4)
+    rows = sorted((draw.choice("ab"), round(draw.choice([500, 2000, 5000]) + draw.random() * 400, 3), "deauth", "x") for _ in range(150))
+    rows = sorted(rows, key=lambda r: r[1]) + [("a", 90_000, "deauth", "end")]
+    batches = [events(spark, rows[i : i + 40]) for i in range(0, len(rows), 40)]
+    window, slide, k = 60, 7, 9
+    found, progress = streamed(spark, tmp_path, batches, lambda e: flood_alerts(e, window * S, k, slide * S, 30 * S))
+    count = {}
+    for case, t, _, _ in rows[:-1]:
+        at = round(t * S)
+        for start in range((at - (window + slide) * S) // (slide * S) + 1, at // (slide * S) + 1):
+            count[case, start * slide * S] = count.get((case, start * slide * S), 0) + 1
+    want = sorted((c, s, s + (window + slide) * S, n) for (c, s), n in count.items() if n >= k)
+    assert rows_of(found, "case_id", "start_us", "end_us", "n_frames") == sorted(want, key=repr) and want
+    # Every flood has an alert within it.
+    every = events(spark, rows)
+    for r in floods(flood_frames(every, window * S, k), window * S).collect():
+        assert any(c == r.case_id and s <= r.end_us and e > r.start_us for c, s, e, _ in want)
+    # Only the windows of the last frame are still held.
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == -(-(window + slide) // slide)
+
+
+@pytest.mark.parametrize("arrow_rows", [7, 10_000])
+def test_ordered_debounce(spark, tmp_path, arrow_rows):
+    """Any order of arrival within the delay gives the rows of one sorted pass."""
+    draw = random.Random(9)
+    rows = [(draw.choice(["front", "back", None]), draw.randrange(4000 * S), i, f"n{i}") for i in range(900)]
+    rows += [("front", rows[3][1], 900 + i, "tie") for i in range(5)]
+    arrival = sorted(rows, key=lambda r: r[1] + draw.randrange(200 * S)) + [("end", 9000 * S, 1000, "end")]
+    schema = "camera string, ts_us bigint, seq bigint, notes string"
+    batches = [spark.createDataFrame(arrival[i : i + 200], schema) for i in range(0, len(arrival), 200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows)
+    try:
+        with rocksdb_state(spark):
+            found, progress = streamed(spark, tmp_path, batches, lambda e: debounce_ordered(e, 9 * S, 250 * S, 50 * S))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = debounce(spark.createDataFrame(rows, schema), ["camera"], 9 * S)
+    assert rows_of(found, "camera", "ts_us", "seq", "notes") == rows_of(want, "camera", "ts_us", "seq", "notes")
+    assert len(progress) > 4 and found.schema.simpleString() == spark.createDataFrame([], OUTPUT).schema.simpleString()
+
+
+def test_late_motion_is_left_out(spark, tmp_path):
+    schema = "camera string, ts_us bigint, seq bigint, notes string"
+    batches = [spark.createDataFrame([("c", t * S, i, "") for i, t in b], schema) for b in ([(0, 10), (1, 500)], [(2, 30), (3, 480)], [(4, 2000)])]
+    with rocksdb_state(spark):
+        found, _ = streamed(spark, tmp_path, batches, lambda e: debounce_ordered(e, 5 * S, 100 * S, 10 * S))
+    assert rows_of(found, "seq") == [(0,), (1,), (3,)]
+
+
+def test_slots_are_whole_milliseconds(spark):
+    with pytest.raises(ValueError):
+        debounce_ordered(spark.createDataFrame([], OUTPUT), S, S, 1500)
