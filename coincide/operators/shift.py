@@ -4,8 +4,12 @@ Each trial slides all anchors of a case around its period and recounts hits on a
 disjoint disruption intervals. Merged intervals are at least two windows long, so a stretch of time
 has a bounded number of them, however many disruptions it has: the period is cut into slices that
 hold ``SLICE_INTERVALS`` at most (one slice up to about 240 days at the least width), and each block
-of anchors counts its hits in each slice for a share of the trials. Blocks, shares and slices follow
-from the parameters and the case's period alone, so the plan is the same at every size.
+of anchors counts its hits in each slice, all trials at once or, where a block has many anchors, for a
+share of them.
+
+The test needs two numbers of a case: how many trials reach the observed hits, and the mean. A case with one
+block and one slice gives them where its hits are counted, so nothing as long as the trials leaves the task.
+Only the trials of a case in several pieces are added up by trial first.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from pyspark.sql import functions as F
 from coincide.functions.let import floor_div
 from coincide.operators.association import each_width
 from coincide.operators.ordered import CHUNK, Ordered, Running
+from coincide.session import durable
 
-# Limits: anchors per block, trials per row of work, intervals per slice of the period.
-BLOCK_ANCHORS, SHARE_TRIALS = 1 << 13, 1250
+# Limits: anchors per block, anchors times trials per row of work, intervals per slice of the period.
+BLOCK_ANCHORS, SHARE_SIZE = 1 << 13, 1 << 23
 SLICE_INTERVALS = 1 << 20
 
 
@@ -57,21 +62,13 @@ def disruption_intervals(around: Ordered, widths_us: list[int]) -> DataFrame:
     )
 
 
-def shift_counts(
-    around: Ordered,
-    widths_us: list[int],
-    trials: int,
-    seed: int,
-    mode: str = "numpy",
-    slice_intervals: int = SLICE_INTERVALS,
-) -> DataFrame:
-    """Hits per case, width and trial. ``around`` is restricted to the period (lo_us, hi_us)."""
+def _slices(around: Ordered, widths_us: list[int], slice_intervals: int) -> DataFrame:
+    """One pair of arrays of disjoint intervals per case, width and slice, each of a bounded length."""
     span, w = F.col("hi_us") - F.col("lo_us"), F.col("window_us")
     length = F.greatest(F.lit(1), F.least(span, 2 * w * slice_intervals))
     low = F.greatest(F.col("from_us") - F.col("lo_us"), F.lit(0))
     high = F.least(F.col("to_us") - F.col("lo_us"), F.greatest(span - 1, F.lit(0)))
-    # One pair of arrays per case, width and slice, each of a bounded length.
-    slices = (
+    return (
         disruption_intervals(around, widths_us)
         .withColumns({"length": length, "low": low, "high": high})
         .filter("low <= high")
@@ -79,9 +76,13 @@ def shift_counts(
         .groupBy("case_id", "window_us", "length", "slice")
         .agg(F.array_sort(F.collect_list("low")).alias("starts"), F.array_sort(F.collect_list("high")).alias("ends"))
     )
+
+
+def _blocks(around: Ordered) -> DataFrame:
+    """The anchors of each case in blocks."""
     anchors = around.filter(F.col("side") == 0)
     number = F.row_number().over(anchors.window()) - 1
-    blocks = (
+    return (
         anchors.with_columns({"block": F.call_function("div", number, F.lit(BLOCK_ANCHORS))})
         .df.groupBy("case_id", CHUNK, "block")
         .agg(
@@ -90,14 +91,23 @@ def shift_counts(
             F.array_sort(F.collect_list(F.struct("ts_us", "n"))).alias("anchors"),
         )
     )
-    work = (
-        blocks.join(slices, "case_id")
-        .withColumn("first_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(SHARE_TRIALS))))
+
+
+def _work(pieces: DataFrame, trials: int) -> DataFrame:
+    """Pieces (a block of anchors in a slice) with the trials to count, dealt over all tasks."""
+    share = F.greatest(F.lit(1), F.least(F.lit(trials), F.call_function("div", F.lit(SHARE_SIZE), F.size("anchors"))))
+    return (
+        pieces.withColumn("share", share.cast("int"))
+        .withColumn("first_trial", F.explode(F.expr(f"sequence(0, {trials - 1}, share)")))
         .withColumn("low_us", lowest_shift(F.col("hi_us") - F.col("lo_us"), F.col("window_us")))
         .withColumns({"ts": F.col("anchors.ts_us"), "n": F.col("anchors.n")})
         .drop("anchors")
+        .repartition("case_id", "window_us", "slice", CHUNK, "block", "first_trial")
     )
-    spread = work.repartition("case_id", "window_us", "slice", CHUNK, "block", "first_trial")
+
+
+def _by_trial(pieces: DataFrame, trials: int, seed: int, mode: str) -> DataFrame:
+    """Hits per case, width and trial, added up over a case's pieces."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,17 +123,80 @@ def shift_counts(
                 )
 
     return (
-        spread.mapInPandas(count, "case_id string, window_us bigint, trial bigint, hits bigint")
+        _work(pieces, trials)
+        .mapInPandas(count, "case_id string, window_us bigint, trial bigint, hits bigint")
         .groupBy("case_id", "window_us", "trial")
         .agg(F.sum("hits").alias("hits"))
     )
 
 
+def shift_counts(
+    around: Ordered,
+    widths_us: list[int],
+    trials: int,
+    seed: int,
+    mode: str = "numpy",
+    slice_intervals: int = SLICE_INTERVALS,
+) -> DataFrame:
+    """Hits per case, width and trial. ``around`` is restricted to the period (lo_us, hi_us)."""
+    pieces = _blocks(around).join(_slices(around, widths_us, slice_intervals), "case_id")
+    return _by_trial(pieces, trials, seed, mode)
+
+
+def shift_test(
+    observed: DataFrame,
+    around: Ordered,
+    widths_us: list[int],
+    trials: int,
+    seed: int,
+    mode: str = "numpy",
+    slice_intervals: int = SLICE_INTERVALS,
+) -> DataFrame:
+    """``observed`` (case, width, counts) with the add-one empirical p and the mean hits of the trials; NULL where
+    either stream is empty."""
+    blocks = durable(_blocks(around), "blocks")
+    slices = durable(_slices(around, widths_us, slice_intervals), "slices")
+    of_case = blocks.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    of_width = slices.groupBy("case_id", "window_us").agg(F.count(F.lit(1)).alias("n_slices"))
+    goal = of_width.join(of_case, "case_id").join(observed.select("case_id", "window_us", "n_coincident"), ["case_id", "window_us"])
+    goal = goal.withColumn("whole", F.expr("n_blocks = 1 AND n_slices = 1")).drop("n_blocks", "n_slices")
+    pieces = blocks.join(slices.join(goal, ["case_id", "window_us"]), "case_id")
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = [_hits(row, seed, mode, trials) for row in batch.itertuples(index=False)]
+            reached = [int((h >= goal).sum()) for h, goal in zip(hits, batch["n_coincident"])]
+            out = batch[["case_id", "window_us"]]
+            yield out.assign(reached=reached, total=[int(h.sum()) for h in hits])
+
+    told = _work(pieces.filter("whole"), trials).mapInPandas(tell, "case_id string, window_us bigint, reached bigint, total bigint")
+    apart = _by_trial(pieces.filter("NOT whole").drop("n_coincident", "whole"), trials, seed, mode)
+    apart = apart.join(goal, ["case_id", "window_us"]).selectExpr(
+        "case_id", "window_us", "CAST(hits >= n_coincident AS BIGINT) AS reached", "hits AS total"
+    )
+    both = told.unionByName(apart).groupBy("case_id", "window_us").agg(
+        F.sum("reached").alias("reached"), F.sum("total").alias("total")
+    )
+    tested = (F.col("n_anchors") > 0) & (F.col("n_incidents") > 0)
+    # Without any interval in the period, no trial hits: all reach an observation of none.
+    reached = F.coalesce("reached", F.when(F.col("n_coincident") <= 0, F.lit(trials)).otherwise(0))
+    return (
+        observed.join(both, ["case_id", "window_us"], "left")
+        .withColumns(
+            {
+                "perm_p": F.when(tested, (reached + 1) / F.lit(trials + 1.0)),
+                "perm_mean": F.when(tested, F.coalesce("total", F.lit(0)) / F.lit(float(trials))),
+            }
+        )
+        .drop("reached", "total")
+    )
+
+
 def _hits(row, seed: int, mode: str, trials: int) -> np.ndarray:
     """Hits of one block of anchors in one slice, for a share of the trials."""
     span = row.hi_us - row.lo_us
     offsets = shift_offsets(seed, mode, trials, row.low_us, span).astype(np.int64)
-    offsets = offsets[row.first_trial : row.first_trial + SHARE_TRIALS]
+    offsets = offsets[row.first_trial : row.first_trial + row.share]
     base = np.asarray(row.ts, dtype=np.int64) - row.lo_us
     weight = np.asarray(row.n, dtype=np.int64)
     begin, end = row.slice * row.length, (row.slice + 1) * row.length
@@ -145,22 +218,3 @@ def _hits(row, seed: int, mode: str, trials: int) -> np.ndarray:
         inside = np.searchsorted(edges, moved, side="right") & 1
         hits[at : at + step] = np.where(moved >= begin, inside, 0) @ weight
     return hits
-
-
-def with_shift_test(observed: DataFrame, counts: DataFrame, trials: int) -> DataFrame:
-    """Add the add-one empirical p and the mean hits; NULL where either stream is empty."""
-    # One number per trial, so the list is as long as the test has trials.
-    per_case = counts.groupBy("case_id", "window_us").agg(F.collect_list("hits").alias("hits"))
-    both = (F.col("n_anchors") > 0) & (F.col("n_incidents") > 0)
-    reached = F.size(F.filter("hits", lambda h: h >= F.col("n_coincident")))
-    total = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, h: acc + h)
-    return (
-        observed.join(per_case, ["case_id", "window_us"], "left")
-        .withColumns(
-            {
-                "perm_p": F.when(both, (reached + 1) / F.lit(trials + 1.0)),
-                "perm_mean": F.when(both, total / F.lit(float(trials))),
-            }
-        )
-        .drop("hits")
-    )

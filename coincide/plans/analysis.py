@@ -30,7 +30,7 @@ from coincide.operators.incidents import incidents
 from coincide.operators.lag import lag_scan
 from coincide.operators.nearest import match_table
 from coincide.operators.ordered import Ordered
-from coincide.operators.shift import shift_counts, with_shift_test
+from coincide.operators.shift import shift_test
 from coincide.operators.verdict import combine_tests, decide
 from coincide.params import AnalysisParams, micros
 from coincide.session import durable
@@ -83,9 +83,7 @@ def window_stats(
         .fillna(0)
     )
     cells = [F.col(f"cell_{x}") for x in "abcd"]
-    shifted = with_shift_test(
-        filled, shift_counts(inside, widths_us, trials, params.seed, params.offsets), trials
-    )
+    shifted = shift_test(filled, inside, widths_us, trials, params.seed, params.offsets)
     tested = (
         rates(shifted)
         .withColumn("binom_p", binomial_p(F.col("n_coincident"), F.col("n_anchors"), F.col("baseline_rate")))

@@ -11,7 +11,8 @@ from coincide.operators.drops import client_drops
 from coincide.operators.incidents import incidents
 from coincide.operators.lag import lag_scan
 from coincide.operators.nearest import band_count, coincident, match_table, nearest
-from coincide.operators.shift import shift_counts, shift_offsets
+from coincide.operators import shift
+from coincide.operators.shift import shift_counts, shift_offsets, shift_test
 from coincide.schema import anchors, disruptions
 
 CHUNKS = [None, 7]
@@ -138,6 +139,30 @@ def test_width_counts_and_shift(spark, chunks):
                 assert shifted[(case, width, trial)] == brute.hits(moved, i, width)
 
 
+@pytest.mark.parametrize("block, share, slices", [(1 << 13, 1 << 23, 1 << 20), (1 << 13, 64, 3), (4, 1 << 23, 1 << 20), (3, 1, 2)])
+def test_shift_test(spark, monkeypatch, block, share, slices):
+    """The same numbers from cases in one piece and in many, and from one share of the trials and from many."""
+    monkeypatch.setattr(shift, "BLOCK_ANCHORS", block)
+    monkeypatch.setattr(shift, "SHARE_SIZE", share)
+    widths, trials = [10 * S, 30 * S], 50
+    _, _, _, periods, around = prepared(spark, scattered(spark, 3), 3, 30 * S)
+    inside = asc.within(around, periods)
+    observed = asc.width_counts(inside, widths)
+    hits = {}
+    for r in shift_counts(inside, widths, trials, 5).collect():
+        hits.setdefault((r.case_id, r.window_us), []).append(r.hits)
+    assert all(len(h) == trials for h in hits.values()) and hits
+    got = shift_test(observed, inside, widths, trials, 5, slice_intervals=slices).collect()
+    assert len(got) == observed.count()
+    for r in got:
+        if r.n_anchors and r.n_incidents:
+            h = hits[r.case_id, r.window_us]
+            assert r.perm_p == (sum(x >= r.n_coincident for x in h) + 1) / (trials + 1)
+            assert r.perm_mean == sum(h) / trials
+        else:
+            assert r.perm_p is None and r.perm_mean is None
+
+
 @pytest.mark.parametrize("chunks", CHUNKS)
 def test_neighbours_from_events(spark, chunks):
     rows = scattered(spark, 7)
