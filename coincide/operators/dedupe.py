@@ -23,29 +23,48 @@ def detail_score() -> Column:
 
 
 class _OpenSets:
-    """Sets of one case that may still take members, oldest first."""
+    """Sets of one case that may still take members, oldest first.
+
+    A row joins the oldest open set without its source, and opens one only when all have it. So all sets before
+    some place have a source and all from there on lack it: one number per source tells where it goes next.
+    """
 
     def __init__(self, window_us: int) -> None:
         self.window_us = window_us
-        self.sets: list[tuple[int, int, set]] = []  # (anchor time, anchor seq, sources)
         self.case: str | None = None
+        self.clear()
+
+    def clear(self) -> None:
+        self.anchors: list[tuple[int, int]] = []  # (time, seq) of each set; those before ``live`` are closed
+        self.live = 0
+        self.next: dict[str, int] = {}  # per source, the first set that lacks it
+
+    def restore(self, case: str, anchors: list[tuple[int, int]], last_of: list[list[str]]) -> None:
+        self.case, self.anchors = case, anchors
+        self.next = {source: i + 1 for i, sources in enumerate(last_of) for source in sources}
+
+    def left(self) -> list[tuple]:
+        """Open sets as (case, time, seq, the sources that no younger set has)."""
+        last_of: dict[int, list[str]] = {}
+        for source, i in self.next.items():
+            last_of.setdefault(i - 1, []).append(source)
+        open_sets = enumerate(self.anchors[self.live :], self.live)
+        return [(self.case, ts, seq, sorted(last_of.get(i, []))) for i, (ts, seq) in open_sets]
 
     def enter(self, case: str, ts: int) -> None:
         if case != self.case:
-            self.case, self.sets = case, []
-        live = next(
-            (i for i, s in enumerate(self.sets) if ts - s[0] <= self.window_us), len(self.sets)
-        )
-        del self.sets[:live]
+            self.case = case
+            self.clear()
+        while self.live < len(self.anchors) and ts - self.anchors[self.live][0] > self.window_us:
+            self.live += 1
 
     def place(self, ts: int, seq: int, source: str) -> tuple[int, int]:
         """Anchor of the set the row joins: the oldest open one without its source, or its own."""
-        for anchor_ts, anchor_seq, sources in self.sets:
-            if source not in sources:
-                sources.add(source)
-                return anchor_ts, anchor_seq
-        self.sets.append((ts, seq, {source}))
-        return ts, seq
+        at = max(self.next.get(source, 0), self.live)
+        if at == len(self.anchors):
+            self.anchors.append((ts, seq))
+        self.next[source] = at + 1
+        return self.anchors[at]
 
 
 def merged_sets(
@@ -73,9 +92,9 @@ def merged_sets(
     def fold(part: pd.DataFrame, state: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         opened = _OpenSets(window_us)
         state = state.sort_values(["anchor_us", "anchor_seq"])
-        for s in state.itertuples(index=False):
-            opened.case = s.anchor_case
-            opened.sets.append((s.anchor_us, s.anchor_seq, set(s.sources)))
+        if len(state):
+            anchors = list(zip(state["anchor_us"].tolist(), state["anchor_seq"].tolist()))
+            opened.restore(state["anchor_case"].iloc[0], anchors, state["sources"].tolist())
         placed = []
         for r in part.itertuples(index=False):
             opened.enter(r.case_id, r.ts_us)
@@ -83,10 +102,7 @@ def merged_sets(
         out = part[["case_id", "ts_us", "seq"]].assign(
             set_us=[p[0] for p in placed], set_seq=[p[1] for p in placed]
         )
-        left = pd.DataFrame(
-            [(opened.case, ts, seq, sorted(src)) for ts, seq, src in opened.sets],
-            columns=["anchor_case", "anchor_us", "anchor_seq", "sources"],
-        )
+        left = pd.DataFrame(opened.left(), columns=["anchor_case", "anchor_us", "anchor_seq", "sources"])
         return out, left
 
     contested = marked.filter(F.col("near"))

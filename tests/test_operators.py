@@ -382,3 +382,45 @@ def test_debounce_takes_as_many_jobs_for_many_chunks_as_for_few(spark):
         jobs.append(len(context.statusTracker().getJobIdsForGroup(f"debounce-{chunks}")))
     context.setJobGroup("tests", "")
     assert jobs[0] == jobs[1]
+
+
+def test_open_sets_against_a_scan():
+    """The pointers of the sources find the sets that a scan of all open sets finds, also after a handover."""
+    import random
+
+    from coincide.operators.dedupe import _OpenSets
+
+    draw = random.Random(6)
+    window, opened, plain = 30, _OpenSets(30), []
+    ts = 0
+    for seq in range(3000):
+        ts += draw.choice([0, 1, 1, 2, 40 if draw.random() < 0.02 else 3])
+        source = draw.choice("aaabcd")
+        plain = [s for s in plain if ts - s[0] <= window]
+        home = next((s for s in plain if source not in s[2]), None)
+        if home is None:
+            home = (ts, seq, set())
+            plain.append(home)
+        home[2].add(source)
+        if draw.random() < 0.05:
+            handed = opened.left()
+            opened = _OpenSets(window)
+            opened.restore("c", [(s[1], s[2]) for s in handed], [s[3] for s in handed])
+        opened.enter("c", ts)
+        assert opened.place(ts, seq, source) == home[:2]
+
+
+def test_open_sets_of_one_source_in_linear_time():
+    import time
+
+    from coincide.operators.dedupe import _OpenSets
+
+    def seconds(n):
+        opened, start = _OpenSets(10 * n), time.perf_counter()
+        for i in range(n):
+            opened.enter("c", i)
+            assert opened.place(i, i, "one") == (i, i)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(200_000) < 5
