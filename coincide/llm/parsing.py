@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coincide.llm.substrings import as_number
 from coincide.llm.text import CHUNK_BYTES, as_bytes, mapped, mix, plain, with_columns
 
 SIZE, FROM_LEVEL, HEX = 64, 2, 8
@@ -182,12 +183,13 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Documents follow one another by descending key (null keys last, equal keys by text); after the
     last comes the first. Keys are cut into ranges, each range is sorted in one task, and a range's
     last document gets its follower from a second copy of the first document of the next range, so
-    texts are shuffled once."""
+    texts are shuffled once. Keys that are no integers are numbered in their order first."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lowest = -(1 << 63)
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                       F.coalesce(F.col(key).cast("bigint"), F.lit(lowest)).alias("k"))
+    number, _ = as_number(docs.select(F.col(key), F.col(text)), key, "k")
+    rows = number.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                         F.when(F.col(key).isNull(), lowest).otherwise(F.col("k")).alias("k"))
     cuts = rows.stat.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     cuts = sorted({int(c) for c in cuts})  # a range begins above each cut
     spread = spark.sparkContext.broadcast(np.array(cuts, np.int64))

@@ -343,7 +343,7 @@ def _spans(suffixes: DataFrame, window: int) -> DataFrame:
     return mapped(dealt, run, "key bigint, row bigint, at bigint, size bigint")
 
 
-def _as_number(docs: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+def as_number(docs: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame | None]:
     """Rows with a number for the key that sorts like it, null keys last."""
     if isinstance(docs.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         return docs.withColumn(name, F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LAST))), None
@@ -370,7 +370,7 @@ OUTPUT = "n_words bigint, n_removed bigint, kept string"
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, keep: list[str] | None = None) -> DataFrame:
     """Add the number of words, of words that go, and ``kept``, the others joined by one blank."""
     columns = docs.columns if keep is None else keep
-    numbers, _ = _as_number(docs, key, "_key")
+    numbers, _ = as_number(docs, key, "_key")
     gone = spans(numbers.select("_key", F.col(f"`{text}`").alias("_text")), "_key", "_text", window)
     gone = written(gone.groupBy("key", "row").agg(F.collect_list(F.struct("at", "size")).alias("_spans")), "spans")
     rows = numbers.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_own"), F.col(f"`{text}`").alias("_text"), "_key",

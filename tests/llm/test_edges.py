@@ -76,6 +76,19 @@ def test_fingerprints(spark, odd, none):
     assert alone.near_next == 1.0 and alone.n_chars == 4
 
 
+def test_fingerprints_with_text_keys(spark):
+    """Keys that are no numbers follow in their own order; null comes last."""
+    rows = [("b10", "one two"), ("b9", "three four five"), (None, "six"), ("a", "seven eight nine"), ("a", "seven eight nine")]
+    named = {(r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in parsing.with_next(
+        spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()}
+    place = {"a": 1, "b10": 2, "b9": 3}
+    back = {v: k for k, v in place.items()}
+    same = [(place.get(k), t) for k, t in rows]
+    numbered = {(back.get(r.doc_id), r.edited_sha256, r.fingerprint, r.near_next) for r in parsing.with_next(
+        spark.createDataFrame(same, "doc_id bigint, text string")).collect()}
+    assert named == numbered
+
+
 def test_urls(spark):
     rules = [("org/", "allow"), ("com/de/", "block")]
     some = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.ORG"), (5, "http://a.org/x?y"), (5, "http://a.org/x?y"),
