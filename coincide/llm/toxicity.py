@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from coincide.llm.pieces import ranges
 from coincide.llm.stage import bounded_sample
-from coincide.llm.text import grams, hashes, lists, plain, with_columns
+from coincide.llm.text import grams, hashes, lists, mix, plain, with_columns
 
 #: Bounds of the sample and of the lexicon.
 PER_LABEL, MAX_TERMS = 3000, 200
@@ -249,26 +249,37 @@ class Model(NamedTuple):
 
 
 def signature(column: pa.Array) -> np.ndarray:
-    """Lowest hash of three neighbouring words of each text: near copies mostly share it."""
+    """Lowest hash of three neighbouring words of each text, of all its words where it has fewer: near
+    copies mostly share it. Texts without words share one."""
     w = split(column)
     h = hashes(w.code.astype(np.uint32).view(np.uint8), w.begin * 4, (w.begin + w.size) * 4)
-    out = np.arange(len(column), dtype=np.uint64)
+    size = np.bincount(w.doc, minlength=len(column))
+    first = np.searchsorted(w.doc, np.arange(len(column)))
+    out = np.zeros(len(column), np.uint64)
+    out[size == 1] = mix(h[first[size == 1]])
+    out[size == 2] = grams(h, 2)[first[size == 2]]
     g = grams(h, 3)
     g[w.doc[: len(g)] != w.doc[2:]] = np.iinfo(np.uint64).max
-    first = np.searchsorted(w.doc, np.arange(len(column)))
-    long = np.flatnonzero(np.bincount(w.doc, minlength=len(column)) >= 3)
+    long = np.flatnonzero(size >= 3)
     if len(long):
         out[long] = np.minimum.reduceat(g, first[long])
     return out.view(np.int64)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int) -> DataFrame:
-    """The sample's rows without near copies, and the third of the sample that each is in."""
+    """The sample's rows without near copies, and the third of the sample that each is in.
+
+    Of rows of one signature the one with the lowest hash of its key (then key, hash of its text, label)
+    stays, so the sample does not depend on how the tables are partitioned.
+    """
     chosen = bounded_sample(labels.select(key, F.col(label).cast("int").alias("_label")), key, "_label", per_label)
     rows = docs.select(key, text).join(F.broadcast(chosen), key)
     signed = with_columns(rows, text, "_sig bigint", lambda: lambda chunk: [
         pa.array(signature(chunk.column(chunk.schema.get_field_index(text))), pa.int64())])
-    return signed.dropDuplicates(["_sig"]).withColumn("_part", F.pmod("_sig", F.lit(3)))
+    rank = F.struct(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"), F.xxhash64(text).alias("t"),
+                    F.col("_label").alias("y"), F.col(text).alias("x"))
+    return (signed.groupBy("_sig").agg(F.min(rank).alias("r"))
+            .select(F.col("r.k").alias(key), F.col("r.x").alias(text), F.col("r.y").alias("_label"), "_sig", F.pmod("_sig", F.lit(3)).alias("_part")))
 
 
 def lexicon(rows: DataFrame, key: str, text: str) -> list[tuple[str, bool]]:
