@@ -4,9 +4,9 @@ P(w | v) is the discounted count of ``v w`` over the count of ``v`` where the pa
 weight(v) P(w), and P(w) is the discounted count of ``w`` over all tokens, or for words never seen
 the mass that the discounts leave. weight(v) is the mass that the pairs of ``v`` leave, over the mass
 that P gives to words not seen after ``v``. Tokens are words and one end; a text begins after START.
-Counts up to ``KATZ`` are discounted by Good-Turing's estimate with Katz's correction; larger ones
-lose ``REST`` of a count, so that every context keeps mass for unseen words. Where a small corpus
-gives no usable estimate (not between 0 and the count), the count loses one half.
+Counts up to a cut-off (``KATZ``, or lower where an estimate would not lie between 0 and its count) are
+discounted by Good-Turing's estimate with Katz's correction, for words and pairs apart; larger ones
+lose ``REST`` of a count, so that every context keeps mass for unseen words (see :func:`discounted`).
 
 How it runs. Word counts are a table of their own. Words with at least 1 / ``HEAD`` of all tokens
 (there can't be more than ``HEAD``) are broadcast with their counts and serve as a short code. Each
@@ -114,14 +114,21 @@ def _added(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def discounted(met: np.ndarray) -> np.ndarray:
-    """Discounted counts 1..KATZ from how many types were met 1..KATZ+1 times."""
+    """Discounted counts 1..KATZ from how many types were met 1..KATZ+1 times.
+
+    Katz leaves counts above a cut-off as they are, because estimates from few types are poor. The cut-off
+    is ``KATZ``, or the next lower one at which every estimate lies between 0 and its count; counts above
+    it lose ``REST`` like all large ones. It is 2 at least (below, nothing is left for unseen words): without
+    a usable one, as where no type was met once, counts lose one half.
+    """
     r = np.arange(1, KATZ + 1)
-    if np.all(met > 0):
-        common = (KATZ + 1) * met[KATZ] / met[0]
-        if common < 1:
-            out = ((r + 1) * met[1:] / met[:KATZ] - r * common) / (1 - common)
-            if np.all((out > 0) & (out < r)):
-                return out
+    for cut in range(KATZ, 1, -1):
+        if np.all(met[: cut + 1] > 0):
+            common = (cut + 1) * met[cut] / met[0]
+            if common < 1:
+                out = ((r[:cut] + 1) * met[1 : cut + 1] / met[:cut] - r[:cut] * common) / (1 - common)
+                if np.all((out > 0) & (out < r[:cut])):
+                    return np.append(out, r[cut:] - REST)
     return r - 0.5
 
 

@@ -59,12 +59,15 @@ def katz(training, texts, order=5, rest=0.05):
     n, v = sum(one.values()), len(one)
 
     def discount(counts):
-        met = [sum(c == r for c in counts.values()) for r in range(1, order + 2)]
-        if all(met) and (order + 1) * met[order] / met[0] < 1:
-            common = (order + 1) * met[order] / met[0]
-            out = [((r + 1) * met[r] / met[r - 1] - r * common) / (1 - common) for r in range(1, order + 1)]
-            if all(0 < x < r for x, r in zip(out, range(1, order + 1))):
-                return out
+        met = collections.Counter(counts.values())
+        for cut in range(order, 1, -1):
+            if all(met[r] for r in range(1, cut + 2)):
+                common = (cut + 1) * met[cut + 1] / met[1]
+                turing = [(r + 1) * met[r + 1] / met[r] for r in range(1, cut + 1)]
+                if common < 1:
+                    out = [(t - r * common) / (1 - common) for r, t in enumerate(turing, 1)]
+                    if all(0 < x < r for r, x in enumerate(out, 1)):
+                        return out + [r - rest for r in range(cut + 1, order + 1)]
         return [r - 0.5 for r in range(1, order + 1)]
 
     d1, d2 = discount(one), discount(two)
