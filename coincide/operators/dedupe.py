@@ -119,10 +119,18 @@ def dedupe_anchors(
     events: DataFrame, window_us: int, chunks: int | None = None, source: str = "source_file"
 ) -> DataFrame:
     """DD01: keep the most detailed row of every set (the earliest on ties), drop the others."""
-    if window_us <= 0:
-        return events
+    return merge_passes(events, window_us, chunks, source)[0]
+
+
+def merge_passes(
+    events: DataFrame, window_us: int, chunks: int | None = None, source: str = "source_file"
+) -> tuple[DataFrame, DataFrame]:
+    """DD01 with its note: the events left, and :func:`dedupe_summary` of what was merged away."""
     anchor = F.coalesce(F.col("category") == CAMERA, F.lit(False))
     rows = events.filter(anchor)
+    if window_us <= 0:
+        alone = rows.select("case_id", F.col("ts_us").alias("set_us"), F.col("seq").alias("set_seq"))
+        return events, dedupe_summary(alone.distinct())
     sets = merged_sets(rows, window_us, source, chunks)
     scored = rows.select("case_id", "ts_us", "seq", detail_score().alias("score")).join(
         sets, ["case_id", "ts_us", "seq"]
@@ -132,9 +140,10 @@ def dedupe_anchors(
         .agg(F.min(F.struct((-F.col("score")).alias("rank"), "ts_us", "seq")).alias("best"))
         .select("case_id", "best.ts_us", "best.seq")
     )
-    return events.filter(~anchor).unionByName(
+    left = events.filter(~anchor).unionByName(
         rows.join(kept, ["case_id", "ts_us", "seq"], "left_semi")
     )
+    return left, dedupe_summary(sets)
 
 
 def dedupe_summary(sets: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from coincide.operators.association import (
     width_counts,
     within,
 )
-from coincide.operators.dedupe import dedupe_anchors
+from coincide.operators.dedupe import merge_passes
 from coincide.operators.drops import with_client_drops
 from coincide.operators.incidents import incidents
 from coincide.operators.lag import lag_scan
@@ -48,6 +48,7 @@ class Analysis:
     floods: DataFrame
     flood_tallies: DataFrame
     frame_totals: DataFrame
+    merged_passes: DataFrame
     params: AnalysisParams
 
 
@@ -97,14 +98,15 @@ def window_stats(
 
 def prepare(
     events: DataFrame, params: AnalysisParams, chunks: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Events with derived drops and merged anchors, and the incidents among them."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events with derived drops and merged anchors, the incidents among them, and how many were merged."""
     derived = with_client_drops(
         events, micros(params.reassoc_window_s), micros(params.reconnect_window_s), chunks
     )
-    merged = durable(dedupe_anchors(derived, micros(params.camera_dedupe_s), chunks), "events")
+    left, away = merge_passes(derived, micros(params.camera_dedupe_s), chunks)
+    merged = durable(left, "events")
     found = durable(incidents(merged, micros(params.incident_gap_s), chunks), "incidents")
-    return merged, found
+    return merged, found, away
 
 
 def run_analysis(
@@ -114,7 +116,7 @@ def run_analysis(
     problems = params.validate()
     if problems:
         raise ValueError("; ".join(problems))
-    merged, found = prepare(events, params, chunks)
+    merged, found, away = prepare(events, params, chunks)
     around = event_neighbours(merged, micros(params.incident_gap_s), chunks)
     periods = durable(observation_period(around.df, params.window_us), "periods")
 
@@ -142,5 +144,6 @@ def run_analysis(
         floods=fl.floods(flood_rows, flood_us),
         flood_tallies=fl.flood_tallies(flood_rows),
         frame_totals=fl.frame_totals(merged),
+        merged_passes=away,
         params=params,
     )

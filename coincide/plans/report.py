@@ -15,6 +15,8 @@ from coincide.plans.sinks import iso
 
 # Lengths of report tables.
 TOP_SOURCES, TOP_FLOODS = 25, 40
+#: Files and warnings that a document lists of each case; it counts the others.
+LISTED = 1000
 NUMBERS = (
     "window_us", "n_anchors", "n_incidents", "n_coincident", "coincidence_rate", "baseline_rate",
     "expected_by_chance", "lift", "binom_p", "perm_p", "perm_mean", "perm_trials", "fisher_p",
@@ -128,11 +130,46 @@ def _finite(columns: tuple[str, ...], schema: dict[str, str]) -> Column:
     return F.struct(*values, state.alias("_non_finite_fields"))
 
 
-def manifest(analysis: Analysis) -> DataFrame:
+def input_records(files: DataFrame, sums: DataFrame, case_id: Column | None = None) -> DataFrame:
+    """SNK07: what was read: every file with role, format, accepted rows, size and checksum.
+
+    ``files`` are those of ``read_inputs``, ``sums`` those of ``file_checksums``. A file that has gone
+    since it was read keeps its row, without size and checksum.
+    """
+    return files.select("path", "role", "parser", "rows").join(
+        sums.select("path", "length", "sha256"), "path", "left"
+    ).select((F.lit("case0") if case_id is None else case_id).alias("case_id"), "path", "role", "parser", "rows", "length", "sha256")
+
+
+def input_warnings(quality: DataFrame, case_id: Column | None = None) -> DataFrame:
+    """Rows left out, doubtful formats and assumptions of ``read_inputs``, as warnings of a case."""
+    return quality.select((F.lit("case0") if case_id is None else case_id).alias("case_id"), "source_file", "reason", "n")
+
+
+def _listed(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first rows of each case as one array, and how many there are in all.
+
+    Only the first ``limit`` rows of a case are gathered; tasks drop the others before the shuffle.
+    """
+    first = _first_per_case(rows, limit, *[F.asc_nulls_first(c) for c in order])
+    others = [c for c in rows.columns if c != "case_id" and c not in order]
+    lists = first.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*order, *others))).alias("listed"))
+    return rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).join(lists, "case_id")
+
+
+def manifest(
+    analysis: Analysis,
+    inputs: DataFrame | None = None,
+    outputs: DataFrame | None = None,
+    warnings: DataFrame | None = None,
+) -> DataFrame:
     """SNK04: one JSON document per case.
 
-    Tables that grow with the evidence (events, matches, all floods) are written beside it; the
-    document carries their totals.
+    ``inputs`` and ``outputs`` have a ``case_id``, a ``path`` and any further columns (see
+    :func:`input_records`), ``warnings`` those of :func:`input_warnings`. Tables that grow with the
+    evidence (events, matches, all floods) are written beside it; the document carries their totals and
+    lists the first ``TOP_FLOODS`` floods and the first ``LISTED`` files and warnings, with how many there
+    are. What was merged away, what the period left out, and floods follow from the analysis itself.
     """
     params: AnalysisParams = analysis.params
     kinds = dict(analysis.stats.dtypes)
@@ -173,11 +210,29 @@ def manifest(analysis: Analysis) -> DataFrame:
             period_notes().alias("notes"),
         ).alias("analysis_period"),
     )
+    away = analysis.merged_passes.select("case_id", F.struct("removed", "merged_sets").alias("merged_passes"))
+    detail = first_floods(analysis.floods).select(
+        "case_id", iso(F.col("start_us"), "UTC").alias("start_utc"), iso(F.col("end_us"), "UTC").alias("end_utc"),
+        "duration_s", "n_frames", "peak_rate_per_s", "top_source", "broadcast_frames",
+    )
+    detail = detail.groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.struct(*[c for c in detail.columns if c != "case_id"]))).alias("first_floods")
+    )
     whole = stats
-    for part in (period, sweep, lag, frames):
+    for part in (period, sweep, lag, frames, away, detail):
         whole = whole.join(part, "case_id", "left")
+    given = {"inputs": (inputs, ["path"]), "outputs": (outputs, ["path"]), "warnings": (warnings, ["source_file", "reason"])}
+    for name, (rows, order) in given.items():
+        if rows is not None:
+            whole = whole.join(
+                _listed(rows, LISTED, *order).select(
+                    "case_id", F.struct("n", "listed").alias(name)
+                ), "case_id", "left",
+            )
+    given = [name for name, (rows, _) in given.items() if rows is not None]
     document = F.struct(
-        "verdict", "statistics", "sensitivity", "clock_offset_scan", "floods", "analysis_period",
+        "verdict", "statistics", "sensitivity", "clock_offset_scan", "floods", "first_floods", "analysis_period",
+        "merged_passes", *given,
         F.struct(*[F.lit(v).alias(k) for k, v in asdict(params).items()]).alias("configuration"),
     )
     return whole.select("case_id", F.to_json(document).alias("manifest"))

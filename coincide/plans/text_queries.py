@@ -4,6 +4,7 @@ the events table by Spark and read back."""
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from coincide.plans.queries import (
     FRAMES,
     GAP,
     PARAMS,
+    PASSES,
     WIDE_GAP,
     _matches,
     big,
@@ -644,6 +646,43 @@ def snk04_manifest(spark, sf_dir):
     return report.manifest(done)
 
 
+@query
+def snk04_fields(spark, sf_dir):
+    """The fields of a manifest, read back from its text; each source of passes stands for a file."""
+    from coincide.plans.analysis import run_analysis
+
+    params = replace(PARAMS, camera_dedupe_s=0.0, flood_window_s=1800.0)
+    rows = events(spark, sf_dir, types=PASSES + FRAMES)
+    files = anchors(rows).groupBy("case_id", F.col("source_file").alias("path")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("ts_us").alias("mtime_us"))
+    files = files.withColumn("sha256", F.sha2(F.concat_ws(":", "path", F.col("rows").cast("string")), 256))
+    doubts = anchors(rows).filter("plate IS NULL").groupBy("case_id", "source_file", F.lit("no plate").alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"))
+    done = run_analysis(rows, params)
+    made = done.incidents.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("path", F.lit("incidents"))
+    text = report.manifest(done, files, made, doubts)
+    kind = ("verdict struct<label:string>, statistics struct<n_anchors:bigint,n_incidents:bigint,n_coincident:bigint,binom_p:double>, "
+            "sensitivity array<struct<window_us:bigint>>, floods struct<total_frames:bigint,broadcast_frames:bigint,signature_frames:bigint,"
+            "n_floods:bigint>, first_floods array<struct<n_frames:bigint,top_source:string>>, analysis_period struct<hours:double>, "
+            "merged_passes struct<removed:bigint>, inputs struct<n:bigint,listed:array<struct<path:string,rows:bigint,sha256:string>>>, "
+            "outputs struct<n:bigint,listed:array<struct<path:string,rows:bigint>>>, "
+            "warnings struct<n:bigint,listed:array<struct<source_file:string,reason:string,n:bigint>>>, configuration struct<flood_window_s:double>")
+    m = text.select("case_id", F.from_json("manifest", kind).alias("m")).select("case_id", "m.*")
+
+    def joined(of: str, *names: str) -> Column:
+        return F.array_join(F.transform(of, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), ",")
+
+    return m.select(
+        "case_id", "verdict.label", "statistics.n_anchors", "statistics.n_incidents", "statistics.n_coincident",
+        F.round(F.log10("statistics.binom_p"), 5).alias("log10_binom"), joined("sensitivity", "window_us").alias("widths"),
+        "floods.total_frames", "floods.broadcast_frames", "floods.signature_frames", "floods.n_floods",
+        joined("first_floods", "n_frames", "top_source").alias("first_floods"), F.round("analysis_period.hours", 6).alias("hours"),
+        big("merged_passes.removed").alias("removed"), "inputs.n", joined("inputs.listed", "path", "rows", "sha256").alias("inputs"),
+        joined("outputs.listed", "path", "rows").alias("outputs"), joined("warnings.listed", "source_file", "reason", "n").alias("warnings"),
+        F.col("configuration.flood_window_s").alias("flood_window_s"),
+    )
+
+
 @query
 def tk02_top_sources(spark, sf_dir):
     return report.top_sources(fl.frame_tallies(events(spark, sf_dir, types=FRAMES)), 10)

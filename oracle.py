@@ -402,8 +402,7 @@ FROM d WHERE rn = 1 AND epoch > 0 AND ts_us - conf_us <= {SIX_HOURS}
   AND NOT EXISTS (SELECT 1 FROM ev r WHERE r.kind = 'link_reset' AND r.client_mac = d.client_mac
     AND d.ts_us - r.ts_us BETWEEN 0 AND {SIX_HOURS // 6})"""
 
-_FLOOD = f"""
-WITH {ev()},
+_FLOODS = f"""
 f AS (SELECT *, count(*) OVER (ORDER BY ts_us RANGE BETWEEN {FLOOD_WINDOW} PRECEDING AND CURRENT ROW) AS cnt
       FROM ev WHERE kind IN ('deauth', 'disassoc')),
 g AS (SELECT *, max(CASE WHEN cnt >= {FLOOD_K} THEN 1 ELSE 0 END)
@@ -414,6 +413,8 @@ i AS (SELECT *, sum(CASE WHEN b = 1 AND (pb IS NULL OR pb = 0 OR ts_us - pt > {F
 fl AS (SELECT *, min(ts_us) OVER (PARTITION BY s) AS flood_us, count(*) OVER (PARTITION BY s) AS n
        FROM i WHERE b = 1),
 ff AS (SELECT * FROM fl WHERE n >= {FLOOD_K})"""
+_FLOOD = f"""
+WITH {ev()}, {_FLOODS}"""
 
 ORACLE["dv03_floods"] = f"""{_FLOOD},
 tp AS (SELECT flood_us, src_mac, row_number() OVER (PARTITION BY flood_us ORDER BY count(*) DESC, src_mac) AS rk

@@ -7,7 +7,7 @@ from coincide.functions.times import CLIP_NAMES
 from coincide.plans.queries import WIDE_GAP, WIDTHS
 from coincide.sources.kismet import ALERTS
 from coincide.streaming.motion import MOTION_TOPICS
-from oracle import _FLOOD, _MATCH, CASE8, MAC, ORACLE, W, ev, inc, stats
+from oracle import _FLOOD, _FLOODS, _MATCH, CASE8, MAC, ORACLE, W, ev, inc, stats
 
 SP = f"""
 sp AS (SELECT event_id, user_id, event_type, ts, value, epoch_us(ts) AS us,
@@ -336,3 +336,26 @@ ORACLE["fn13_year"] = f"""
 WITH {SP}, r AS (SELECT event_id, ts, us + (k - 20) * 86400000000 AS ref FROM sp),
 w AS (SELECT event_id, ref, make_timestamp(year(make_timestamp(ref)), month(ts), day(ts), hour(ts), minute(ts), floor(second(ts))::DOUBLE) AS wall FROM r)
 SELECT event_id, epoch_us(CASE WHEN epoch_us(wall) > ref + 86400000000 THEN wall - INTERVAL 1 YEAR ELSE wall END) AS ts_us FROM w"""
+
+ORACLE["snk04_fields"] = f"""{stats("'case0'", [W])},
+{_FLOODS},
+fd AS (SELECT flood_us, count(*) AS n FROM ff GROUP BY flood_us),
+fs AS (SELECT flood_us, src_mac, row_number() OVER (PARTITION BY flood_us ORDER BY count(*) DESC, src_mac) AS rk FROM ff GROUP BY flood_us, src_mac),
+fo AS (SELECT *, row_number() OVER (ORDER BY flood_us) AS place FROM fd JOIN fs USING (flood_us) WHERE rk = 1),
+pl AS (SELECT source_file AS s, count(*) AS n, count(*) FILTER (plate IS NULL) AS bare FROM cam GROUP BY 1)
+SELECT case_id, CASE WHEN m < 3 OR ni = 0 THEN 'INSUFFICIENT DATA' WHEN hit >= 3 AND worst_p < 0.01 AND coalesce(ratio >= 2, false)
+    THEN 'CORRELATION FOUND' ELSE 'CORRELATION NOT ESTABLISHED' END AS label,
+  m AS n_anchors, ni AS n_incidents, hit AS n_coincident, round(log10(binom_p), 5) AS log10_binom,
+  '{",".join(map(str, WIDTHS))}' AS widths,
+  (SELECT count(*) FROM ev WHERE kind IN ('deauth', 'disassoc')) AS total_frames,
+  (SELECT count(*) FROM ev WHERE kind IN ('deauth', 'disassoc') AND dst_mac = 'ff:ff:ff:ff:ff:ff') AS broadcast_frames,
+  (SELECT count(*) FROM ev WHERE kind IN ('deauth', 'disassoc') AND reason_code IN (1, 7)) AS signature_frames,
+  (SELECT count(*) FROM fd) AS n_floods,
+  coalesce((SELECT string_agg(n || ':' || src_mac, ',' ORDER BY flood_us) FROM fo WHERE place <= 40), '') AS first_floods,
+  round(span / 3.6e9, 6) AS hours, 0::BIGINT AS removed,
+  (SELECT count(*) FROM pl) AS n,
+  (SELECT string_agg(s || ':' || n || ':' || sha256(s || ':' || n), ',' ORDER BY s) FROM pl) AS inputs,
+  'incidents:' || (SELECT count(*) FROM inc) AS outputs,
+  (SELECT string_agg(s || ':no plate:' || bare, ',' ORDER BY s) FROM pl WHERE bare > 0) AS warnings,
+  1800.0::DOUBLE AS flood_window_s
+FROM tst"""

@@ -167,3 +167,31 @@ def test_timeline(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ev")).count() == ev.count()
     sinks.write_table(ev.groupBy("kind").agg(F.collect_set("src_mac").alias("macs")), str(tmp_path / "t"))
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 3
+
+
+def test_manifest_lists_inputs_warnings_and_merged_passes(spark, monkeypatch):
+    monkeypatch.setattr(report, "LISTED", 2)
+    rows = planted(n=4)
+    rows += [dict(r, source_file="b", plate=None, ts_us=r["ts_us"] + S // 2) for r in rows if r["category"] == "camera"]
+    a = run_analysis(brute.frame(spark, rows), AnalysisParams(timezone="UTC", trials=100, sensitivity=False))
+    files = spark.createDataFrame([(f"f{i}", "camera-events", "camera_csv", i) for i in (2, 0, 1)], "path string, role string, parser string, rows long")
+    sums = spark.createDataFrame([("f0", 5, "x"), ("f1", 6, "y")], "path string, length long, sha256 string")
+    quality = spark.createDataFrame([("f0", "no time", 3)], "source_file string, reason string, n long")
+    inputs = report.input_records(files, sums, F.lit("c"))
+    assert {r.path: r.sha256 for r in inputs.collect()} == {"f0": "x", "f1": "y", "f2": None}  # f2 has gone since
+    document = json.loads(report.manifest(a, inputs, inputs.limit(0), report.input_warnings(quality, F.lit("c"))).first().manifest)
+    assert document["merged_passes"] == {"removed": 4, "merged_sets": 4}
+    assert document["inputs"]["n"] == 3 and [f["path"] for f in document["inputs"]["listed"]] == ["f0", "f1"]
+    assert document["inputs"]["listed"][1] == {
+        "path": "f1", "role": "camera-events", "parser": "camera_csv", "rows": 1, "length": 6, "sha256": "y"}
+    assert document["warnings"] == {"n": 1, "listed": [{"source_file": "f0", "reason": "no time", "n": 3}]}
+    assert "outputs" not in document  # none for this case
+    assert [f["n_frames"] for f in document["first_floods"]] == [8] * 4
+    assert document["first_floods"][0]["top_source"] == "de:ad:be:ef:00:01"
+    bare = json.loads(report.manifest(a).first().manifest)
+    assert not {"inputs", "outputs", "warnings"} & set(bare) and bare["merged_passes"] == document["merged_passes"]
+
+
+def test_nothing_is_merged_without_a_window(spark):
+    a = run_analysis(brute.frame(spark, planted(n=3)), AnalysisParams(timezone="UTC", trials=100, camera_dedupe_s=0.0, sensitivity=False))
+    assert [tuple(r) for r in a.merged_passes.collect()] == [("c", 0, 0)]
