@@ -4,12 +4,20 @@ An anchor is hit at every integer lag that moves it into a disruption interval.
 anchors meet in slots of the largest lag; merged intervals are at least two windows long, so one
 anchor meets a bounded number of them however dense the data is. Each meeting adds +1 and -1 at
 the ends of its range of lags, and a running sum over the lags gives the hits.
+
+Lags worth testing are those that some anchor and incident differ by. They are found without
+pairs: a stream is reduced to the first and last instant of every quarter second, a slot's instants
+to one row per stream, and what two such rows differ by to a bitmap of lags; the bitmaps of a case
+are combined by OR, on the map side first.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coincide.functions.let import floor_div
 from coincide.operators.association import distance_us
@@ -76,22 +84,71 @@ def lag_hits(around: Ordered, window_us: int) -> DataFrame:
     )
 
 
+def _instants(stream: DataFrame) -> DataFrame:
+    """First and last instant of every quarter second of a case, with their slot.
+
+    They give all lags of the stream. Differences of two quarter seconds span less than half a
+    second, so they round to at most two neighbouring numbers, those of the outermost ones; and if
+    an outermost one lies beyond the largest lag, all others round to the largest lag.
+    """
+    ends = stream.groupBy("case_id", floor_div(F.col("ts_us"), MICROS // 4).alias("quarter")).agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")
+    )
+    instants = F.array_distinct(F.array("first_us", "last_us"))
+    return ends.select("case_id", F.explode(instants).alias("ts_us")).withColumn("slot", _slot(F.col("ts_us")))
+
+
+@F.pandas_udf(T.BinaryType())
+def _lags_between(anchors: pd.Series, incidents: pd.Series) -> pd.Series:
+    """Bit ``MAX_LAG_S + lag`` for every whole-second difference (half to even) within the largest lag."""
+
+    def lags(a: np.ndarray, i: np.ndarray) -> bytes:
+        few, many, sign = (a, np.sort(i), 1) if len(a) < len(i) else (i, np.sort(a), -1)
+        seen = np.zeros(2 * MAX_LAG_S + 1, bool)
+        for t in few:
+            near = many[np.searchsorted(many, t - MAX_LAG_US) : np.searchsorted(many, t + MAX_LAG_US, "right")]
+            seen[np.rint(sign * (near - t) / MICROS).astype(np.int64) + MAX_LAG_S] = True
+            if seen.all():
+                break
+        return np.packbits(seen, bitorder="little").tobytes()
+
+    return pd.Series([lags(a, i) for a, i in zip(anchors, incidents)])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _lags_in(bits: pd.Series) -> pd.Series:
+    def lags(one: bytes) -> np.ndarray:
+        seen = np.unpackbits(np.frombuffer(one, np.uint8), bitorder="little")
+        return np.flatnonzero(seen) - MAX_LAG_S
+
+    return bits.map(lags)
+
+
 def candidate_lags(around: Ordered) -> DataFrame:
     """Distinct whole-second differences within the largest lag (half to even).
 
-    Incidents of a case start further apart than the incident gap, which bounds the incidents
-    one anchor meets.
+    A slot has at most eight instants a second in each stream, so its rows are of bounded size
+    however many anchors fall into it, and anchors meet incidents in one row per slot.
     """
-    incidents = around.df.filter("side = 1").select(
-        "case_id", F.col("ts_us").alias("incident_us"), _slot(F.col("ts_us")).alias("slot")
+    slot = F.col("slot")
+    anchors = (
+        _instants(around.df.filter("side = 0"))
+        .groupBy("case_id", "slot")
+        .agg(F.collect_list("ts_us").alias("anchors"))
+    )
+    incidents = (
+        _instants(around.df.filter("side = 1"))
+        .withColumn("slot", F.explode(F.sequence(slot - 1, slot + 1)))
+        .groupBy("case_id", "slot")
+        .agg(F.collect_list("ts_us").alias("incidents"))
     )
-    delta = F.col("incident_us") - F.col("ts_us")
+    met = anchors.join(incidents, ["case_id", "slot"])
     return (
-        _reach(around.df.filter("side = 0"))
-        .join(incidents, ["case_id", "slot"])
-        .filter(F.abs(delta) <= MAX_LAG_US)
-        .select("case_id", F.rint(delta / MICROS).cast("bigint").alias("lag_s"))
-        .distinct()
+        met.select("case_id", _lags_between("anchors", "incidents").alias("bits"))
+        .groupBy("case_id")
+        .agg(F.bitmap_or_agg("bits").alias("bits"))
+        .withColumn("bits", F.substring("bits", 1, MAX_LAG_S // 4 + 1))
+        .select("case_id", F.explode(_lags_in("bits")).alias("lag_s"))
     )
 
 

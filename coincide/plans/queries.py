@@ -226,6 +226,7 @@ def st10_lag_scan(spark, sf_dir):
     return scan.select(
         "case_id", big("n_anchors").alias("n_anchors"), big("best_lag_s").alias("best_lag_s"),
         big("best_hits").alias("best_hits"), big("hits_at_zero").alias("hits_at_zero"), "suspicious",
+        "explanation",
     )
 
 

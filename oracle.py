@@ -317,9 +317,16 @@ z AS (SELECT c.case_id, count(*) AS m,
 b AS (SELECT z.case_id, m, h0, h.lag_s, h.hits, row_number() OVER (PARTITION BY z.case_id ORDER BY h.hits DESC, h.lag_s) AS rk
       FROM z JOIN cand USING (case_id) JOIN h ON h.case_id = z.case_id AND h.lag_s = cand.lag_s),
 o AS (SELECT case_id, m AS n_anchors, CASE WHEN hits > h0 THEN lag_s ELSE 0 END AS best_lag_s,
-        CASE WHEN hits > h0 THEN hits ELSE h0 END AS best_hits, h0 AS hits_at_zero FROM b WHERE rk = 1)
-SELECT *, n_anchors >= 3 AND abs(best_lag_s) >= 1 AND best_hits >= hits_at_zero + 3
-  AND best_hits >= 0.6 * n_anchors AND best_hits >= 2 * greatest(hits_at_zero, 1) AS suspicious FROM o"""
+        CASE WHEN hits > h0 THEN hits ELSE h0 END AS best_hits, h0 AS hits_at_zero FROM b WHERE rk = 1),
+f AS (SELECT *, n_anchors >= 3 AND abs(best_lag_s) >= 1 AND best_hits >= hits_at_zero + 3
+  AND best_hits >= 0.6 * n_anchors AND best_hits >= 2 * greatest(hits_at_zero, 1) AS suspicious, abs(best_lag_s) AS d FROM o)
+SELECT * EXCLUDE (d), CASE WHEN suspicious THEN
+  'The streams line up if anchor times are taken as ' || d || ' s ' || CASE WHEN best_lag_s > 0 THEN 'later' ELSE 'earlier' END
+  || ' than recorded (' || best_hits || ' of ' || n_anchors || ' would coincide, against ' || hits_at_zero || ' as recorded). '
+  || CASE WHEN abs(d - 3600) < 90 THEN 'Almost exactly one hour: most likely a timezone or daylight-saving mismatch.'
+     WHEN abs(d - 1800) < 60 THEN 'Almost exactly thirty minutes: most likely a half-hour timezone offset on one source.'
+     WHEN d % 3600 < 120 OR 3600 - d % 3600 < 120 THEN 'Close to a whole number of hours: most likely a timezone mismatch.'
+     ELSE 'One of the clocks is probably wrong by about this much.' END END AS explanation FROM f"""
 
 _NEAR = """
 near AS (SELECT c.*, l.t AS bt, r.t AS nx,

@@ -9,9 +9,10 @@ from coincide.operators import floods as fl
 from coincide.operators.dedupe import debounce, dedupe_anchors, dedupe_summary, merged_sets
 from coincide.operators.drops import client_drops
 from coincide.operators.incidents import incidents
-from coincide.operators.lag import lag_scan
+from coincide.operators.lag import candidate_lags, lag_scan
 from coincide.operators.nearest import band_count, coincident, match_table, nearest
 from coincide.operators import shift
+from coincide.operators.ordered import Ordered
 from coincide.operators.shift import shift_counts, shift_offsets, shift_test
 from coincide.schema import anchors, disruptions
 
@@ -193,6 +194,31 @@ def test_lag_scan(spark, chunks):
         assert (r.best_lag_s, r.best_hits, r.hits_at_zero) == best
 
 
+def whole_seconds(anchors, incidents):
+    """Differences within the largest lag, half to even, from all pairs."""
+    return sorted({round((i - a) / S) for a in anchors for i in incidents if abs(i - a) <= 7200 * S})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_candidate_lags(spark, seed):
+    """Fractions at and around halves and the largest lag, negative times, busy seconds."""
+    rng = random.Random(seed)
+    fractions = [0, 1, 249_999, 250_000, 499_999, 500_000, 500_001, 750_000, 999_999]
+    cases = {}
+    for case in ("a", "b", "c"):
+        seconds = [rng.choice([-9000, -7200, -1, 0, 1, 7199, 7200, 14_400, rng.randrange(-9000, 9000)]) for _ in range(12)]
+        cases[case] = [{t * S + f for t in rng.sample(seconds, 6) for f in rng.sample(fractions, 4)} for _ in range(2)]
+    cases["busy"] = [set(range(0, 2 * S, 997)), {7200 * S + 250_500, -7200 * S + 250_500}]
+    cases["no incidents"] = [{1, 2}, set()]
+    rows = [(case, t, side) for case, sides in cases.items() for side, times in enumerate(sides) for t in times]
+    df = spark.createDataFrame(rows, "case_id string, ts_us bigint, side int").repartition(5)
+    got = {}
+    for r in candidate_lags(Ordered(df, ("case_id",), ("ts_us", "side"))).collect():
+        got.setdefault(r.case_id, []).append(r.lag_s)
+    assert {case: sorted(lags) for case, lags in got.items()} == {
+        case: lags for case, sides in cases.items() if (lags := whole_seconds(*sides))}
+
+
 @pytest.mark.parametrize("late", [3600, 0])
 def test_lag_scan_flags_an_hour(spark, late):
     rng = random.Random(9)
