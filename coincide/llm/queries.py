@@ -45,7 +45,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir).select("doc_id", "text")
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"], matches="longest")
     return found.drop("matches")
 
 
