@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,35 +11,37 @@ from coincide.functions.mac import norm_mac
 from coincide.functions.times import finalize, parse_any
 from coincide.operators.ordered import Running, arrange
 from coincide.params import AnalysisParams
-from coincide.sources.lines import cells_of, nonblank, numbered_lines
+from coincide.sources.lines import cells_of, lines_in_place, nonblank, with_states
 
 # First cells of the two header lines, and field positions.
 AP_HEADER, STATION_HEADER = "BSSID,", "Station MAC,"
 LAST_SEEN, POWER, PACKETS, STATION_BSSID, ESSID = 2, 3, 4, 5, 13
+#: Under no header (0), access points (1) or stations (2): an ordinary line, and the two headers.
+HEADERS = np.array([[0, 1, 2], [1, 1, 1], [2, 2, 2]])
+
+
+def _header() -> Column:
+    stripped = F.trim("line")
+    return F.when(stripped.startswith(AP_HEADER), 1).when(stripped.startswith(STATION_HEADER), 2)
 
 
 def station_rows(
     lines: DataFrame, params: AnalysisParams, chunks: int | None = None
 ) -> DataFrame:
     """Last-seen instants of stations as context events; a row belongs to the header above it."""
-    stripped = F.trim("line")
-    cells = F.transform(cells_of(F.col("line")), lambda c: F.trim(c))
-    marked = nonblank(lines).select(
-        "path",
-        "line_no",
-        "line",
-        F.when(stripped.startswith(AP_HEADER), 0)
-        .when(stripped.startswith(STATION_HEADER), 1)
-        .alias("header"),
-        cells.alias("f"),
-    )
+    marked = nonblank(lines).select("path", "line_no", "line", _header().alias("header"))
     # The last header's line number and kind as one growing number.
     placed = arrange(marked, ["path"], ["line_no"], chunks).running(
-        before={"above": Running("max", F.col("line_no") * 2 + F.col("header"))}
-    )
-    rows = placed.df.filter("header IS NULL AND above IS NOT NULL AND size(f) >= 6").withColumn(
-        "is_station", F.col("above") % 2 == 1
+        before={"above": Running("max", F.col("line_no") * 2 + F.col("header") - 1)}
     )
+    rows = placed.df.filter("header IS NULL AND above IS NOT NULL").withColumn("is_station", F.col("above") % 2 == 1)
+    return _stations(rows, params)
+
+
+def _stations(lines: DataFrame, params: AnalysisParams) -> DataFrame:
+    """From lines below a header, and whether it is that of stations."""
+    cells = F.transform(cells_of(F.col("line")), lambda c: F.trim(c))
+    rows = lines.withColumn("f", cells).filter("size(f) >= 6")
 
     def cell(i: int) -> Column:
         return F.get("f", F.lit(i))
@@ -82,4 +85,7 @@ def station_rows(
 
 
 def read_stations(spark: SparkSession, paths: list[str], params: AnalysisParams) -> DataFrame:
-    return station_rows(numbered_lines(spark, paths), params)
+    """As :func:`station_rows`, with the text left in place."""
+    lines, _ = with_states(lines_in_place(spark, paths), F.coalesce(_header(), F.lit(0)), HEADERS)
+    rows = nonblank(lines).filter(_header().isNull() & (F.col("state") > 0))
+    return _stations(rows.withColumn("is_station", F.col("state") == 2), params)

@@ -13,7 +13,7 @@ from coincide.functions.reasons import reason_text
 from coincide.functions.times import finalize, parse_any
 from coincide.params import AnalysisParams, micros
 from coincide.schema import BROADCAST, categorize
-from coincide.sources.lines import numbered_lines, records_of
+from coincide.sources.lines import lines_in_place, records_of
 
 # The names each field goes by.
 FRAME_FIELDS = {
@@ -63,8 +63,9 @@ def read_records(spark: SparkSession, paths: list[str], delimiter: str = ",", ch
     """(path, mtime_us, row_no, fields) of delimited files, with all columns and blank cells.
 
     Files stay splittable although quoted cells may hold line breaks; blank lines count as rows.
+    ``chunks`` deals the files into so many groups that are read one beside the other.
     """
-    return records_of(numbered_lines(spark, paths), delimiter, chunks)
+    return records_of(lines_in_place(spark, paths), delimiter, chunks)
 
 
 def clean_header(fields: Column) -> Column:
