@@ -362,6 +362,16 @@ def test_debounce(spark, chunks):
         assert sorted(r.ts_us for r in got if r.camera == cam) == brute.debounced(times, 5 * S)
 
 
+def test_lists_of_incidents_are_joined_last(spark):
+    """Each anchor gets the lists of its incident; no join or exchange comes after that."""
+    ev, inc, _, periods, _ = prepared(spark, scattered(spark, 6), None, 20 * S)
+    node = match_table(ev, inc, periods, 20 * S)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() == "Project":
+        node = node.children().apply(0)
+    assert node.nodeName() == "Join" and "client_macs" in node.output().mkString(",")
+    assert "client_macs" not in node.children().apply(0).output().mkString(",")
+
+
 @pytest.mark.parametrize("chunks", CHUNKS)
 def test_match_table(spark, chunks):
     rows = scattered(spark, 6)
