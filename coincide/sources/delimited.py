@@ -94,12 +94,16 @@ def synonym_map(
 def _mapped(
     records: DataFrame, fields: dict[str, tuple[str, ...]], overrides: dict[str, str] | None = None
 ) -> DataFrame:
-    """Records with ``at`` (positions of the file's fields), one lookup row per file."""
-    headers = records.filter("row_no = 1").select(
-        "path", F.col("fields").alias("header"),
-        synonym_map(clean_header(F.col("fields")), fields, overrides).alias("at"),
-    )
-    return records.join(headers, "path")
+    """Records with ``at`` (positions of the file's fields), one lookup row per file.
+
+    Cells and positions are computed once: filters on them stay above that work and are not copied
+    into a filter of every row of the input.
+    """
+    heads = records.filter("row_no = 1").select("path", F.col("fields").alias("header"))
+    headers = once(heads, "at", synonym_map(clean_header(F.col("header")), fields, overrides))
+    others = [c for c in records.columns if c != "fields"]
+    split = once(records.select(*others, F.col("fields").alias("split")), "fields", F.col("split")).drop("split")
+    return split.join(headers, "path")
 
 
 def _cell(field: str) -> Column:

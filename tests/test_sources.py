@@ -242,3 +242,14 @@ def test_registered_format(spark, tmp_path):
         del registry.FORMATS["beeps"]
     with pytest.raises(ValueError):
         registry.detect(registry.catalog(spark, [str(path)]), forced="nothing")
+
+
+def test_costly_columns_are_not_copied_into_filters(spark):
+    """Positions of columns and blank cells are found after the events are dealt to tasks, once."""
+    made = spark.range(30).repartition(3).selectExpr(
+        "'f' AS path", "id + 1 AS row_no", "0 AS mtime_us",
+        "if(id = 0, array('time', 'subtype'), array(concat('2024-01-01 00:00:', id + 10), 'deauth')) AS fields")
+    rows = delimited.frame_rows(made, AnalysisParams(timezone="UTC"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in plan if "+- Filter" in line and ("array_position" in line or "concat" in line)]
+    assert rows.filter("kind = 'deauth'").count() == 29
