@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coincide.functions import display, frames, mac, reasons, times
+from coincide.functions.let import once
 from coincide.operators import floods as fl
 from coincide.operators.incidents import incidents
 from coincide.params import AnalysisParams
@@ -241,9 +242,10 @@ def _log_line() -> Column:
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    return spelled(spark, sf_dir).select(
+    # Spelled once: the reader's filter on lines is not copied below the exchange of the events.
+    return once(spelled(spark, sf_dir), "line", _log_line()).select(
         F.lit("fw.log").alias("path"), (F.lit(YEAR_START_US) + F.lit(40 * 86_400_000_000)).alias("mtime_us"),
-        F.col("event_id").alias("line_no"), _log_line().alias("line"),
+        F.col("event_id").alias("line_no"), "line",
     )
 
 

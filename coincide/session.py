@@ -33,7 +33,15 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work to all cores when the input has fewer splits than there are."""
+#: Rows with costly work that one task takes.
+ROWS_PER_TASK = 50_000
+
+
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Deal rows with costly work to all cores, and to more tasks the more rows there are.
+
+    Splits of a file may be few or uneven (a Parquet row group lies in one split), so tasks are
+    numbered by rows. Counting reads only the footers of Parquet files.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // rows_per_task)))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from coincide.params import AnalysisParams
 from coincide.schema import EVENT_SCHEMA
+from coincide.session import spread
 from coincide.sources import airodump, api_json, capture, clips, delimited, ingest, kismet, registry, syslog
 
 P = AnalysisParams(log_year=2026)
@@ -253,3 +254,11 @@ def test_costly_columns_are_not_copied_into_filters(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not [line for line in plan if "+- Filter" in line and ("array_position" in line or "concat" in line)]
     assert rows.filter("kind = 'deauth'").count() == 29
+
+
+def test_spread_deals_by_rows(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    given = spark.read.parquet(str(tmp_path / "t"))
+    sizes = [len(part) for part in spread(given, 50).rdd.glom().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 60
+    assert spread(given).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
