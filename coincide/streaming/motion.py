@@ -56,29 +56,26 @@ def debounce_stream(events: DataFrame, min_gap_us: int) -> DataFrame:
     """STR02: per camera, drop an event less than ``min_gap_us`` after the last kept one.
 
     An event older than the last kept one is kept, since it cannot be an echo of it. The state is
-    one number per camera. Events are taken as they arrive, those of one Arrow batch in order of time;
-    ``debounce_ordered`` puts all of them in order.
+    one number per camera. Events are taken as they arrive, those of one trigger in order of time
+    (a camera's events of a trigger are held together for that); ``debounce_ordered`` puts all of
+    them in order.
     """
 
     def keep(
         key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for part in sorted_parts(parts):
-            kept = []
-            for ts in part["ts_us"]:
-                fresh = last is None or not 0 <= ts - last < min_gap_us
-                if fresh:
-                    last = int(ts)
-                kept.append(fresh)
-            yield part.loc[kept, ["camera", "ts_us", "seq", "notes"]]
+        # Arrow batches may cut a camera's events anywhere, so they are put in order together.
+        part = pd.concat(parts, ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
+        kept = []
+        for ts in part["ts_us"].tolist():
+            fresh = last is None or not 0 <= ts - last < min_gap_us
+            if fresh:
+                last = ts
+            kept.append(fresh)
         if last is not None:
             state.update((last,))
-
-    def sorted_parts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Each Arrow batch is put in order by itself; the rule allows late rows.
-        for part in parts:
-            yield part.sort_values(["ts_us", "seq"], kind="stable")
+        yield part.loc[kept, ["camera", "ts_us", "seq", "notes"]]
 
     return events.groupBy("camera").applyInPandasWithState(
         keep, OUTPUT, "last_us bigint", "append", GroupStateTimeout.NoTimeout
@@ -86,49 +83,65 @@ def debounce_stream(events: DataFrame, min_gap_us: int) -> DataFrame:
 
 
 class OrderedDebounce(StatefulProcessor):
-    """Holds a camera's events until the watermark has passed them, then takes them in order of time.
+    """Holds a camera's events until the watermark has passed their slot, then takes them in order of time.
 
-    Waiting events are kept in slots of ``slot_us`` by their time, so that a timer reads no more than the
-    slots that have become due, one after another.
+    Waiting events are a list of what each trigger brought; one timer, for the first slot that is not over,
+    takes all that has become due. So a camera costs a few calls to its state per trigger, however many slots
+    its events lie in. What waits for a camera is held at once when its timer goes off.
     """
 
+    COLUMNS = ["ts_us", "seq", "notes"]
+
     def __init__(self, min_gap_us: int, slot_us: int) -> None:
         self.min_gap_us, self.slot_us = min_gap_us, slot_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "last_us bigint")
-        self.waiting = handle.getMapState("waiting", "slot bigint", "ts_us array<bigint>, seq array<bigint>, notes array<string>")
+        self.waiting = handle.getListState("waiting", "ts_us array<bigint>, seq array<bigint>, notes array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        over = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000 // self.slot_us  # slots before it are over
-        for part in rows:
-            part = part[part["ts_us"] // self.slot_us >= over]
-            for slot, some in part.groupby(part["ts_us"] // self.slot_us):
-                fresh = [some[c].tolist() for c in ("ts_us", "seq", "notes")]
-                held = self.waiting.getValue((int(slot),)) if self.waiting.containsKey((int(slot),)) else ([], [], [])
-                self.waiting.updateValue((int(slot),), tuple([*h, *f] for h, f in zip(held, fresh)))
-                self.handle.registerTimer(self._due(int(slot)))
+        over = self._over(timerValues)
+        fresh = [part.loc[part["ts_us"] // self.slot_us >= over, self.COLUMNS] for part in rows]
+        fresh = pd.concat(fresh, ignore_index=True)
+        if len(fresh):
+            self.waiting.appendValue(self._held(fresh))
+            self._wake(fresh)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slot_us - 1
-        held = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else None
-        if held is not None:
-            self.waiting.removeKey((slot,))
-            part = pd.DataFrame(dict(zip(("ts_us", "seq", "notes"), held))).sort_values(["ts_us", "seq"], kind="stable")
-            last = self.last.get()[0] if self.last.exists() else None
-            kept = []
-            for ts in part["ts_us"]:
-                fresh = last is None or not 0 <= ts - last < self.min_gap_us
-                last = int(ts) if fresh else last
-                kept.append(fresh)
-            self.last.update((last,))
-            yield part.loc[kept].assign(camera=key[0])[["camera", "ts_us", "seq", "notes"]]
-
-    def _due(self, slot: int) -> int:
-        """When a slot is over, in milliseconds."""
-        return (slot + 1) * self.slot_us // 1000
+        held = [pd.DataFrame(dict(zip(self.COLUMNS, some))) for some in self.waiting.get()] if self.waiting.exists() else []
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        due = rows["ts_us"] // self.slot_us < self._over(timerValues)
+        if not due.any():
+            return
+        if due.all():
+            self.waiting.clear()
+        else:
+            self.waiting.put([self._held(rows[~due])])
+            self._wake(rows[~due])
+        part = rows[due].sort_values(["ts_us", "seq"], kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
+        kept = []
+        for ts in part["ts_us"].tolist():
+            fresh = last is None or not 0 <= ts - last < self.min_gap_us
+            last = ts if fresh else last
+            kept.append(fresh)
+        self.last.update((last,))
+        yield part.loc[kept].assign(camera=key[0])[["camera", *self.COLUMNS]]
+
+    def _held(self, rows: pd.DataFrame) -> tuple:
+        return tuple(rows[c].tolist() for c in self.COLUMNS)
+
+    def _over(self, timerValues) -> int:
+        """Slots before it are over."""
+        return max(timerValues.getCurrentWatermarkInMs(), 0) * 1000 // self.slot_us
+
+    def _wake(self, rows: pd.DataFrame) -> None:
+        """A timer, in milliseconds, for when the first slot of the rows is over."""
+        self.handle.registerTimer((int(rows["ts_us"].min()) // self.slot_us + 1) * self.slot_us // 1000)
 
     def close(self) -> None:
         pass
@@ -138,8 +151,8 @@ def debounce_ordered(events: DataFrame, min_gap_us: int, delay_us: int, slot_us:
     """STR02 in order of time, whatever the order of arrival: the same rows as one sorted pass.
 
     Events wait in slots of ``slot_us`` (whole milliseconds) until the watermark, the latest event time less
-    ``delay_us``, has passed the slot; event-time timers then take the slots in order. The state is one number
-    and the waiting slots of a camera. Events in a slot that an earlier trigger's watermark has passed are late
+    ``delay_us``, has passed the slot; event-time timers then take those that are due in order. The state is one
+    number and the waiting events of a camera. Events in a slot that an earlier trigger's watermark has passed are late
     and left out; times before 1970 are late in any stream with a watermark. Run it under ``rocksdb_state``.
     """
     if slot_us % 1000:

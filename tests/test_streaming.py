@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from coincide.operators.dedupe import debounce
 from coincide.operators.floods import flood_frames, floods
@@ -7,7 +8,7 @@ from coincide.operators.incidents import incidents
 from coincide.schema import categorize, conform
 from coincide.session import shared_dir
 from coincide.streaming.incidents import flood_alerts, incident_stream
-from coincide.streaming.motion import OUTPUT, debounce_ordered, debounce_stream, is_motion, motion_events, rocksdb_state, write_events
+from coincide.streaming.motion import OUTPUT, OrderedDebounce, debounce_ordered, debounce_stream, is_motion, motion_events, rocksdb_state, write_events
 from pyspark.sql import functions as F
 
 SCHEMA = "camera string, ts_us bigint, seq bigint, topic string, state string, source string"
@@ -106,6 +107,47 @@ def test_flood_alerts(spark, tmp_path):
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] == -(-(window + slide) // slide)
 
 
+def test_one_trigger_is_debounced_in_order_of_time(spark, tmp_path):
+    """Rows that come in any order and in many Arrow batches give the rows of one sorted pass."""
+    draw = random.Random(3)
+    rows = [(draw.choice(["front", "back"]), draw.randrange(3000 * S), i, f"n{i}") for i in range(600)]
+    given = spark.createDataFrame(rows, "camera string, ts_us bigint, seq bigint, notes string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found, _ = streamed(spark, tmp_path, [given], lambda e: debounce_stream(e, 9 * S))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows_of(found, "camera", "ts_us", "seq", "notes") == rows_of(debounce(given, ["camera"], 9 * S), "camera", "ts_us", "seq", "notes")
+
+
+class Calls:
+    """A state handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.held = 0, []
+
+    def __getattr__(self, name):
+        def called(*args):
+            self.n += 1
+            self.held += list(args) if name == "appendValue" else []
+            return self if name.startswith("get") else None
+
+        return called
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_waiting_costs_a_few_calls_however_many_slots():
+    calls = Calls()
+    held = OrderedDebounce(9 * S, 50 * S)
+    held.init(calls)
+    before = calls.n
+    part = pd.DataFrame({"ts_us": [i * 50 * S for i in range(400)], "seq": range(400), "notes": "n"})
+    assert list(held.handleInputRows(("front",), iter([part]), calls)) == []
+    assert calls.n - before <= 4
+
+
 @pytest.mark.parametrize("arrow_rows", [7, 10_000])
 def test_ordered_debounce(spark, tmp_path, arrow_rows):
     """Any order of arrival within the delay gives the rows of one sorted pass."""
