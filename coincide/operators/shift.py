@@ -164,10 +164,7 @@ def shift_test(
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hits = [_hits(row, seed, mode, trials) for row in batch.itertuples(index=False)]
-            reached = [int((h >= goal).sum()) for h, goal in zip(hits, batch["n_coincident"])]
-            out = batch[["case_id", "window_us"]]
-            yield out.assign(reached=reached, total=[int(h.sum()) for h in hits])
+            yield _told(batch, seed, mode, trials)
 
     told = _work(pieces.filter("whole"), trials).mapInPandas(tell, "case_id string, window_us bigint, reached bigint, total bigint")
     apart = _by_trial(pieces.filter("NOT whole").drop("n_coincident", "whole"), trials, seed, mode)
@@ -192,6 +189,16 @@ def shift_test(
     )
 
 
+def _told(batch: pd.DataFrame, seed: int, mode: str, trials: int) -> pd.DataFrame:
+    """How many trials reach a row's observed hits, and their sum; only one row's trials are held at a time."""
+    reached, total = [], []
+    for row in batch.itertuples(index=False):
+        hits = _hits(row, seed, mode, trials)
+        reached.append(int((hits >= row.n_coincident).sum()))
+        total.append(int(hits.sum()))
+    return batch[["case_id", "window_us"]].assign(reached=reached, total=total)
+
+
 def _hits(row, seed: int, mode: str, trials: int) -> np.ndarray:
     """Hits of one block of anchors in one slice, for a share of the trials."""
     span = row.hi_us - row.lo_us

@@ -1,6 +1,10 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import brute
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +144,26 @@ def test_width_counts_and_shift(spark, chunks):
                 assert shifted[(case, width, trial)] == brute.hits(moved, i, width)
 
 
+def piece(base, starts, ends, span, trials, n=1, **more):
+    """A row of the shift test's work: one block of anchors in one slice, all trials."""
+    values = dict(
+        case_id="c", window_us=10 * S, lo_us=0, hi_us=span, low_us=span // 50, first_trial=0, share=trials, slice=0, length=span,
+        ts=np.asarray(base), n=np.broadcast_to(n, len(base)), starts=np.asarray(starts), ends=np.asarray(ends), n_coincident=1,
+    )
+    return SimpleNamespace(**values | more)
+
+
+def test_shift_memory_of_many_cases():
+    """The trials of one case are held at a time, not those of a whole batch (2,000 x 80 KB before)."""
+    rows = [vars(piece([5, 9, 400], [0, 300], [50, 310], 1000, 10_000, case_id=f"c{k}")) for k in range(2000)]
+    tracemalloc.start()
+    told = shift._told(pd.DataFrame(rows), 5, "grid", 10_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(told) == 2000 and told["total"].nunique() == 1
+    assert peak < 40_000_000
+
+
 @pytest.mark.parametrize("block, share, slices", [(1 << 13, 1 << 23, 1 << 20), (1 << 13, 64, 3), (4, 1 << 23, 1 << 20), (3, 1, 2)])
 def test_shift_test(spark, monkeypatch, block, share, slices):
     """The same numbers from cases in one piece and in many, and from one share of the trials and from many."""
