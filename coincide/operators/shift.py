@@ -4,8 +4,10 @@ Each trial slides all anchors of a case around its period and recounts hits on a
 disjoint disruption intervals. Merged intervals are at least two windows long, so a stretch of time
 has a bounded number of them, however many disruptions it has: the period is cut into slices that
 hold ``SLICE_INTERVALS`` at most (one slice up to about 240 days at the least width), and each block
-of anchors counts its hits in each slice, all trials at once or, where a block has many anchors, for a
-share of them.
+of anchors counts its hits in each slice, all trials at once or, where there is much to count, for a
+share of them. A trial moves a block into few slices, and only those look at it. There it counts by the
+smaller side: the anchors between two edges of intervals, or each anchor by a table of the time that
+tells most of them without a search.
 
 The test needs two numbers of a case: how many trials reach the observed hits, and the mean. A case with one
 block and one slice gives them where its hits are counted, so nothing as long as the trials leaves the task.
@@ -26,9 +28,15 @@ from coincide.operators.association import each_width
 from coincide.operators.ordered import CHUNK, Ordered, Running
 from coincide.session import durable
 
-# Limits: anchors per block, anchors times trials per row of work, intervals per slice of the period.
-BLOCK_ANCHORS, SHARE_SIZE = 1 << 13, 1 << 23
+# Limits: anchors per block, anchors (or edges, if fewer) times trials per row of work, intervals per slice of
+# the period. A block meets every slice, so the larger both are, the less is shuffled.
+BLOCK_ANCHORS, SHARE_SIZE = 1 << 17, 1 << 27
 SLICE_INTERVALS = 1 << 20
+# Blocks up to this size are counted for many trials at once; cells of the table for an edge, and in all.
+FEW_ANCHORS = 1 << 10
+CELLS_PER_EDGE, MOST_CELLS = 32, 1 << 25
+# Cases and widths whose trials a task adds up before it hands them on.
+HELD_CASES = 64
 
 
 def lowest_shift(span: Column, w: Column) -> Column:
@@ -95,7 +103,9 @@ def _blocks(around: Ordered) -> DataFrame:
 
 def _work(pieces: DataFrame, trials: int) -> DataFrame:
     """Pieces (a block of anchors in a slice) with the trials to count, dealt over all tasks."""
-    share = F.greatest(F.lit(1), F.least(F.lit(trials), F.call_function("div", F.lit(SHARE_SIZE), F.size("anchors"))))
+    in_slice = F.col("length") / F.greatest(F.col("hi_us") - F.col("lo_us"), F.col("length"))
+    cost = F.greatest(F.lit(1), (in_slice * F.least(F.size("anchors"), 4 * F.size("starts"))).cast("bigint"))
+    share = F.greatest(F.lit(1), F.least(F.lit(trials), F.call_function("div", F.lit(SHARE_SIZE).cast("bigint"), cost)))
     return (
         pieces.withColumn("share", share.cast("int"))
         .withColumn("first_trial", F.explode(F.expr(f"sequence(0, {trials - 1}, share)")))
@@ -109,18 +119,22 @@ def _work(pieces: DataFrame, trials: int) -> DataFrame:
 def _by_trial(pieces: DataFrame, trials: int, seed: int, mode: str) -> DataFrame:
     """Hits per case, width and trial, added up over a case's pieces."""
 
+    def rows(held: dict) -> Iterator[pd.DataFrame]:
+        for (case, width), hits in held.items():
+            yield pd.DataFrame({"case_id": case, "window_us": width, "trial": np.arange(trials), "hits": hits})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
+                key = (row.case_id, row.window_us)
+                if key not in held and len(held) == HELD_CASES:
+                    yield from rows(held)
+                    held = {}
                 hits = _hits(row, seed, mode, trials)
-                yield pd.DataFrame(
-                    {
-                        "case_id": row.case_id,
-                        "window_us": row.window_us,
-                        "trial": np.arange(row.first_trial, row.first_trial + len(hits)),
-                        "hits": hits,
-                    }
-                )
+                whole = held.setdefault(key, np.zeros(trials, dtype=np.int64))
+                whole[row.first_trial : row.first_trial + len(hits)] += hits
+        yield from rows(held)
 
     return (
         _work(pieces, trials)
@@ -211,13 +225,8 @@ def _hits(row, seed: int, mode: str, trials: int) -> np.ndarray:
     starts, ends = np.asarray(row.starts), np.asarray(row.ends)
     edges = np.column_stack([np.maximum(starts, begin), np.minimum(ends, end - 1) + 1]).ravel()
     hits = np.zeros(len(offsets), dtype=np.int64)
-    if end < span:  # several slices: only the anchors that a trial moves into this one
-        for i, offset in enumerate(offsets):
-            for turn in (0, span):
-                a, b = np.searchsorted(base, [begin + turn - offset, min(end, span) + turn - offset])
-                inside = np.searchsorted(edges, base[a:b] + (offset - turn), side="right") & 1
-                hits[i] += int(inside @ weight[a:b])
-        return hits
+    if end < span or len(base) > FEW_ANCHORS:
+        return _block_hits(base, weight, edges, offsets, span)
     step = max(1, 1_000_000 // max(len(base), 1))
     for at in range(0, len(offsets), step):
         moved = base[None, :] + offsets[at : at + step, None]
@@ -225,3 +234,46 @@ def _hits(row, seed: int, mode: str, trials: int) -> np.ndarray:
         inside = np.searchsorted(edges, moved, side="right") & 1
         hits[at : at + step] = np.where(moved >= begin, inside, 0) @ weight
     return hits
+
+
+def _block_hits(base: np.ndarray, weight: np.ndarray, edges: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
+    """Hits of a block, trial by trial, each before and after its turn around the period.
+
+    Nothing before the first edge or from the last one on is inside.
+    """
+    hits = np.zeros(len(offsets), dtype=np.int64)
+    single, upto, table = bool((weight == 1).all()), np.concatenate(([0], np.cumsum(weight))), None
+    first = int(edges[0])
+    for turn in (0, span) if span > 0 else (0,):
+        moves = offsets - turn
+        low, high = np.searchsorted(base, first - moves), np.searchsorted(base, edges[-1] - moves)
+        there = np.flatnonzero(low < high)
+        before = np.searchsorted(edges, base[low[there]] + moves[there], side="right")
+        after = np.searchsorted(edges, base[high[there] - 1] + moves[there], side="right")
+        for i, e, f in zip(there.tolist(), before.tolist(), after.tolist()):
+            a, b, move = int(low[i]), int(high[i]), int(moves[i])
+            if 2 * (f - e) < b - a:  # few edges: the anchors between them
+                cuts = np.searchsorted(base[a:b], edges[e:f] - move) + a
+                between = np.diff(upto[np.concatenate(([a], cuts, [b]))])
+                hits[i] += int(between[1 - (e & 1) :: 2].sum())
+                continue
+            if table is None:
+                table, bits = _table(edges)
+            moved = base[a:b] + (move - first)
+            told = table[moved >> bits]
+            unsure = np.flatnonzero(told == 2)
+            told[unsure] = np.searchsorted(edges, moved[unsure] + first, side="right") & 1
+            hits[i] += np.count_nonzero(told) if single else int(weight[a:b] @ told)
+    return hits
+
+
+def _table(edges: np.ndarray) -> tuple[np.ndarray, int]:
+    """Cells of 2**bits microseconds from the first edge on: outside (0), inside (1), or with an edge in it (2)."""
+    cells = min(CELLS_PER_EDGE * len(edges), MOST_CELLS)
+    bits = int((edges[-1] - edges[0]) // cells).bit_length()
+    at, n = np.unique((edges - edges[0]) >> bits, return_counts=True)
+    table = np.zeros(int(at[-1]) + 2, dtype=np.int8)
+    table[at + 1] = n & 1
+    np.bitwise_xor.accumulate(table, out=table)
+    table[at] = 2
+    return table, bits

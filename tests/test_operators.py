@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 from types import SimpleNamespace
 
@@ -153,6 +154,42 @@ def piece(base, starts, ends, span, trials, n=1, **more):
     return SimpleNamespace(**values | more)
 
 
+@pytest.mark.parametrize("n_anchors, n_intervals, heavy", [(40, 300, True), (300, 300, False), (300, 300, True), (3000, 2, False), (2000, 40, True)])
+def test_shift_hits_of_blocks(monkeypatch, n_anchors, n_intervals, heavy):
+    """Few edges, a table or all trials at once: the same hits, in one slice and in several."""
+    rng, span, trials = np.random.default_rng(7), 100_000, 60
+    base = np.unique(rng.integers(0, span + 1, n_anchors))
+    n = rng.integers(1, 4, len(base)) if heavy else np.ones(len(base), int)
+    edges = np.unique(rng.integers(0, span, 2 * n_intervals))
+    starts, ends = edges[: len(edges) // 2 * 2 : 2], edges[1::2] - 1
+    inside = np.zeros(3 * span, bool)
+    for a, b in zip(starts, ends):
+        inside[a : b + 1] = True
+    for mode in ("grid", "numpy"):
+        offsets = shift_offsets(5, mode, trials, span // 50, span)
+        moved = base[None, :] + offsets.astype(int)[:, None]
+        want = (inside[np.where(moved >= span, moved - span, moved)] @ n).tolist()
+        for few in (0, 1 << 10, 1 << 20):
+            for length in (span, span // 3):
+                monkeypatch.setattr(shift, "FEW_ANCHORS", few)
+                got = np.zeros(trials, int)
+                for k in range(-(-span // length)):
+                    near = (starts // length <= k) & (ends // length >= k)
+                    if near.any():
+                        got += shift._hits(piece(base, starts[near], ends[near], span, trials, n, slice=k, length=length), 5, mode, trials)
+                assert got.tolist() == want
+
+
+def test_shift_time_of_many_anchors():
+    """Anchors are not looked up one by one where few intervals lie among them (a minute before)."""
+    span, trials = 10**9, 10_000
+    base = np.arange(0, span, 5_000)
+    began = time.process_time()
+    hits = shift._hits(piece(base, [0], [span // 2 - 1], span, trials), 5, "grid", trials)
+    assert time.process_time() - began < 15
+    assert set(hits.tolist()) == {len(base) // 2}
+
+
 def test_shift_memory_of_many_cases():
     """The trials of one case are held at a time, not those of a whole batch (2,000 x 80 KB before)."""
     rows = [vars(piece([5, 9, 400], [0, 300], [50, 310], 1000, 10_000, case_id=f"c{k}")) for k in range(2000)]
