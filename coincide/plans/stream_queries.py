@@ -34,7 +34,8 @@ def landed(rows: DataFrame) -> DataFrame:
 def stx1_incidents(spark, sf_dir):
     """Incidents that the last watermark has closed."""
     seen = canonical(event_stream(spark, sf_dir), view_resets=True, types=("error", "view"))
-    found = landed(live.incident_stream(seen, WIDE_GAP, DELAY))
+    with live.sessions_merged_early(spark):
+        found = landed(live.incident_stream(seen, WIDE_GAP, DELAY))
     return found.selectExpr(
         "case_id", "start_us", "end_us", "n_events", "array_join(kinds, ',') AS kinds", "array_join(src_macs, ',') AS src_macs",
         "array_join(client_macs, ',') AS client_macs", "array_join(cast(reason_codes AS array<string>), ',') AS reason_codes",

@@ -9,13 +9,17 @@ of the rows a rule looks at (disruptions, frames); Spark keeps it in whole milli
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coincide.operators.incidents import rollup
 from coincide.schema import disruptions, frames
 
 EVENT_TIME = "event_time"
+MERGE_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def timed(events: DataFrame, delay_us: int) -> DataFrame:
@@ -28,6 +32,7 @@ def incident_stream(events: DataFrame, gap_us: int, delay_us: int) -> DataFrame:
 
     An incident goes on as long as no pause is *longer* than the gap, which is when sessions merge. A row at or
     before the watermark is late: it is left out if its session would be over, else it may stand alone.
+    A case's sessions meet in one task; run it under ``sessions_merged_early``, so that these are not its rows.
     """
     session = F.session_window(EVENT_TIME, f"{gap_us} microseconds")
     start = F.min("ts_us").alias("start_us")
@@ -39,6 +44,18 @@ def incident_stream(events: DataFrame, gap_us: int, delay_us: int) -> DataFrame:
     )
 
 
+@contextmanager
+def sessions_merged_early(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside merge the sessions of a task before the shuffle, which else moves a session for
+    every row; the session's own setting holds again afterwards."""
+    before = spark.conf.get(MERGE_EARLY, None)
+    spark.conf.set(MERGE_EARLY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(MERGE_EARLY, before) if before else spark.conf.unset(MERGE_EARLY)
+
+
 def flood_alerts(
     events: DataFrame, window_us: int, threshold: int, slide_us: int, delay_us: int
 ) -> DataFrame:

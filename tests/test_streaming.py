@@ -7,7 +7,7 @@ from coincide.operators.floods import flood_frames, floods
 from coincide.operators.incidents import incidents
 from coincide.schema import categorize, conform
 from coincide.session import shared_dir
-from coincide.streaming.incidents import flood_alerts, incident_stream
+from coincide.streaming.incidents import MERGE_EARLY, flood_alerts, incident_stream, sessions_merged_early
 from coincide.streaming.motion import OUTPUT, OrderedDebounce, debounce_ordered, debounce_stream, is_motion, motion_events, rocksdb_state, write_events
 from pyspark.sql import functions as F
 
@@ -85,6 +85,26 @@ def test_incident_stream(spark, tmp_path):
     assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress) == 1
 
 
+def test_incident_stream_merged_early(spark, tmp_path, capsys):
+    """A long incident and a late row: the same rows, and sessions are merged before they are shuffled too."""
+    rows = [[("a", t, "deauth", "xyz"[t % 3]) for t in range(2000)] + [("b", 5, "alert", None)], [("a", 9000, "deauth", "x"), ("a", 100, "deauth", "late")],
+            [("a", 9500, "deauth", "x"), ("a", 2100, "deauth", "late"), ("a", 9030, "deauth", "y")], [("b", 20000, "deauth", "q")]]
+    batches = [events(spark, b) for b in rows]
+    plain, _ = streamed(spark, tmp_path / "plain", batches, lambda e: incident_stream(e, 60 * S, 10 * S))
+    before = spark.conf.get(MERGE_EARLY)
+    with sessions_merged_early(spark):
+        early, _ = streamed(spark, tmp_path / "early", batches, lambda e: incident_stream(e, 60 * S, 10 * S))
+        stream = spark.readStream.schema(batches[0].schema).json(f"{tmp_path}/early/in/*")
+        query = write_events(incident_stream(stream, 60 * S, 10 * S), f"{tmp_path}/again", f"{tmp_path}/checkpoint", "parquet")
+        query.awaitTermination(200)
+    assert spark.conf.get(MERGE_EARLY) == before
+    assert rows_of(early, *early.columns) == rows_of(plain, *plain.columns) and early.count() >= 4
+    capsys.readouterr()
+    query.explain()
+    plan = capsys.readouterr().out
+    assert "MergingSessions" in plan[plan.index("Exchange"):]
+
+
 def test_flood_alerts(spark, tmp_path):
     draw = random.Random(4)
     rows = sorted((draw.choice("ab"), round(draw.choice([500, 2000, 5000]) + draw.random() * 400, 3), "deauth", "x") for _ in range(150))
