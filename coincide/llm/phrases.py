@@ -4,9 +4,11 @@ Texts are cut into pieces and words, per language. Nodes are runs of four words,
 ``LONGEST`` = 5 words that leads from its first four to its last four; its weight is how often it occurs.
 Where a piece ends (or can't go on, see below), the shorter run that is left there is an *end*.
 
-1. Words are counted, then pairs of frequent words. A phrase that is frequent enough has only frequent pairs,
-   and so do all parts of it; runs may therefore be cut at rare pairs without changing any count that
-   matters. Which are frequent is told by bitmaps of fixed size (false hits only keep more).
+1. Words are counted, then pairs of frequent words, then triples of frequent pairs. A phrase that is frequent
+   enough has only frequent pairs and triples, and so do all parts of it; runs may therefore be cut at rare
+   ones without changing any count that matters. Which are frequent is told by bitmaps of fixed size (false
+   hits only keep more). Once the pairs are known, the texts are written as their *stretches*, the words
+   between rare pairs; triples and runs are read from those.
 2. Every place gives the run of up to five words that begins there: an edge, or an end. Each task adds up equal
    runs before they are shuffled by the whole run, so a hot word or pair can't gather.
 3. A shorter run's count is the flow out of its node: the weights of all runs one word longer that begin with
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coincide.llm.stage import written
-from coincide.llm.text import LOWER, as_bytes, chunks, hashes, mapped, mix, words
+from coincide.llm.text import LOWER, as_bytes, chunks, hashes, lists, mapped, mix, words
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BITS = 1 << 26
 CHUNK, HELD, PIECE = 4 << 20, 1 << 20, 1024
+#: Words that begin runs in one row of stretches; up to ``LONGEST`` - 1 of the next row follow them.
+PLACES = 4096
 _U = np.uint64
 _K = _U(0x9E3779B97F4A7C15)
 #: Fixed by the definition: what ends a piece, and what stands between its words.
@@ -50,7 +54,22 @@ INSIDE[[0x20, 0x09]] = False
 W = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
-class Words:
+class Coded:
+    """Words by their hashes ``h``, codes of their language, and whether the next word goes on."""
+
+    h: np.ndarray
+    code: np.ndarray
+    goes_on: np.ndarray
+
+    def named(self, size: int) -> np.ndarray:
+        """A code of the ``size`` words from each word on (what follows the last words is never asked for)."""
+        out, h = mix(self.h ^ (self.code * _K)), np.concatenate((self.h, np.zeros(size, _U)))
+        for k in range(1, size):
+            out = mix(out * _K + h[k : k + len(out)])
+        return out
+
+
+class Words(Coded):
     """Words of a chunk of texts: spans, hashes, language, and whether the next word follows in the piece."""
 
     def __init__(self, chunk: pa.RecordBatch) -> None:
@@ -71,12 +90,35 @@ class Words:
         pick = np.repeat(self.starts[some] - off[:-1], size) + np.arange(off[-1])
         return pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(self.buf[pick])])
 
-    def named(self, size: int) -> np.ndarray:
-        """A code of the ``size`` words from each word on (what follows the last words is never asked for)."""
-        out, h = mix(self.h ^ (self.code * _K)), np.concatenate((self.h, np.zeros(size, _U)))
-        for k in range(1, size):
-            out = mix(out * _K + h[k : k + len(out)])
-        return out
+
+class Stretches(Coded):
+    """Words of rows of stretches; ``own``: those that begin runs in their row."""
+
+    def __init__(self, rows: pa.RecordBatch) -> None:
+        lc, held, places = (rows.column(k) for k in range(3))
+        first = np.asarray(held.offsets).astype(np.int64)
+        first -= first[0]
+        row = np.repeat(np.arange(rows.num_rows), np.diff(first))
+        self.h = np.asarray(held.flatten()).view(_U)
+        self.code = np.asarray(lc).view(_U)[row]
+        self.own = (self.h != 0) & (np.arange(len(row)) - first[row] < np.asarray(places)[row])
+        self.goes_on = np.zeros(len(row), bool)
+        self.goes_on[:-1] = (self.h[:-1] != 0) & (self.h[1:] != 0) & (row[1:] == row[:-1])
+
+
+def _of_texts(batches):
+    for chunk in chunks(batches, "text", CHUNK):
+        yield Words(chunk), chunk
+
+
+def _of_stretches(batches):
+    """Rows of at most ``HELD`` words together; a longer row comes alone."""
+    for rows in batches:
+        first, begin = np.asarray(rows.column(1).offsets), 0
+        while begin < rows.num_rows:
+            end = max(begin + 1, int(np.searchsorted(first, first[begin] + HELD, "right")) - 1)
+            yield Stretches(rows.slice(begin, end - begin)), rows
+            begin = end
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -108,13 +150,13 @@ def _added(rows: list[tuple]) -> tuple:
     return code[pick], np.add.reduceat(np.concatenate(n)[order], first), *whole
 
 
-def _tallied(docs: DataFrame, schema: str, tally) -> DataFrame:
-    """What ``tally`` finds in chunks of texts, (code, n, other columns), added up as far as a task can hold."""
+def _tallied(docs: DataFrame, schema: str, tally, read=_of_texts) -> DataFrame:
+    """What ``tally`` finds in chunks of rows, (code, n, other columns), added up as far as a task can hold."""
 
     def run(batches):
         held, size = [], 0
-        for chunk in chunks(batches, "text", CHUNK):
-            found = tally(Words(chunk), chunk)
+        for some, chunk in read(batches):
+            found = tally(some, chunk)
             if not len(found[0]):
                 continue
             held.append(_added([found]))
@@ -166,24 +208,67 @@ def _frequent_pairs(docs: DataFrame, single, least: int) -> DataFrame:
     return written(counted.where(f"n >= {least}").select("code"), "pairs")
 
 
-def runs(docs: DataFrame, double) -> DataFrame:
-    """(lc, w1..w5, size, n): edges (five words) and ends (fewer), counted."""
+def stretches(docs: DataFrame, double) -> DataFrame:
+    """(lc, words, places): the words of each text whose pairs may be frequent, a 0 after each stretch of them.
 
-    def tally(w, chunk):
+    Longer texts have several rows. Runs begin at the first ``places`` words, the others follow in the next row.
+    """
+
+    def run(batches):
+        for w, _ in _of_texts(batches):
+            on = w.goes_on & _has(double.value, w.named(2))
+            at = np.flatnonzero(on | np.append(False, on[:-1]))
+            if not len(at):
+                continue
+            last = ~on[at]
+            where = np.arange(len(at)) + np.cumsum(last) - last
+            held = np.zeros(len(at) + np.count_nonzero(last), _U)
+            held[where] = w.h[at]
+            new = np.flatnonzero(np.append(True, w.text[at][1:] != w.text[at][:-1]))
+            starts, ends = where[new], np.append(where[new[1:]], len(held))
+            rows = -(-(ends - starts) // PLACES)
+            part = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+            begin, end = np.repeat(starts, rows) + PLACES * part, np.repeat(ends, rows)
+            places = np.minimum(PLACES, end - begin)
+            size = np.minimum(places + LONGEST - 1, end - begin)
+            first = np.append(0, np.cumsum(size))
+            pick = np.repeat(begin - first[:-1], size) + np.arange(first[-1])
+            columns = [_signed(np.repeat(w.code[at[new]], rows)), lists(_signed(held[pick]), first), places.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["lc", "words", "places"])
+
+    return written(mapped(docs, run, "lc bigint, words array<bigint>, places int"), "stretches")
+
+
+def _frequent_triples(held: DataFrame, least: int) -> DataFrame:
+    """(code): triples of words within stretches that occur ``least`` times."""
+
+    def tally(w, _):
+        code = w.named(3)[w.own & w.goes_on & np.append(w.goes_on[1:], False)]
+        return code, np.ones(len(code), np.int64)
+
+    counted = _tallied(held, "code bigint, n bigint", tally, _of_stretches).groupBy("code").agg(F.sum("n").alias("n"))
+    return written(counted.where(f"n >= {least}").select("code"), "triples")
+
+
+def runs(held: DataFrame, triple) -> DataFrame:
+    """(lc, w1..w5, size, n): edges (five words) and ends (fewer) of stretches, counted."""
+
+    def tally(w, _):
         h = np.concatenate((w.h, np.zeros(LONGEST, _U)))
         size = np.ones(len(w.h), np.int8)  # words of the run that begins here
-        on = np.concatenate((w.goes_on & _has(double.value, w.named(2)), np.zeros(LONGEST, bool)))
+        three = w.goes_on & np.append(w.goes_on[1:], False) & _has(triple.value, w.named(3))
         for k in range(1, LONGEST):
-            size += (size == k) & on[k - 1 : k - 1 + len(size)]
-        at = np.flatnonzero(size > 1)
+            further = w.goes_on if k == 1 else np.append(three, np.zeros(LONGEST, bool))[k - 2 : k - 2 + len(size)]
+            size += (size == k) & further
+        at = np.flatnonzero(w.own & (size > 1))
         columns = [np.where(k < size[at], h[at + k], _U(0)) for k in range(LONGEST)]
         code = w.code[at]
         for c in columns:
             code = mix(code * _K + c)
         return code, np.ones(len(at), np.int64), w.code[at], *columns, size[at]
 
-    found = _tallied(docs, "code bigint, n bigint, lc bigint, " + ", ".join(f"{w} bigint" for w in W) + ", size tinyint", tally)
-    return found.groupBy("lc", *W, "size").agg(F.sum("n").alias("n"))
+    schema = "code bigint, n bigint, lc bigint, " + ", ".join(f"{w} bigint" for w in W) + ", size tinyint"
+    return _tallied(held, schema, tally, _of_stretches).groupBy("lc", *W, "size").agg(F.sum("n").alias("n"))
 
 
 def flows(found: DataFrame) -> list[DataFrame]:
@@ -269,8 +354,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     held = _frequent_words(docs, least)
     single, totals = held.where("word is not null"), held.where("word is null").select("lc", "n")
     docs = docs.select("text", "lc")
-    double = _bitmap(_frequent_pairs(docs, _bitmap(single.select("code")), least))
-    found = phrases(written(runs(docs, double), "runs"), least)
+    near = stretches(docs, _bitmap(_frequent_pairs(docs, _bitmap(single.select("code")), least)))
+    found = phrases(written(runs(near, _bitmap(_frequent_triples(near, least))), "runs"), least)
     known = found.unionAll(single.select("lc", F.array("h").alias("words"), F.col("n").alias("a")))
     ranked = scored(whole(found), known, totals)
     best = Window.partitionBy("lc").orderBy(F.desc("score"), F.desc("a"))

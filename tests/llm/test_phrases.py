@@ -113,3 +113,25 @@ def test_flows(spark):
 def test_named_columns(spark):
     df = spark.createDataFrame([("a b " * 3, "en", 1)], "body string, tongue string, rank int")
     assert got(phrases.collocations(df, "body", "tongue", least=2)) == plainly([("a b " * 3, "en")], 2, 9)
+
+
+def test_runs_grow_with_kept_words_only(spark, monkeypatch):
+    """Pairs that become frequent in a larger input bring no runs along whose triples stay rare."""
+    made, keep = {}, phrases.written
+    monkeypatch.setattr(phrases, "written", lambda df, name, *by: made.setdefault(name, keep(df, name, *by)))
+    draw = random.Random(4)
+    rows = [(" ".join(draw.choice("abcdefghijkl") for _ in range(60)), "en") for _ in range(100)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    assert got(phrases.collocations(df, least=20)) == plainly(rows, 20, phrases.TOP)
+    pairs, triples, longer = 12**2, 12**3, made["runs"].where("size > 2").count()
+    assert made["pairs"].count() == pairs and longer < triples // 10 and made["runs"].count() <= pairs + longer
+
+
+@pytest.mark.parametrize("places", [1, 3, 7])
+def test_rows_of_stretches(spark, monkeypatch, places):
+    """Runs that cross rows of stretches count once."""
+    monkeypatch.setattr(phrases, "PLACES", places)
+    monkeypatch.setattr(phrases, "HELD", 40)
+    rows = corpus(3)[:60] + [(" ".join(["z", "y y"] * 300), "en")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    assert got(phrases.collocations(df, least=3, top=500)) == plainly(rows, 3, 500)
