@@ -8,11 +8,14 @@ Where a piece ends (or can't go on, see below), the shorter run that is left the
    enough has only frequent pairs and triples, and so do all parts of it; runs may therefore be cut at rare
    ones without changing any count that matters. Which are frequent is told by bitmaps of fixed size (false
    hits only keep more). Once the pairs are known, the texts are written as their *stretches*, the words
-   between rare pairs; triples and runs are read from those.
-2. Every place gives the run of up to five words that begins there: an edge, or an end. Each task adds up equal
-   runs before they are shuffled by the whole run, so a hot word or pair can't gather.
+   between rare pairs; triples and runs are read from those. Triples are counted by their places in the bitmap
+   only, so a task hands on counters of a fixed number, however many triples it has met.
+2. Every place whose triple may be frequent gives the run of up to five words that begins there: an edge, or an
+   end. Each task adds up equal runs before they are shuffled by the whole run, so a hot word or pair can't gather.
 3. A shorter run's count is the flow out of its node: the weights of all runs one word longer that begin with
-   it, plus the ends that are just this run. Four, three and two words follow one from another.
+   it, plus the ends that are just this run. Four and three words follow one from another. Pairs keep the counts
+   of step 1, which knows them by code only. Their words come from places where the text's *mark*, one byte of its
+   hash, is the one kept with the pair's count: all tasks that meet a pair need not name it.
 4. Edges that are frequent enough, joined at nodes with one such edge in and one out, are compacted to unary
    paths by pointer doubling; phrases of five words are read off the paths.
 5. Every cut of a phrase is scored with the counts of its two parts, in decimals of 38 digits. A phrase
@@ -40,6 +43,8 @@ from coincide.llm.text import LOWER, as_bytes, chunks, hashes, lists, mapped, mi
 LONGEST, LEAST, TOP = 5, 100, 2000
 BITS = 1 << 26
 CHUNK, HELD, PIECE = 4 << 20, 1 << 20, 1024
+#: Places of a bitmap whose counters travel in one row.
+SLICE = 1 << 16
 #: Words that begin runs in one row of stretches; up to ``LONGEST`` - 1 of the next row follow them.
 PLACES = 4096
 _U = np.uint64
@@ -95,12 +100,13 @@ class Stretches(Coded):
     """Words of rows of stretches; ``own``: those that begin runs in their row."""
 
     def __init__(self, rows: pa.RecordBatch) -> None:
-        lc, held, places = (rows.column(k) for k in range(3))
+        lc, held, places, mark = (rows.column(k) for k in range(4))
         first = np.asarray(held.offsets).astype(np.int64)
         first -= first[0]
         row = np.repeat(np.arange(rows.num_rows), np.diff(first))
         self.h = np.asarray(held.flatten()).view(_U)
         self.code = np.asarray(lc).view(_U)[row]
+        self.mark = np.asarray(mark)[row].astype(_U)
         self.own = (self.h != 0) & (np.arange(len(row)) - first[row] < np.asarray(places)[row])
         self.goes_on = np.zeros(len(row), bool)
         self.goes_on[:-1] = (self.h[:-1] != 0) & (self.h[1:] != 0) & (row[1:] == row[:-1])
@@ -150,8 +156,11 @@ def _added(rows: list[tuple]) -> tuple:
     return code[pick], np.add.reduceat(np.concatenate(n)[order], first), *whole
 
 
-def _tallied(docs: DataFrame, schema: str, tally, read=_of_texts) -> DataFrame:
-    """What ``tally`` finds in chunks of rows, (code, n, other columns), added up as far as a task can hold."""
+def _tallied(docs: DataFrame, schema: str, tally, read=_of_texts, form=None) -> DataFrame:
+    """What ``tally`` finds in chunks of rows, (code, n, other columns), added up as far as a task can hold.
+
+    ``form`` makes other columns of what was added up.
+    """
 
     def run(batches):
         held, size = [], 0
@@ -171,7 +180,7 @@ def _tallied(docs: DataFrame, schema: str, tally, read=_of_texts) -> DataFrame:
             yield out(_added(held))
 
     def out(rows):
-        code, n, *others = rows
+        code, n, *others = form(*rows) if form else rows
         names = [part.split()[0] for part in schema.split(", ")]
         columns = [_signed(code), n, *[_signed(x) if isinstance(x, np.ndarray) and x.dtype == _U else x for x in others]]
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
@@ -197,25 +206,34 @@ def _frequent_words(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _frequent_pairs(docs: DataFrame, single, least: int) -> DataFrame:
-    """(code): pairs of neighbouring words that occur ``least`` times; ``single``: which words may."""
+    """(code, n, mark): pairs of neighbouring words that occur ``least`` times; ``single``: which words may.
+
+    ``mark`` is that of some text with the pair.
+    """
 
     def tally(w, chunk):
         good = _has(single.value, w.named(1))
-        code = w.named(2)[w.goes_on & good & np.append(good[1:], False)]
-        return code, np.ones(len(code), np.int64)
+        at = np.flatnonzero(w.goes_on & good & np.append(good[1:], False))
+        return w.named(2)[at], np.ones(len(at), np.int64), _marks(chunk)[w.text[at]]
+
+    # A mark beside its code costs a byte of compressed shuffle, behind the number four.
+    counted = _tallied(docs, "code bigint, n bigint, mark smallint", tally).groupBy("code").agg(
+        F.min("mark").alias("mark"), F.sum("n").alias("n"))
+    return written(counted.where(f"n >= {least}"), "pairs")
+
 
-    counted = _tallied(docs, "code bigint, n bigint", tally).groupBy("code").agg(F.sum("n").alias("n"))
-    return written(counted.where(f"n >= {least}").select("code"), "pairs")
+def _marks(chunk: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(chunk.column(chunk.schema.get_field_index("mark")))
 
 
 def stretches(docs: DataFrame, double) -> DataFrame:
-    """(lc, words, places): the words of each text whose pairs may be frequent, a 0 after each stretch of them.
+    """(lc, words, places, mark): the words of each text whose pairs may be frequent, a 0 after each stretch of them.
 
     Longer texts have several rows. Runs begin at the first ``places`` words, the others follow in the next row.
     """
 
     def run(batches):
-        for w, _ in _of_texts(batches):
+        for w, chunk in _of_texts(batches):
             on = w.goes_on & _has(double.value, w.named(2))
             at = np.flatnonzero(on | np.append(False, on[:-1]))
             if not len(at):
@@ -233,25 +251,44 @@ def stretches(docs: DataFrame, double) -> DataFrame:
             size = np.minimum(places + LONGEST - 1, end - begin)
             first = np.append(0, np.cumsum(size))
             pick = np.repeat(begin - first[:-1], size) + np.arange(first[-1])
-            columns = [_signed(np.repeat(w.code[at[new]], rows)), lists(_signed(held[pick]), first), places.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["lc", "words", "places"])
+            mark = np.repeat(_marks(chunk)[w.text[at[new]]], rows)
+            columns = [_signed(np.repeat(w.code[at[new]], rows)), lists(_signed(held[pick]), first), places.astype(np.int32), mark]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["lc", "words", "places", "mark"])
 
-    return written(mapped(docs, run, "lc bigint, words array<bigint>, places int"), "stretches")
+    return written(mapped(docs, run, "lc bigint, words array<bigint>, places int, mark smallint"), "stretches")
 
 
 def _frequent_triples(held: DataFrame, least: int) -> DataFrame:
-    """(code): triples of words within stretches that occur ``least`` times."""
+    """(code): places of the bitmap where triples of words within stretches fall ``least`` times.
+
+    Frequent triples do by themselves; rare ones that fall together only keep more.
+    """
 
     def tally(w, _):
-        code = w.named(3)[w.own & w.goes_on & np.append(w.goes_on[1:], False)]
+        code = w.named(3)[w.own & w.goes_on & np.append(w.goes_on[1:], False)] & _U(BITS - 1)
         return code, np.ones(len(code), np.int64)
 
-    counted = _tallied(held, "code bigint, n bigint", tally, _of_stretches).groupBy("code").agg(F.sum("n").alias("n"))
-    return written(counted.where(f"n >= {least}").select("code"), "triples")
+    def sliced(place, n):
+        """A row for each slice of the bitmap: the places in it and their numbers."""
+        part = _signed(place) // SLICE
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(first, len(part))
+        return part[first], lists((_signed(place) % SLICE).astype(np.int32), ends), lists(n, ends)
+
+    def full(key, rows):
+        at, n = (np.asarray(rows.column(c).combine_chunks().flatten()) for c in ("at", "n"))
+        found = np.flatnonzero(np.bincount(at, n, SLICE) >= least)
+        return pa.table({"code": found + key[0].as_py() * SLICE})
 
+    counted = _tallied(held, "slice bigint, at array<int>, n array<bigint>", tally, _of_stretches, sliced)
+    return written(counted.groupBy("slice").applyInArrow(full, "code bigint"), "triples")
 
-def runs(held: DataFrame, triple) -> DataFrame:
-    """(lc, w1..w5, size, n): edges (five words) and ends (fewer) of stretches, counted."""
+
+def runs(held: DataFrame, triple, marked) -> DataFrame:
+    """(code, lc, w1..w5, size, n): edges (five words) and ends (four or three) of stretches, counted.
+
+    Rows of size 2 (n = 0) name the words of frequent pairs by the pair's code; ``marked``: codes and marks of those.
+    """
 
     def tally(w, _):
         h = np.concatenate((w.h, np.zeros(LONGEST, _U)))
@@ -260,21 +297,24 @@ def runs(held: DataFrame, triple) -> DataFrame:
         for k in range(1, LONGEST):
             further = w.goes_on if k == 1 else np.append(three, np.zeros(LONGEST, bool))[k - 2 : k - 2 + len(size)]
             size += (size == k) & further
-        at = np.flatnonzero(w.own & (size > 1))
-        columns = [np.where(k < size[at], h[at + k], _U(0)) for k in range(LONGEST)]
+        run, pair = np.flatnonzero(w.own & (size > 2)), w.named(2)
+        name = np.flatnonzero(w.own & w.goes_on & _has(marked.value, pair ^ w.mark))
+        at, size = np.concatenate((run, name)), np.concatenate((size[run], np.full(len(name), 2, np.int8)))
+        columns = [np.where(k < size, h[at + k], _U(0)) for k in range(LONGEST)]
         code = w.code[at]
         for c in columns:
             code = mix(code * _K + c)
-        return code, np.ones(len(at), np.int64), w.code[at], *columns, size[at]
+        code[len(run) :] = pair[name]
+        return code, (size > 2).astype(np.int64), w.code[at], *columns, size
 
     schema = "code bigint, n bigint, lc bigint, " + ", ".join(f"{w} bigint" for w in W) + ", size tinyint"
-    return _tallied(held, schema, tally, _of_stretches).groupBy("lc", *W, "size").agg(F.sum("n").alias("n"))
+    return _tallied(held, schema, tally, _of_stretches).groupBy("code", "lc", *W, "size").agg(F.sum("n").alias("n"))
 
 
-def flows(found: DataFrame) -> list[DataFrame]:
+def flows(found: DataFrame, shortest: int = 2) -> list[DataFrame]:
     """Counts of the runs of 5, 4, 3 and 2 words: each is the flow out of a node, and the ends there."""
     out = [found.where(f"size = {LONGEST}").select("lc", *W, "n")]
-    for size in range(LONGEST - 1, 1, -1):
+    for size in range(LONGEST - 1, shortest - 1, -1):
         own = found.where(f"size = {size}").select("lc", *W[:size], "n")
         out.append(out[-1].select("lc", *W[:size], "n").unionAll(own).groupBy("lc", *W[:size]).agg(F.sum("n").alias("n")))
     return out
@@ -312,14 +352,16 @@ def paths(edges: DataFrame) -> DataFrame:
     return gathered.select("lc", F.concat(start, F.col(f"steps.{W[-1]}")).alias("words"), F.col("steps.n").alias("weights"))
 
 
-def phrases(found: DataFrame, least: int) -> DataFrame:
-    """(lc, words, a): phrases of two to five words that occur ``least`` times."""
-    longest, *shorter = flows(found)
+def phrases(found: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """(lc, words, a): phrases of two to five words that occur ``least`` times; ``pairs``: those of two, by code."""
+    longest, *shorter = flows(found, 3)
     solid = paths(longest.where(f"n >= {least}"))
     at = solid.select("lc", "words", F.posexplode("weights").alias("at", "a"))
     out = [at.select("lc", F.slice("words", F.col("at") + 1, F.lit(LONGEST)).alias("words"), "a")]
-    for size, flow in zip(range(LONGEST - 1, 1, -1), shorter):
+    for size, flow in zip(range(LONGEST - 1, 2, -1), shorter):
         out.append(flow.where(f"n >= {least}").select("lc", F.array(*W[:size]).alias("words"), F.col("n").alias("a")))
+    named = found.where("size = 2").select("code", "lc", F.array(*W[:2]).alias("words"))
+    out.append(named.join(pairs.select("code", F.col("n").alias("a")), "code").select("lc", "words", "a"))
     return written(reduce(DataFrame.unionAll, out), "phrases")
 
 
@@ -353,9 +395,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     docs = docs.select(F.col(f"`{text}`").alias("text"), name.alias("lang"), F.xxhash64(name).alias("lc"))
     held = _frequent_words(docs, least)
     single, totals = held.where("word is not null"), held.where("word is null").select("lc", "n")
-    docs = docs.select("text", "lc")
-    near = stretches(docs, _bitmap(_frequent_pairs(docs, _bitmap(single.select("code")), least)))
-    found = phrases(written(runs(near, _bitmap(_frequent_triples(near, least))), "runs"), least)
+    docs = docs.select("text", "lc", F.xxhash64("text").bitwiseAND(255).cast("smallint").alias("mark"))
+    pairs = _frequent_pairs(docs, _bitmap(single.select("code")), least)
+    near = stretches(docs, _bitmap(pairs))
+    marked = _bitmap(pairs.select(F.col("code").bitwiseXOR(F.col("mark").cast("bigint")).alias("code")))
+    found = phrases(written(runs(near, _bitmap(_frequent_triples(near, least)), marked), "runs"), pairs, least)
     known = found.unionAll(single.select("lc", F.array("h").alias("words"), F.col("n").alias("a")))
     ranked = scored(whole(found), known, totals)
     best = Window.partitionBy("lc").orderBy(F.desc("score"), F.desc("a"))

@@ -135,3 +135,16 @@ def test_rows_of_stretches(spark, monkeypatch, places):
     rows = corpus(3)[:60] + [(" ".join(["z", "y y"] * 300), "en")]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
     assert got(phrases.collocations(df, least=3, top=500)) == plainly(rows, 3, 500)
+
+
+def test_rows_of_many_tasks(spark, monkeypatch):
+    """Pairs that all tasks meet aren't named by all of them, and triples bring rows by slices of the bitmap only."""
+    made, keep = [], phrases._tallied
+    monkeypatch.setattr(phrases, "_tallied", lambda *of: made.append(keep(*of).cache()) or made[-1])
+    monkeypatch.setattr(phrases, "SLICE", phrases.BITS // 16, raising=False)
+    draw = random.Random(4)
+    rows = [(" ".join(draw.choice("abcdefghijkl") for _ in range(60)), "en") for _ in range(100)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(20)
+    assert got(phrases.collocations(df, least=20)) == plainly(rows, 20, phrases.TOP)
+    _, pairs, triples, runs = (m.count() for m in made)
+    assert pairs > 10 * 12**2 and triples <= 16 * 20 and runs < 2 * 12**2
