@@ -285,9 +285,9 @@ def _frequent_triples(held: DataFrame, least: int) -> DataFrame:
 
 
 def runs(held: DataFrame, triple, marked) -> DataFrame:
-    """(code, lc, w1..w5, size, n): edges (five words) and ends (four or three) of stretches, counted.
+    """(lc, w1..w5, size, pair, n): edges (five words) and ends (four or three) of stretches, counted.
 
-    Rows of size 2 (n = 0) name the words of frequent pairs by the pair's code; ``marked``: codes and marks of those.
+    Rows of size 2 (n = 0) name the words of a frequent pair by its code, ``pair``, else 0; ``marked``: codes and marks.
     """
 
     def tally(w, _):
@@ -304,11 +304,10 @@ def runs(held: DataFrame, triple, marked) -> DataFrame:
         code = w.code[at]
         for c in columns:
             code = mix(code * _K + c)
-        code[len(run) :] = pair[name]
-        return code, (size > 2).astype(np.int64), w.code[at], *columns, size
+        return code, (size > 2).astype(np.int64), w.code[at], *columns, size, np.where(size == 2, pair[at], _U(0))
 
-    schema = "code bigint, n bigint, lc bigint, " + ", ".join(f"{w} bigint" for w in W) + ", size tinyint"
-    return _tallied(held, schema, tally, _of_stretches).groupBy("code", "lc", *W, "size").agg(F.sum("n").alias("n"))
+    schema = "code bigint, n bigint, lc bigint, " + ", ".join(f"{w} bigint" for w in W) + ", size tinyint, pair bigint"
+    return _tallied(held, schema, tally, _of_stretches).groupBy("lc", *W, "size", "pair").agg(F.sum("n").alias("n"))
 
 
 def flows(found: DataFrame, shortest: int = 2) -> list[DataFrame]:
@@ -360,7 +359,7 @@ def phrases(found: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     out = [at.select("lc", F.slice("words", F.col("at") + 1, F.lit(LONGEST)).alias("words"), "a")]
     for size, flow in zip(range(LONGEST - 1, 2, -1), shorter):
         out.append(flow.where(f"n >= {least}").select("lc", F.array(*W[:size]).alias("words"), F.col("n").alias("a")))
-    named = found.where("size = 2").select("code", "lc", F.array(*W[:2]).alias("words"))
+    named = found.where("size = 2").select(F.col("pair").alias("code"), "lc", F.array(*W[:2]).alias("words"))
     out.append(named.join(pairs.select("code", F.col("n").alias("a")), "code").select("lc", "words", "a"))
     return written(reduce(DataFrame.unionAll, out), "phrases")
 
