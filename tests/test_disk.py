@@ -52,7 +52,7 @@ def odd_events(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["jn10_match_table"])
+@pytest.mark.parametrize("name", ["jn10_match_table", "snk01_correlation"])
 def test_matches_keep_no_shuffle_of_their_stages(spark, tmp_path, name):
     """Right rows, and nothing but stage tables on the disks when the last query starts."""
     con = odd_events(tmp_path)
